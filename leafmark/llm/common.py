@@ -68,3 +68,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # settled: every edge runs from a node to the root of its star
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def dealt(rows: DataFrame, key: str, spread: str, block: int) -> DataFrame:
+    """Groups of ``key`` with two rows or more, in blocks of about ``block`` rows: adds ``own, lo, hi``.
+
+    A group of more rows is cut into blocks by the hash of ``spread``, and each row
+    goes to every pair of blocks with its own, so that all rows of ``(key, lo, hi)``
+    fit in memory and any two rows of a group meet: in ``(own, own)`` if they share
+    a block, else in the pair of their blocks. The sizes are counted with a combine
+    before the shuffle; a large group is never gathered.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("group_rows")).where("group_rows > 1")
+    n = F.ceil(F.col("group_rows") / F.lit(block))
+    own = F.pmod(F.xxhash64(spread), n).cast("int")
+    blocks = rows.join(sizes, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
+    return blocks.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "group_rows")

@@ -6,9 +6,9 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, token_files
+from . import embeddings, language_model, packing, simhash, substrings, token_files
 from .common import shared_dir
 from .tokens import vocabulary
 
@@ -23,13 +23,34 @@ def op3_elias_fano_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op5_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
     return packing.pack(pieces, capacity=2048)
 
 
+def op9_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+def op10_bwt_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=50, digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_elias_fano_token_ids": op3_elias_fano_token_ids,
+    "op5_bit_sliced_simhash": op5_bit_sliced_simhash,
+    "op7_deleted_interpolation": op7_deleted_interpolation,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_pivot_permutation": op9_pivot_permutation,
+    "op10_bwt_substrings": op10_bwt_substrings,
 }
 ORACLE_SQL: dict[str, str] = {}
