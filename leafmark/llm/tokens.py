@@ -13,12 +13,12 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces kept in a worker's cache; it is emptied when full, which changes no result.
+#: Pieces in each of the two generations of a worker's cache; what is dropped is encoded again when it comes back.
 CACHE_PIECES = 600_000
-#: Symbols that never join a letter or digit before them in one token.
+#: Symbols that never join a Latin letter or digit before them in one token.
 TRAILING = ".,!?*$%&#|;:"
 WORDS_A_CALL = 200
-CHARACTERS_A_GROUP = 1_000_000
+CHARACTERS_A_GROUP = 4_000_000
 
 
 class WordEncoder:
@@ -26,10 +26,14 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for words that the normal form leaves as they are, without its bookkeeping
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -38,38 +42,60 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     @staticmethod
-    def _single_word(piece: str) -> bool:
-        """Whether the tokenizer takes the piece as one word: Latin letters only, which no normal form changes in number."""
-        if not piece.isalpha():
-            return False
-        return piece.isascii() or (max(piece) < "Ā" and not set(piece) & {"ª", "º"})
+    def _plain(piece: str) -> bool:
+        """Whether the tokenizer takes the piece as one word as it is: Latin letters in lower case, which have no other normal form."""
+        return piece.isalpha() and piece.islower() and (piece.isascii() or (max(piece) < "Ā" and not set(piece) & {"ª", "º"}))
 
     def _learn(self, pieces: set[str]) -> None:
-        cache, plan, words = self.cache, {}, set()
+        """Puts the pieces into the cache."""
+        cache, older, words, plan = self.cache, self.older, [], []
+        new: set[str] = set()
+
+        def wanted(part: str) -> None:
+            if part in cache or part in new:
+                return
+            if (known := older.get(part)) is not None:
+                cache[part] = known
+                return
+            new.add(part)
+            if self._plain(part):
+                words.append(part)
+            else:
+                cache[part] = self._library(part)
+
         for piece in pieces:
-            base = piece.rstrip(TRAILING)
-            parts = [base, piece[len(base):]] if base and base != piece and base[-1].isascii() and base[-1].isalnum() else [piece]
-            parts = [p.lower() if p.isascii() else p for p in parts]
-            if parts != [piece]:
-                plan[piece] = parts
-            words.update(p for p in parts if p not in cache)
-        single = [w for w in words if self._single_word(w)]
-        for w in words.difference(single):
-            cache[w] = self._library(w)
-        for i in range(0, len(single), WORDS_A_CALL):
-            some = single[i:i + WORDS_A_CALL]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            if older and (known := older.get(piece)) is not None:
+                cache[piece] = known
+            elif piece.isascii() and piece.isalpha() and piece.islower():
+                if piece not in new:
+                    new.add(piece)
+                    words.append(piece)
+            else:
+                base = piece.rstrip(TRAILING)
+                if not base or base[-1] >= "Ā" or not base[-1].isalnum():
+                    base = piece
+                tail = piece[len(base):]
+                if base.isascii() or max(base) < "Ā":  # a letter for a letter
+                    base = base.lower()
+                wanted(base)
+                if tail:
+                    wanted(tail)
+                if base != piece:
+                    plan.append((piece, base, tail))
+        for i in range(0, len(words), WORDS_A_CALL):
+            some = words[i:i + WORDS_A_CALL]
+            ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) == len(some) and stops[-1] == len(ids):
                 raw, a = ids.tobytes(), 0
-                for w, b in zip(some, stops.tolist()):
+                for w, b in zip(some, stops):
                     cache[w] = raw[4 * a:4 * b]
                     a = b
             else:
                 for w in some:
                     cache[w] = self._library(w)
-        for piece, parts in plan.items():
-            cache[piece] = b"".join([cache[p] for p in parts])
+        for piece, base, tail in plan:
+            cache[piece] = cache[base] + cache[tail] if tail else cache[base]
 
     def encode(self, texts) -> list[bytes]:
         out: list[bytes] = []
@@ -84,12 +110,20 @@ class WordEncoder:
         return out + self._encode(group)
 
     def _encode(self, group: list[list[str]]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        if missing := {p for pieces in group for p in pieces if p not in cache}:
-            self._learn(missing)
-        return [b"".join([cache[p] for p in pieces]) for pieces in group]
+        if len(self.cache) > CACHE_PIECES:
+            self.older, self.cache = self.cache, {}
+        flat = [p for pieces in group for p in pieces]
+        found = list(map(self.cache.get, flat))
+        missing = [i for i, v in enumerate(found) if v is None]
+        if missing:
+            self._learn({flat[i] for i in missing})
+            for i in missing:
+                found[i] = self.cache[flat[i]]
+        out, at = [], 0
+        for pieces in group:
+            out.append(b"".join(found[at:at + len(pieces)]))
+            at += len(pieces)
+        return out
 
 
 @lru_cache(maxsize=2)
