@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import components, dealt, stored
 
@@ -172,3 +172,34 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
     found = components(links(reps, radius))
     of_fp = reps.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def _with_fingerprint(at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], dtype=np.uint64)
+            yield batch.append_column(FP, pa.array(found.view(np.int64)))
+
+    return run
+
+
+#: A column's name that no table has.
+FP = "__leafmark_fp"
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns: one of each component, that with the component's smallest id (null ids last).
+
+    Of several rows with that id and fingerprint the one whose text has the smallest hash stays.
+    """
+    fps = stored(fingerprints(docs, id_col, text_col), "fingerprints")
+    reps = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-reps")
+    found = components(links(reps, radius))
+    keep = reps.join(found, F.col("rep") == F.col("node"), "left").where("component is null or component = rep").groupBy("rep").agg(F.min("fp").alias("keep_fp")).withColumnRenamed("rep", "keep_id")
+    # rows without any id among their equals stand for their own fingerprint
+    nameless = reps.where("rep is null").select(F.col("fp").alias("keep_fp"), F.lit(None).cast("long").alias("keep_id"))
+    keep = keep.where("keep_id is not null").unionByName(nameless)
+    marked = docs.mapInArrow(_with_fingerprint(docs.columns.index(text_col)), T.StructType([*docs.schema.fields, T.StructField(FP, T.LongType())]))
+    kept = marked.join(keep, (F.col(FP) == F.col("keep_fp")) & F.col(id_col).eqNullSafe(F.col("keep_id"))).drop("keep_fp", "keep_id")
+    first = F.row_number().over(Window.partitionBy(FP, id_col).orderBy(F.xxhash64(text_col)))
+    return kept.withColumn("__leafmark_row", first).where(F.col("__leafmark_row") == 1).select(*docs.columns)
