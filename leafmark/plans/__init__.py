@@ -1 +1,3 @@
+"""Registered queries over the given tables; importing this package registers them."""
 
+from . import text_queries  # noqa: F401
