@@ -1,3 +1,3 @@
 """Registered queries over the given tables; importing this package registers them."""
 
-from . import retrieval_queries, text_queries  # noqa: F401
+from . import evaluation_queries, retrieval_queries, text_queries  # noqa: F401
