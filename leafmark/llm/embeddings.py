@@ -21,6 +21,8 @@ PIVOTS = 128
 #: Pivots are drawn from so many vectors at most, those with the smallest hashes; every vector is indexed.
 PIVOT_SAMPLE = 4096
 PREFIX = 6
+#: Cosine from which a vector is too like a pivot to be one.
+ALIKE = 0.6
 BLOCK = 2048
 #: Vectors without an id are named from here on, so that they never name a component with ids.
 NO_ID = 1 << 62
@@ -34,10 +36,13 @@ def _unit(rows: list[list[float]]) -> np.ndarray:
 
 
 def choose_pivots(vectors: np.ndarray, count: int) -> np.ndarray:
-    """Spread pivots: each next one is the sampled vector least like those chosen."""
+    """Spread pivots: each next one is the sampled vector least like those chosen, until all are like one of them.
+
+    Vectors close enough to link so have hardly more than one pivot among them, and agree on the others' order.
+    """
     chosen = [0]
     like = vectors @ vectors[0]
-    while len(chosen) < min(count, len(vectors)):
+    while len(chosen) < min(count, len(vectors)) and (len(chosen) < 2 or like.min() < ALIKE):
         chosen.append(int(like.argmin()))
         like = np.maximum(like, vectors @ vectors[chosen[-1]])
     return vectors[chosen]

@@ -195,11 +195,11 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id
     fps = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     reps = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-reps")
     found = components(links(reps, radius))
-    keep = reps.join(found, F.col("rep") == F.col("node"), "left").where("component is null or component = rep").groupBy("rep").agg(F.min("fp").alias("keep_fp")).withColumnRenamed("rep", "keep_id")
+    keep = reps.join(found, F.col("rep") == F.col("node"), "left").where("component is null or component = rep").groupBy("rep").agg(F.min("fp").alias("__leafmark_keep_fp")).withColumnRenamed("rep", "__leafmark_keep_id")
     # rows without any id among their equals stand for their own fingerprint
-    nameless = reps.where("rep is null").select(F.col("fp").alias("keep_fp"), F.lit(None).cast("long").alias("keep_id"))
-    keep = keep.where("keep_id is not null").unionByName(nameless)
+    nameless = reps.where("rep is null").select(F.col("fp").alias("__leafmark_keep_fp"), F.lit(None).cast("long").alias("__leafmark_keep_id"))
+    keep = keep.where(F.col("__leafmark_keep_id").isNotNull()).unionByName(nameless)
     marked = docs.mapInArrow(_with_fingerprint(docs.columns.index(text_col)), T.StructType([*docs.schema.fields, T.StructField(FP, T.LongType())]))
-    kept = marked.join(keep, (F.col(FP) == F.col("keep_fp")) & F.col(id_col).eqNullSafe(F.col("keep_id"))).drop("keep_fp", "keep_id")
+    kept = marked.join(keep, (F.col(FP) == F.col("__leafmark_keep_fp")) & F.col(id_col).eqNullSafe(F.col("__leafmark_keep_id"))).drop("__leafmark_keep_fp", "__leafmark_keep_id")
     first = F.row_number().over(Window.partitionBy(FP, id_col).orderBy(F.xxhash64(text_col)))
     return kept.withColumn("__leafmark_row", first).where(F.col("__leafmark_row") == 1).select(*docs.columns)
