@@ -31,7 +31,7 @@ END = np.uint64(0x632BE59BD9B4E019)
 START = np.uint64(0x2545F4914F6CDD1D)
 #: N-grams in a bucket, about.
 BUCKET_KEYS = 1_000_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 120_000
 #: Bins an octave of a probability, for the expectation-maximisation.
 BINS = 4
 SENT = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("words", pa.binary()), ("word_counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())])
@@ -70,8 +70,6 @@ class Grams:
 
     def __init__(self, ids: list[int | None], texts: list[bytes]):
         known = _words()
-        if len(known) > CACHE_WORDS:
-            known.clear()
         get = known.__getitem__
         parts = []
         for t in texts:
@@ -79,6 +77,9 @@ class Grams:
             parts += [np.fromiter(map(get, words), np.uint64, len(words)), np.array([END])]
         token = np.concatenate(parts)
         self.sizes = np.array([len(p) + 1 for p in parts[::2]])
+        del parts
+        if len(known) > CACHE_WORDS:
+            known.clear()
         begin = np.cumsum(self.sizes) - self.sizes
         context = np.concatenate([[START], token[:-1]])
         context[begin] = START
