@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .batches import batched, bound, bound2, rows_of, unpacked
@@ -110,12 +111,21 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts, most of them small, in little space."""
+    return zstandard.compress(np.ascontiguousarray(counts).tobytes(), 1)
+
+
+def unpacked_counts(parts: list[bytes], kind) -> np.ndarray:
+    return np.frombuffer(b"".join(map(zstandard.decompress, parts)), kind).reshape(-1, 2)
+
+
 def _send(table: pa.Table, buckets: int) -> pa.Table:
     g = Grams(*unpacked(table))
     batch = table.column("batch")[0].as_py()
     w, p = g.cuts(g.words, buckets), g.cuts(g.pairs, buckets)
     rows = [
-        (b, batch, g.words[w[b]:w[b + 1]].tobytes(), g.word_counts[w[b]:w[b + 1]].tobytes(), g.pairs[p[b]:p[b + 1]].tobytes(), g.pair_counts[p[b]:p[b + 1]].tobytes())
+        (b, batch, g.words[w[b]:w[b + 1]].tobytes(), packed(g.word_counts[w[b]:w[b + 1]]), g.pairs[p[b]:p[b + 1]].tobytes(), packed(g.pair_counts[p[b]:p[b + 1]]))
         for b in range(buckets) if w[b] < w[b + 1] or p[b] < p[b + 1]
     ]
     return rows_of(SENT, list(zip(*rows)))
@@ -124,7 +134,7 @@ def _send(table: pa.Table, buckets: int) -> pa.Table:
 def _summed(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     lists = [np.frombuffer(k, np.uint64) for k in keys]
     unique, at = np.unique(np.concatenate(lists), return_inverse=True)
-    each = np.frombuffer(b"".join(counts), np.uint32).reshape(-1, 2)
+    each = unpacked_counts(counts, np.uint32)
     total = np.stack([np.bincount(at, each[:, i], len(unique)) for i in (0, 1)], axis=1).astype(np.uint64)
     return unique, total, np.split(at, np.cumsum([len(x) for x in lists])[:-1])
 
@@ -136,7 +146,7 @@ def _total(table: pa.Table) -> pa.Table:
     real = words != START
     sums = (int((word_total[real].sum(axis=1) > 0).sum()), int(word_total[real, 0].sum()), int(word_total[real, 1].sum()))
     rows = [
-        (batch, bucket, word_total[w].tobytes(), pair_total[p].tobytes(), *(sums if i == 0 else (0, 0, 0)))
+        (batch, bucket, packed(word_total[w]), packed(pair_total[p]), *(sums if i == 0 else (0, 0, 0)))
         for i, (batch, bucket, w, p) in enumerate(zip(c["batch"], c["bucket"], word_at, pair_at))
     ]
     return rows_of(TOTALS, list(zip(*rows)))
@@ -147,8 +157,7 @@ def _looked_up(docs: pa.Table, totals: pa.Table) -> tuple[list[int | None], Gram
     ids, texts = unpacked(docs)
     g = Grams(ids, texts)
     totals = totals.sort_by("bucket")
-    read = lambda c: np.frombuffer(b"".join(totals.column(c).to_pylist()), np.uint64).reshape(-1, 2)
-    return ids, g, read("words"), read("pairs")
+    return ids, g, *(unpacked_counts(totals.column(c).to_pylist(), np.uint64) for c in ("words", "pairs"))
 
 
 def context_bucket(n: np.ndarray) -> np.ndarray:
