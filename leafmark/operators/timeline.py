@@ -86,5 +86,5 @@ def idempotent(requests: DataFrame, keys: list[str], body: str, order: list[str]
 
 def keyset_page(rows: DataFrame, ts: str, ident: str, cursor: tuple | None, n: int) -> DataFrame:
     """The next ``n + 1`` rows after the cursor in order; one more than a page tells that another follows."""
-    after = rows if cursor is None else rows.where(F.struct(ts, ident) > F.struct(F.lit(cursor[0]), F.lit(cursor[1])))
+    after = rows if cursor is None else rows.where(F.struct(ts, ident) > F.struct(F.lit(cursor[0]).cast(rows.schema[ts].dataType).alias(ts), F.lit(cursor[1]).cast(rows.schema[ident].dataType).alias(ident)))
     return after.orderBy(ts, ident).limit(n + 1)

@@ -1,3 +1,3 @@
 """Registered queries over the given tables; importing this package registers them."""
 
-from . import claim_queries, evaluation_queries, retrieval_queries, text_queries, tree_queries  # noqa: F401
+from . import claim_queries, evaluation_queries, retrieval_queries, text_queries, timeline_queries, tree_queries  # noqa: F401

@@ -49,6 +49,7 @@ def differences(spark, run, sql: str, sf_dir: str) -> str:
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} and {sorted(names)}"
     if got != want:
-        a, b = [r for r in got if r not in set(want)][:2], [r for r in want if r not in set(got)][:2]
+        left, right = set(got), set(want)
+        a, b = [r for r in got if r not in right][:2], [r for r in want if r not in left][:2]
         return f"{len(got)} and {len(want)} rows; only Spark: {str(a)[:700]}; only SQL: {str(b)[:700]}"
     return ""
