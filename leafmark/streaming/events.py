@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SUPPRESS_SECONDS = 60
@@ -52,7 +52,7 @@ def suppress_stream(events: DataFrame, keys: list[str], ts: str, ident: str, sec
 
 def sequence_stream(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Gap-free sequence numbers per key across micro-batches: one counter of state per key."""
-    schema = events.schema.add("seq", "long")
+    schema = T.StructType([*events.schema.fields, T.StructField("seq", T.LongType())])
 
     def number(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches)).sort_values(order)
