@@ -17,9 +17,16 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 BATCH_BYTES = 4_000_000
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows a few at a time, so that a worker's Python objects stay few."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in slices(batches):
         text = pa.array([pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())
         yield batch.set_column(1, "packed", text)
 
@@ -61,7 +68,9 @@ def bound(f, **fixed):
     """``f`` of one group's table with its other arguments fixed, in the form that ``applyInArrow`` takes."""
 
     def run(table):
-        return f(table, **fixed)
+        out = f(table, **fixed)
+        pa.default_memory_pool().release_unused()
+        return out
 
     return run
 
@@ -70,6 +79,8 @@ def bound2(f, **fixed):
     """The same for two cogrouped tables."""
 
     def run(left, right):
-        return f(left, right, **fixed)
+        out = f(left, right, **fixed)
+        pa.default_memory_pool().release_unused()
+        return out
 
     return run

@@ -21,6 +21,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .batches import slices
 from .common import stored
 
 #: Labelled documents that are learned from at most: those with the smallest hashes of their ids.
@@ -106,7 +107,7 @@ def _places(docs: DataFrame) -> dict[str, int | None]:
 
 def _feature_rows(telling):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             text, metadata = _features(batch, {"text": 1, "lang": 2, "source": 3, "n_chars": 4}, telling.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(text.astype(np.float32)), pa.list_(pa.float32())), pa.array(list(metadata.astype(np.float32)), pa.list_(pa.float32()))], names=["doc_id", "t", "m"])
 
@@ -114,7 +115,7 @@ def _feature_rows(telling):
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [[w.decode("utf-8", "replace") for w in tokens_of((t or "").encode("utf-8", "surrogatepass"))] for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], names=["tokens", "bad"])
 
@@ -209,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: in
 def _scored(model, at: dict[str, int | None]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in batches:
+        for batch in slices(batches):
             scores = m.score(*_features(batch, at, m.telling))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, scores), pa.array(scores[2] >= m.least)], names=["doc_id", "text_score", "metadata_score", "score", "accepted"])
 
@@ -226,7 +227,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def _accepted(model, at: dict[str, int | None]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(m.score(*_features(batch, at, m.telling))[2] >= m.least))
 
     return run

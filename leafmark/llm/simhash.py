@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from .batches import slices
 from .common import components, dealt, stored
 
 SHINGLE = 4
@@ -41,7 +42,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
@@ -176,7 +177,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
 
 def _with_fingerprint(at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], dtype=np.uint64)
             yield batch.append_column(FP, pa.array(found.view(np.int64)))
 
