@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces in each of the two generations of a worker's cache; what is dropped is encoded again when it comes back.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 #: Symbols that never join a Latin letter or digit before them in one token.
 TRAILING = ".,!?*$%&#|;:"
 WORDS_A_CALL = 200
