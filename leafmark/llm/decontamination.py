@@ -1,9 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Each test item is a query against all documents. Of every few consecutive word n-grams of an
-item the one that is rarest in the documents is a seed; where a seed occurs, the item is aligned
-with the passage around it. Two passes read the documents: one counts the items' n-grams,
-one aligns. Items are taken in blocks of a bounded number, so that what the tasks hold doesn't
+"""Benchmark decontamination: seeds of word pairs, then Smith-Waterman alignment.
+
+Each test item is a query against all documents. An alignment of score ``least`` matches so many
+words with so few edits that between most matched words that follow each other there is one
+edit at most: those are pairs of the item's words, next to each other or one apart, that are so
+in the document too. The pairs that the documents hold seldom are seeds, all but so few that an
+alignment always keeps some of them; where enough seeds lie within the reach of one alignment,
+the item is aligned with the passage around them, so that no alignment is missed. Two passes
+read the documents: one counts the items' pairs, one aligns. Items are taken in blocks of a bounded number, so that what the tasks hold doesn't
 grow with the benchmark; each block is held against all documents.
 """
 
@@ -17,9 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import union
 
-N = 3
-#: Consecutive n-grams of an item of which the rarest is a seed.
-STRETCH = 3
+#: Zeros after each text, so that no pair crosses its end.
+APART = 2
 BLOCK_ITEMS = 10_000
 #: Items of fewer words are too short to be told from chance and match nothing.
 MIN_WORDS = 8
@@ -35,7 +37,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Items:
-    """A block of test items, their n-grams and, once chosen, their seeds."""
+    """A block of test items, their word pairs and, once chosen, their seeds."""
 
     def __init__(self, rows: list[tuple[int, str | None]]):
         texts = [(i, words_of(t)) for i, t in rows]
@@ -44,59 +46,70 @@ class Items:
         vocabulary = sorted({w for item in self.words for w in item})
         self.vocabulary = {w: k + 1 for k, w in enumerate(vocabulary)}
         self.coded = [np.array([self.vocabulary[w] for w in item], np.int64) for item in self.words]
-        grams = [self.grams(c) for c in self.coded]
-        self.keys = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
-        self.starts = np.zeros(1, np.int64)
+        pairs = [p for c in self.coded for p in self.pairs(c)]
+        self.keys = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        self.keys = self.keys[self.keys >= 0]
 
-    def grams(self, coded: np.ndarray) -> np.ndarray:
-        """The n-gram at each place as one number, -1 where a word is not of the items."""
+    def pairs(self, coded: np.ndarray) -> list[np.ndarray]:
+        """The pair of the word at each place and the next one, and that with the one after it, as one number; -1 where a word is not of the items."""
         base = len(self.vocabulary) + 1
-        out = np.zeros(max(0, len(coded) - N + 1), np.int64)
-        known = np.ones(len(out), bool)
-        for k in range(N):
-            part = coded[k:k + len(out)]
-            out = out * base + part
-            known &= part > 0
-        return np.where(known, out, -1)
+        after = np.concatenate([coded, np.zeros(APART, np.int64)])
+        return [np.where((coded > 0) & (after[k:k + len(coded)] > 0), coded * base + after[k:k + len(coded)], -1) for k in range(1, APART + 1)]
 
     def code(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The words of all texts as numbers (0: not of the items), with n zeros after each text, and where texts begin."""
+        """The words of all texts as numbers (0: not of the items), with zeros after each text, and where texts begin."""
         get = self.vocabulary.get
         parts, begins, at = [], [], 0
         for t in texts:
             w = words_of(t)
             parts.append(np.fromiter((get(x, 0) for x in w), np.int64, len(w)))
-            parts.append(np.zeros(N, np.int64))
+            parts.append(np.zeros(APART, np.int64))
             begins.append(at)
-            at += len(w) + N
+            at += len(w) + APART
         return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(begins + [at], np.int64)
 
     def find(self, keys: np.ndarray, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the given (sorted) n-grams, and which they are."""
-        grams = self.grams(coded)
-        places = np.flatnonzero(grams >= 0)
-        if not len(keys) or not len(places):
-            return places[:0], places[:0]
-        g = grams[places]
-        at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-        hit = keys[at] == g
-        return places[hit], at[hit]
-
-    def choose_seeds(self, frequency: dict[int, int]) -> None:
+        """Places of the given (sorted) pairs, and which they are."""
+        found = []
+        for pairs in self.pairs(coded):
+            places = np.flatnonzero(pairs >= 0)
+            if not len(keys) or not len(places):
+                continue
+            p = pairs[places]
+            at = np.minimum(np.searchsorted(keys, p), len(keys) - 1)
+            hit = keys[at] == p
+            found.append((places[hit], at[hit]))
+        return tuple(np.concatenate(f) for f in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def choose_seeds(self, frequency: dict[int, int], least: float) -> None:
+        """Seeds of each item, and how many of them an alignment of score ``least`` holds.
+
+        With m words matched and x edits, 2 m - x >= 2 least L; at most x / 2 of the m - 1 steps from one
+        matched word to the next have two edits or more, so least L - 1 steps have fewer, and each of them begins
+        at a place of its own. Of that many the half may be places that are no seeds: those whose pairs are the most frequent.
+        """
         count = np.array([frequency.get(k, 0) for k in range(len(self.keys))], np.int64)
-        seeds = []
+        seeds, needed = [], []
         for item, coded in enumerate(self.coded):
-            which = np.searchsorted(self.keys, self.grams(coded))
-            for a in range(0, len(which), STRETCH):
-                some = which[a:a + STRETCH]
-                k = int(count[some].argmin())
-                seeds.append((int(some[k]), item, a + k))
-        seeds.sort()
-        table = np.array(seeds, np.int64).reshape(-1, 3)
+            of = [(np.searchsorted(self.keys, p[p >= 0]), np.flatnonzero(p >= 0)) for p in self.pairs(coded)]
+            cost = np.zeros(len(coded) - 1, np.int64)
+            for which, place in of:
+                cost[place] += count[which]
+            steps = max(1, int(np.ceil(least * len(coded) - 1 - 1e-9)))
+            need = -(-steps // 2)
+            seed = np.ones(len(cost), bool)
+            seed[np.argsort(cost, kind="stable")[len(cost) - (steps - need):]] = False
+            needed.append(need)
+            # a pair that no document holds finds nothing
+            seeds += {(int(w), item) for which, place in of for w, p in zip(which, place) if seed[p] and count[w]}
+        table = np.array(sorted(seeds), np.int64).reshape(-1, 2)
         self.seed_keys, first = np.unique(table[:, 0], return_index=True)
         self.seed_keys = self.keys[self.seed_keys]
         self.seed_from = np.concatenate([first, [len(table)]])
-        self.seed_item, self.seed_offset = table[:, 1], table[:, 2]
+        self.seed_item = table[:, 1]
+        self.needed = np.array(needed, np.int64)
+        # an alignment's passage is no longer than all words of the item and the edits that its score allows
+        self.reach = np.array([int(np.floor((3 - 2 * least) * len(c) + 1e-9)) for c in self.coded], np.int64)
 
 
 def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,20 +151,29 @@ def matches(items: Items, texts: list[str | None], least: float) -> list[tuple[i
         return []
     times = items.seed_from[seed + 1] - items.seed_from[seed]
     of = np.repeat(items.seed_from[seed], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    item, start = items.seed_item[of], np.repeat(place, times) - items.seed_offset[of]
-    doc = np.searchsorted(begins, np.repeat(place, times), side="right") - 1
-    # starts within a few words of each other are one passage
-    near = np.unique(np.stack([item, doc, start // 8], axis=1), axis=0)
+    item, place = items.seed_item[of], np.repeat(place, times)
+    # places by item, enough of them within one alignment's reach; both pairs of a place count once
+    item, place = np.unique(np.stack([item, place], axis=1), axis=0).T
+    doc = np.searchsorted(begins, place, side="right") - 1
+    last = np.arange(len(place)) + items.needed[item] - 1
+    inside = np.flatnonzero(last < len(place))
+    last = last[inside]
+    inside = inside[(item[last] == item[inside]) & (doc[last] == doc[inside]) & (place[last] - place[inside] < items.reach[item[inside]])]
+    if not len(inside):
+        return []
+    item, doc, place = item[inside], doc[inside], place[inside]
+    # first seeds in the same stretch of an item's length are one passage
+    near = np.unique(np.stack([item, doc, place // np.array([len(c) for c in items.coded])[item]], axis=1), axis=0)
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
     cut = np.flatnonzero(np.concatenate([[True], near[1:, 0] != near[:-1, 0], [True]]))
     for a, b in zip(cut, cut[1:]):
         k = int(near[a, 0])
         length = len(items.coded[k])
-        margin = 8 + length // 3
+        margin = int(items.reach[k])
         for c in range(a, b, 256):
             some = near[c:min(b, c + 256)]
-            left = some[:, 2] * 8 - margin
-            at = left[:, None] + np.arange(length + 2 * margin + 8)
+            left = some[:, 2] * length - margin
+            at = left[:, None] + np.arange(length + 2 * margin)
             inside = (at >= begins[some[:, 1]][:, None]) & (at < begins[some[:, 1] + 1][:, None])
             passages = np.where(inside, coded[np.clip(at, 0, len(coded) - 1)], 0)
             best, first, last = align(items.coded[k], passages)
@@ -172,13 +194,13 @@ def _count(index):
             for at in range(0, batch.num_rows, 512):
                 total += np.bincount(items.find(items.keys, items.code(batch.column(0)[at:at + 512].to_pylist())[0])[1], minlength=len(total))
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["pair", "n"])
 
     return run
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str):
-    """One broadcast index a block of test items, with seeds chosen by the documents' n-gram counts."""
+def indexes(docs: DataFrame, benchmark: DataFrame, least: float, id_col: str, text_col: str):
+    """One broadcast index a block of test items, with seeds chosen by the documents' pair counts."""
     spark = docs.sparkSession
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null")
     blocks = -(-rows.count() // BLOCK_ITEMS)
@@ -186,8 +208,8 @@ def indexes(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str):
         block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text")
         items = Items([(r["item_id"], r["text"]) for r in block.collect()])
         counting = spark.sparkContext.broadcast(items)
-        counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(counting), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        items.choose_seeds({r["gram"]: r["n"] for r in counted.collect()})
+        counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(counting), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        items.choose_seeds({r["pair"]: r["n"] for r in counted.collect()}, least)
         yield spark.sparkContext.broadcast(items)
 
 
@@ -224,13 +246,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_c
     rows of either table are each reported; items under ``MIN_WORDS`` words match nothing.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = [texts.mapInArrow(_find(index, least), HITS) for index in indexes(docs, benchmark, id_col, text_col)]
+    found = [texts.mapInArrow(_find(index, least), HITS) for index in indexes(docs, benchmark, least, id_col, text_col)]
     return union(found) if found else docs.sparkSession.createDataFrame([], HITS)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that hold no test item to ``least`` or more."""
     kept = docs
-    for index in indexes(docs, benchmark, id_col, text_col):
+    for index in indexes(docs, benchmark, least, id_col, text_col):
         kept = kept.mapInArrow(_clean(index, docs.columns.index(text_col), least), docs.schema)
     return kept
