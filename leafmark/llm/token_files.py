@@ -4,9 +4,9 @@ The format is a Parquet table ``blocks`` (one row a block, so that Spark commits
 retries and reads it from any store) and a table ``parts`` with the ids before each
 part. A block holds the ids of consecutive documents in ascending ``doc_id`` order
 (nulls first) as unsigned 16- or 32-bit integers, and two Elias-Fano sequences: the
-document ids less the block's smallest, and the ends of the documents. ``select(i)``
-finds the i-th value from a sample of every 256th set bit; no table of 64-bit
-offsets is kept.
+document ids less the block's smallest, and the ends of the documents. ``select``
+finds the values at given places from a sample of every 256th set bit, and all reading
+goes through it; no table of 64-bit offsets is kept.
 """
 
 from __future__ import annotations
@@ -23,16 +23,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .tokens import crc, encoder
 
 SAMPLE = 256
+#: Bytes that select looks at together.
+WINDOW = 96
 BLOCK_SCHEMA = "part int, block int, part_start long, n_docs int, n_null int, n_tokens long, first_id long, width int, ids binary, doc_ids binary, ends binary"
 
 
 class EliasFano:
-    """A non-decreasing sequence of unsigned integers in n * (2 + log2(u / n)) bits, and a sample for select."""
+    """A non-decreasing sequence of unsigned integers in n * (2 + log2(u / n)) bits, and a sample for select.
+
+    Values go up to the largest of 64 bits; what is stored is the last one, not the bound above it.
+    """
 
     HEAD = struct.Struct("<QQBQ")
 
     def __init__(self, raw: bytes):
-        self.n, self.universe, self.low_bits, high_bytes = self.HEAD.unpack_from(raw)
+        self.n, self.last, self.low_bits, high_bytes = self.HEAD.unpack_from(raw)
         at = self.HEAD.size
         low_bytes = (self.n * self.low_bits + 7) // 8
         self.low = np.frombuffer(raw, np.uint8, low_bytes, at)
@@ -43,39 +48,59 @@ class EliasFano:
     def encode(cls, values: np.ndarray) -> bytes:
         v = np.asarray(values, dtype=np.uint64)
         n = len(v)
-        universe = int(v[-1]) + 1 if n else 0
-        low_bits = max(0, (universe // n).bit_length() - 1) if n else 0
+        last = int(v[-1]) if n else 0
+        low_bits = min(63, max(0, ((last + 1) // n).bit_length() - 1)) if n else 0
         high = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(high[-1]) + 1 if n else 0, np.uint8)
         bits[high] = 1
         lows = ((v[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
         packed = np.packbits(bits, bitorder="little")
-        return cls.HEAD.pack(n, universe, low_bits, len(packed)) + np.packbits(lows.ravel(), bitorder="little").tobytes() + packed.tobytes() + high[::SAMPLE].astype("<u4").tobytes()
-
-    def _lows(self, i: int, j: int) -> np.ndarray:
-        if not self.low_bits:
-            return np.zeros(j - i, np.uint64)
-        a, b = i * self.low_bits, j * self.low_bits
-        bits = np.unpackbits(self.low[a // 8:-(-b // 8)], bitorder="little")[a % 8:a % 8 + b - a].reshape(-1, self.low_bits)
-        return bits.astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
-
-    def select(self, i: int) -> int:
-        """The i-th value, from the sampled set bit before it."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        start, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte = start // 8
-        skip = start % 8
-        while True:
-            ones = np.flatnonzero(np.unpackbits(self.high[byte:byte + 64], bitorder="little")[skip:])
-            if left < len(ones):
-                at = byte * 8 + skip + int(ones[left])
-                return ((at - i) << self.low_bits) | int(self._lows(i, i + 1)[0])
-            left, byte, skip = left - len(ones), byte + 64, 0
-
-    def values(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return ((high - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self._lows(0, self.n)
+        return cls.HEAD.pack(n, last, low_bits, len(packed)) + np.packbits(lows.ravel(), bitorder="little").tobytes() + packed.tobytes() + high[::SAMPLE].astype("<u4").tobytes()
+
+    def _lows(self, at: np.ndarray) -> np.ndarray:
+        """The low parts of the values at these places, bit by bit from the packed ones."""
+        out = np.zeros(len(at), np.uint64)
+        for k in range(self.low_bits):
+            bit = at * self.low_bits + k
+            out |= ((self.low[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(k)
+        return out
+
+    def select(self, at) -> np.ndarray:
+        """The values at these places; each is looked for from the sampled set bit before it, a window of bytes at a time."""
+        at = np.atleast_1d(np.asarray(at, dtype=np.int64))
+        if len(at) and not (0 <= at.min() and at.max() < self.n):
+            raise IndexError(f"{at.min()} to {at.max()} of {self.n}")
+        return np.concatenate([self._select(at[i:i + 4096]) for i in range(0, len(at), 4096)]) if len(at) else np.zeros(0, np.uint64)
+
+    def _select(self, at: np.ndarray) -> np.ndarray:
+        place = np.zeros(len(at), np.int64)
+        start = self.samples[at // SAMPLE].astype(np.int64)
+        byte, skip, left = start >> 3, start & 7, at % SAMPLE
+        todo = np.arange(len(at))
+        while len(todo):
+            window = byte[todo, None] + np.arange(WINDOW)
+            bits = np.unpackbits(np.where(window < len(self.high), self.high[np.minimum(window, len(self.high) - 1)], 0).astype(np.uint8), axis=1, bitorder="little")
+            bits[:, :8][np.arange(8) < skip[todo, None]] = 0  # set bits before the sampled one
+            ones = np.cumsum(bits, axis=1, dtype=np.int32)
+            here = ones[:, -1] > left[todo]
+            place[todo[here]] = byte[todo[here]] * 8 + (ones[here] > left[todo[here], None]).argmax(axis=1)
+            rest = todo[~here]
+            left[rest] -= ones[~here, -1]
+            byte[rest] += WINDOW
+            skip[rest] = 0
+            todo = rest
+        return ((place - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._lows(at)
+
+    def find(self, value: int) -> int:
+        """The first place with this value or a larger one, by select alone; n if there is none."""
+        lo, hi = 0, self.n
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if int(self.select(mid)[0]) < value:
+                lo = mid + 1
+            else:
+                hi = mid
+        return lo
 
 
 def _blocks(vocabulary: str, end_id: int, block_tokens: int):
@@ -135,13 +160,19 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     spark.createDataFrame(before, "part int, start long").coalesce(1).write.parquet(os.path.join(path, "parts"))
 
 
+def _bounds(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's known ids, and where each of its documents starts and ends, through select."""
+    doc_ids, ends = EliasFano(r["doc_ids"]), EliasFano(r["ends"])
+    stop = ends.select(np.arange(ends.n)).astype(np.int64)
+    known = (doc_ids.select(np.arange(doc_ids.n)) + np.array(r["first_id"], np.int64).astype(np.uint64)).astype(np.int64)
+    return known, np.concatenate([np.zeros(1, np.int64), stop])[:ends.n], stop
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             ids = np.frombuffer(r["ids"], dtype=f"<u{r['width']}").astype("<u4")
-            ends = EliasFano(r["ends"]).values().astype(np.int64)
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-            known = (EliasFano(r["doc_ids"]).values() + np.array(r["first_id"], np.int64).astype(np.uint64)).astype(np.int64)
+            known, starts, ends = _bounds(r)
             doc_ids = pa.array([None] * r["n_null"] + known.tolist(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [doc_ids, pa.array(starts + r["base"]), pa.array(ends - starts), pa.array([crc(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], pa.int64())],
@@ -149,6 +180,32 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _looked_up(wanted: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                doc_ids, ends = EliasFano(r["doc_ids"]), EliasFano(r["ends"])
+                out: list[tuple[int, list[int]]] = []
+                for w in wanted:
+                    if not r["first_id"] <= w <= r["first_id"] + doc_ids.last or not doc_ids.n:
+                        continue
+                    for i in range(doc_ids.find(w - r["first_id"]), doc_ids.n):
+                        if int(doc_ids.select(i)[0]) != w - r["first_id"]:
+                            break
+                        at = i + r["n_null"]  # documents without an id come first
+                        a = int(ends.select(at - 1)[0]) if at else 0
+                        out.append((w, np.frombuffer(r["ids"], f"<u{r['width']}")[a:int(ends.select(at)[0])].tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return run
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """``doc_id, ids`` of a few documents of a written file: blocks of their ranges, places in them by select; a repeated id comes once a document."""
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(os.path.join(path, "blocks"))
+    return blocks.where(F.col("first_id") <= max(doc_ids, default=0)).mapInArrow(_looked_up(sorted(set(doc_ids))), "doc_id long, ids array<long>")
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a written file: ``doc_id, start`` (ids of all documents before it), ``n_tokens, ids_crc32``, from the stored ids."""
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(os.path.join(path, "blocks"))

@@ -8,15 +8,16 @@ seen before come from the cache; new ones are given to the library together.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 
 #: Pieces in each of the two generations of a worker's cache; what is dropped is encoded again when it comes back.
-CACHE_PIECES = 300_000
-#: Symbols that never join a Latin letter or digit before them in one token.
-TRAILING = ".,!?*$%&#|;:"
+CACHE_PIECES = 450_000
+#: A line of Latin letters in lower case and symbols that never join a letter before them in one token; else nothing.
+LETTERS = re.compile(r"^(?:([a-zß-öø-ÿ]+)([.,!?*$%&#|;:]*)|.*)$", re.M)
 WORDS_A_CALL = 200
 CHARACTERS_A_GROUP = 4_000_000
 
@@ -41,61 +42,37 @@ class WordEncoder:
     def _library(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    @staticmethod
-    def _plain(piece: str) -> bool:
-        """Whether the tokenizer takes the piece as one word as it is: Latin letters in lower case, which have no other normal form."""
-        return piece.isalpha() and piece.islower() and (piece.isascii() or (max(piece) < "Ā" and not set(piece) & {"ª", "º"}))
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Puts the pieces into the cache."""
-        cache, older, words, plan = self.cache, self.older, [], []
-        new: set[str] = set()
-
-        def wanted(part: str) -> None:
-            if part in cache or part in new:
-                return
-            if (known := older.get(part)) is not None:
-                cache[part] = known
-                return
-            new.add(part)
-            if self._plain(part):
-                words.append(part)
-            else:
-                cache[part] = self._library(part)
-
-        for piece in pieces:
-            if older and (known := older.get(piece)) is not None:
-                cache[piece] = known
-            elif piece.isascii() and piece.isalpha() and piece.islower():
-                if piece not in new:
-                    new.add(piece)
-                    words.append(piece)
-            else:
-                base = piece.rstrip(TRAILING)
-                if not base or base[-1] >= "Ā" or not base[-1].isalnum():
-                    base = piece
-                tail = piece[len(base):]
-                if base.isascii() or max(base) < "Ā":  # a letter for a letter
-                    base = base.lower()
-                wanted(base)
-                if tail:
-                    wanted(tail)
-                if base != piece:
-                    plan.append((piece, base, tail))
+    def _take(self, words: list[str]) -> None:
+        """Puts words as the tokenizer has them, one token run each, into the cache."""
         for i in range(0, len(words), WORDS_A_CALL):
             some = words[i:i + WORDS_A_CALL]
             ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) == len(some) and stops[-1] == len(ids):
-                raw, a = ids.tobytes(), 0
-                for w, b in zip(some, stops):
-                    cache[w] = raw[4 * a:4 * b]
-                    a = b
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(some) and stops[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                self.cache.update(zip(some, map(raw.__getitem__, map(slice, [0, *stops], stops))))
             else:
-                for w in some:
-                    cache[w] = self._library(w)
-        for piece, base, tail in plan:
-            cache[piece] = cache[base] + cache[tail] if tail else cache[base]
+                self.cache.update((w, self._library(w)) for w in some)
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Puts the pieces into the cache.
+
+        A piece of Latin letters and symbols after them is its letters in lower case, which
+        have no other normal form, and its symbols; any other goes to the library as it is.
+        """
+        cache, older = self.cache, self.older
+        known = [p for p in pieces if p in older]
+        cache.update(zip(known, map(older.__getitem__, known)))
+        pieces = list(pieces.difference(known))
+        # one line a piece; a letter of another script may change its length, but no line end
+        parts = LETTERS.findall("\n".join(pieces).lower()) if pieces else []
+        bases, tails = {b for b, _ in parts}.difference(cache), {t for _, t in parts}.difference(cache)
+        known = [p for p in bases if p in older]
+        cache.update(zip(known, map(older.__getitem__, known)))
+        self._take(list(bases.difference(known, ("",))))
+        cache[""] = b""
+        cache.update((tail, self._library(tail)) for tail in tails if tail)
+        cache.update((piece, cache[base] + cache[tail] if base else self._library(piece)) for piece, (base, tail) in zip(pieces, parts))
 
     def encode(self, texts) -> list[bytes]:
         out: list[bytes] = []
