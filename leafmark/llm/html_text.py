@@ -2,13 +2,15 @@
 
 A tokenizer and a tree builder with implied tags give the element tree; rendering keeps
 all visible text: blocks on lines of their own, paragraphs and headings apart, list items with
-their marks and depth, table cells aligned in columns, preformatted text as it is.
+their marks and depth, table cells aligned in columns, preformatted text as it is. What a style hides
+is left out, and what is made visible inside of it comes back.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,13 +24,14 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
-NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-VISIBLE = re.compile(r"visibility\s*:\s*visible", re.I)
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+NUMBER = re.compile(r"\s*([+-]?\d{1,9})")
 
 # The element names of HTML by how they are parsed and shown.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSHOWN = set("area base datalist head iframe link meta noembed noframes noscript object param rp script style svg template textarea title canvas audio video select".split())
+UNSHOWN = set("area base datalist head iframe link meta noembed noframes noscript object param rp script style svg template title canvas audio video".split())
 PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr menu".split())
 BLOCKS = PARAGRAPHS | set("address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary tbody td tfoot th thead tr".split())
 CLOSES_P = PARAGRAPHS | set("address article aside center details dialog dir div dd dt fieldset figcaption footer form header hgroup li main nav search section summary".split())
@@ -52,8 +55,10 @@ IMPLIED = {
 #: Start tag: the parents it may stand in, and the element implied otherwise.
 PARENTS = {"td": ({"tr"}, "tr"), "th": ({"tr"}, "tr"), "tr": ({"table", "thead", "tbody", "tfoot"}, None)}
 SCOPE = {"table", "td", "th", "caption", "html", "button", "template"}
-#: Tables nested more deeply are shown as blocks.
-TABLE_DEPTH = 8
+#: Tables nested more deeply, as no page is meant to, are shown as blocks: every level is a call within a call.
+TABLE_DEPTH = 100
+#: Columns and rows that a cell spans at most, by the standard.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
 class Element:
@@ -121,7 +126,8 @@ def parse(page: str) -> Element:
             stack[-1].children.append(element)
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>?", re.I).search(page, at)
-                element.children.append(page[at:close.start() if close else size])
+                text = page[at:close.start() if close else size]
+                element.children.append(html.unescape(text) if tag in ("textarea", "title") else text)
                 at = close.end() if close else size
             elif tag not in VOID and not (found[0].endswith("/>") and tag not in BLOCKS):
                 stack.append(element)
@@ -172,27 +178,76 @@ class Lines:
         return "".join(self.out)
 
 
-def shown(element: Element, parent: bool) -> bool:
-    """Whether the element's own text is visible; ``parent``: its parent's is."""
+def displayed(element: Element) -> bool:
+    """Whether the element has a place on the page."""
     a = element.attributes
-    style = a.get("style", "")
-    if element.tag in UNSHOWN or "hidden" in a or (element.tag == "dialog" and "open" not in a) or NOT_SHOWN.search(style):
-        return False
-    return parent
+    return not (element.tag in UNSHOWN or "hidden" in a or (element.tag == "dialog" and "open" not in a) or NOT_SHOWN.search(a.get("style", "")))
 
 
-def render(root: Element, table_depth: int = 0) -> str:
+def visibility(element: Element, inherited: bool) -> bool:
+    """Whether the element's own text is seen: children of a hidden element may be visible again."""
+    found = VISIBILITY.findall(element.attributes.get("style", ""))
+    return {"visible": True, "hidden": False, "collapse": False}.get(found[-1].lower(), inherited) if found else inherited
+
+
+def number(element: Element, name: str, otherwise: int) -> int:
+    found = NUMBER.match(element.attributes.get(name, ""))
+    return int(found[1]) if found else otherwise
+
+
+def mark_of(kind: str, n: int) -> str:
+    """An ordered list's number in the style of its ``type``."""
+    if kind in ("a", "A") and n > 0:
+        out = ""
+        while n:
+            n, digit = divmod(n - 1, 26)
+            out = chr(ord(kind) + digit) + out
+        return out
+    if kind in ("i", "I") and 0 < n < 4000:
+        out = ""
+        for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            out += sign * (n // value)
+            n %= value
+        return out if kind == "i" else out.upper()
+    return str(n)
+
+
+def chosen(select: Element) -> list[Element]:
+    """What a select shows: its selected options, else, unless it lists several, the first."""
+    options, work = [], list(reversed(select.children))
+    while work:
+        node = work.pop()
+        if isinstance(node, Element) and node.tag == "option":
+            options.append(node)
+        elif isinstance(node, Element) and node.tag == "optgroup":
+            work += reversed(node.children)
+    marked = [o for o in options if "selected" in o.attributes]
+    if "multiple" in select.attributes or number(select, "size", 1) > 1:
+        return options
+    return marked[-1:] or options[:1]
+
+
+def width_of(text: str) -> int:
+    """Columns that a text takes: two for wide characters, none for combining ones."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def render(root: Element, table_depth: int = 0, seen: bool = True) -> str:
     lines = Lines()
-    lists: list[list] = []  # of each open list: its kind, the next number
-    work: list[tuple[str, object]] = [("open", root)]
+    lists: list[list] = []  # of each open list: its kind, the next number, the step, the type of its marks
+    work: list[tuple[str, object, bool]] = [("open", root, seen)]
     while work:
-        what, node = work.pop()
+        what, node, seen = work.pop()
         if what == "call":
             node()
         elif isinstance(node, str):
-            lines.whole(node) if what == "pre" else lines.inline(node)
-        elif shown(node, True):
-            tag, pre = node.tag, what == "pre" or node.tag in ("pre", "listing")
+            if seen:
+                lines.whole(node) if what == "pre" else lines.inline(node)
+        elif displayed(node):
+            seen = visibility(node, seen)
+            tag, pre = node.tag, what == "pre" or node.tag in ("pre", "listing", "textarea")
             if tag == "br":
                 lines.gap, lines.space = lines.gap + 1, False
                 continue
@@ -200,7 +255,7 @@ def render(root: Element, table_depth: int = 0) -> str:
                 continue
             if tag == "table" and table_depth < TABLE_DEPTH:
                 lines.block(2)
-                lines.whole(_table(node, table_depth))
+                lines.whole(_table(node, table_depth, seen))
                 lines.block(2)
                 continue
             gap = (2 if tag in PARAGRAPHS and not (tag in ("ul", "ol", "menu") and lists) else 1) if tag in BLOCKS else 0
@@ -209,14 +264,16 @@ def render(root: Element, table_depth: int = 0) -> str:
             prefix, mark = lines.prefix, lines.mark
             undo = []
             if tag in ("ul", "ol", "menu"):
-                first = node.attributes.get("start", "1")
-                lists.append([tag, int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1])
+                back = "reversed" in node.attributes
+                items = sum(isinstance(c, Element) and c.tag == "li" and displayed(c) for c in node.children)
+                lists.append([tag, number(node, "start", items if back else 1), -1 if back else 1, node.attributes.get("type", "1")])
                 undo.append(lists.pop)
             elif tag == "li":
-                kind = lists[-1] if lists else ["ul", 1]
+                kind = lists[-1] if lists else ["ul", 1, 1, ""]
+                kind[1] = number(node, "value", kind[1])
                 lines.prefix = "  " * max(0, len(lists) - 1) + ("" if prefix[:1] != ">" else prefix)
-                lines.mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
-                kind[1] += 1
+                lines.mark = f"{mark_of(kind[3], kind[1])}. " if kind[0] == "ol" else "- "
+                kind[1] += kind[2]
             elif tag == "blockquote":
                 lines.prefix = prefix + "> "
             elif tag == "dd":
@@ -230,52 +287,92 @@ def render(root: Element, table_depth: int = 0) -> str:
                 if tag in ("li", "blockquote", "dd"):
                     lines.prefix, lines.mark = prefix, mark if tag != "li" else ""
 
-            work.append(("call", close))
+            work.append(("call", close, seen))
             children = node.children
             if tag == "details" and "open" not in node.attributes:
                 children = [c for c in children if isinstance(c, Element) and c.tag == "summary"][:1]
-            work += [("pre" if pre else "open", c) for c in reversed(children)]
+            elif tag == "select":
+                children = chosen(node)
+            work += [("pre" if pre else "open", c, seen) for c in reversed(children)]
     return lines.text()
 
 
-def _table(table: Element, depth: int) -> str:
-    """Rows of cells, each column as wide as its widest cell; the caption and stray text above."""
-    rows: list[list[str]] = []
+def _cell(cell: Element, depth: int, seen: bool) -> list[str]:
+    """A cell's text: one line, unless it has preformatted text, whose lines stay."""
+    inner = Element("span", {"style": cell.attributes.get("style", "")})
+    inner.children = cell.children
+    text = render(inner, depth + 1, seen)
+    work = list(cell.children)
+    while work:
+        node = work.pop()
+        if isinstance(node, Element):
+            if node.tag in ("pre", "listing"):
+                return text.split("\n")
+            work += node.children
+    return [" ".join(text.split())]
+
+
+def _table(table: Element, depth: int, seen: bool) -> str:
+    """Rows of cells, each column as wide as its widest cell; the caption and stray text above.
+
+    A cell that spans rows or columns stands in the first of them and keeps the others empty.
+    """
+    rows: list[list[list[str]]] = []
+    taken: dict[int, int] = {}  # column: rows below that a cell above still spans
     above: list[str] = []
-    work = [iter(table.children)]
+    work = [(iter(table.children), seen)]
     while work:
-        node = next(work[-1], None)
+        nodes, seen = work[-1]
+        node = next(nodes, None)
         if node is None:
             work.pop()
+            if work:
+                taken.clear()  # no cell reaches out of its group of rows
         elif isinstance(node, str):
-            if node.strip():
+            if node.strip() and seen:
                 above.append(" ".join(node.split()))
-        elif not shown(node, True):
+        elif not displayed(node):
             continue
         elif node.tag in ("thead", "tbody", "tfoot", "colgroup"):
-            work.append(iter(node.children))
+            taken.clear()
+            work.append((iter(node.children), visibility(node, seen)))
         elif node.tag == "tr":
-            row: list[str] = []
+            row: dict[int, list[str]] = {}
+            spans: dict[int, int] = {}
+            at, in_row = 0, visibility(node, seen)
             for cell in node.children:
-                if isinstance(cell, str) or cell.tag not in ("td", "th"):
-                    text = " ".join(cell.split()) if isinstance(cell, str) else " ".join(render(cell, depth + 1).split())
-                    if text:
-                        row.append(text)
-                elif shown(cell, True):
-                    inner = Element("span")
-                    inner.children = cell.children
-                    span = cell.attributes.get("colspan", "1")
-                    row += [" ".join(render(inner, depth + 1).split())] + [""] * (min(int(span), 100) - 1 if re.fullmatch(r"\d{1,9}", span) else 0)
-            if any(row):
-                rows.append(row)
+                if isinstance(cell, Element) and not displayed(cell):
+                    continue
+                if is_cell := isinstance(cell, Element) and cell.tag in ("td", "th"):
+                    text = _cell(cell, depth, visibility(cell, in_row))
+                    across, down = min(max(1, number(cell, "colspan", 1)), MOST_COLUMNS), number(cell, "rowspan", 1)
+                    down = min(down, MOST_ROWS) if down > 0 else MOST_ROWS if down == 0 else 1
+                else:
+                    text, across, down = [" ".join((cell if isinstance(cell, str) else render(cell, depth + 1, in_row)).split())], 1, 1
+                    if not text[0] or (isinstance(cell, str) and not in_row):
+                        continue
+                while taken.get(at, 0):
+                    at += 1
+                row[at] = text
+                for c in range(at, at + across):
+                    if is_cell and down > 1:
+                        spans[c] = down - 1
+                at += across
+            taken = {c: n - 1 for c, n in taken.items() if n > 1} | spans
+            if any(any(t) for t in row.values()):
+                rows.append([row.get(c, [""]) for c in range(max(row) + 1)])
         else:
-            above.append(render(node, depth + 1))
+            above.append(render(node, depth + 1, seen))
     widths: list[int] = []
     for row in rows:
         widths += [0] * (len(row) - len(widths))
         for i, cell in enumerate(row):
-            widths[i] = max(widths[i], len(cell))
-    lines = ["  ".join(cell.ljust(w) for cell, w in zip(row, widths)).rstrip() for row in rows]
+            widths[i] = max(widths[i], *map(width_of, cell))
+    lines = []
+    for row in rows:
+        for k in range(max(map(len, row))):
+            part = [cell[k] if k < len(cell) else "" for cell in row]
+            lines.append("  ".join(t + " " * (w - width_of(t)) for t, w in zip(part, widths)).rstrip())
     return "\n".join([x for x in above if x] + lines)
 
 
@@ -292,6 +389,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``page_id, url, text`` of every row; null and empty pages have an empty text."""
+    """``page_id, url, text`` of every row; null and empty pages have an empty text.
+
+    Pages are read one by one, as long as they are; repeated rows stay apart, an empty table gives no
+    rows, and columns of other names don't come along, whatever they are called.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(_texts, "page_id long, url string, text string")
