@@ -1,6 +1,7 @@
 """Edit-aware token counts: a segment tree of pre-token runs per document.
 
-A document is cut into leaves of whole pre-tokens; a leaf keeps its characters' and
+The pattern of pre-tokens is that of the byte-level vocabularies: an optional space and letters, digits or
+other symbols, contractions, white space. A document is cut into leaves of whole pre-tokens; a leaf keeps its characters' and
 tokens' numbers, inner nodes their sums. An edit re-encodes the leaves that it touches, and a neighbour
 where the edit reaches a leaf's edge and the pre-tokens there may join, and updates
 the sums on the way to the root. The rest of the text is not encoded again.
@@ -9,17 +10,18 @@ the sums on the way to the root. The rest of the text is not encoded again.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Characters of a leaf, about.
 LEAF = 512
-#: After a character that isn't white space, a space or line feed begins a new pre-token, whatever follows.
-CUT = re.compile(r"\S(?=[ \n])")
+#: Where a pre-token ends whatever follows, and the next one begins: before a space or line feed after
+#: another character; between letters, digits and other symbols, but after an apostrophe, which may join letters.
+CUT = regex.compile(r"\S(?=[ \n])|\p{L}(?=[^\s\p{L}])|\p{N}(?=[^\s\p{N}])|[^\s\p{L}\p{N}'](?=[\p{L}\p{N}])")
 TREE = "struct<width: int, chars: array<int>, tokens: array<int>>"
 EDITS = "array<struct<pos: int, remove: int, insert: string>>"
 COUNTS = "struct<n_tokens: long, n_tokens_edited: long, reencoded_chars: long, n_leaves: int>"
@@ -35,26 +37,42 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def leaves_of(text: str, size: int = LEAF) -> list[str]:
-    """Consecutive parts of about ``size`` characters that begin and end with whole pre-tokens."""
+@lru_cache(maxsize=2)
+def joined_bytes(path: str, pattern: str) -> frozenset[int]:
+    """Pairs of bytes next to each other in a token; between any others nothing ever merges."""
+    return frozenset(a << 8 | b for t in encoding(path, pattern).token_byte_values() for a, b in zip(t, t[1:]))
+
+
+def separate(a: str, b: str, joined: frozenset[int] = frozenset()) -> bool:
+    """Whether no token reaches from the character ``a`` to ``b`` after it, whatever stands around them.
+
+    Two letters are apart where ``joined`` is given and lacks the bytes that meet there.
+    """
+    if CUT.match(a + b):
+        return True
+    return bool(joined) and a.isalpha() and b.isalpha() and (a.encode("utf-8", "surrogatepass")[-1] << 8 | b.encode("utf-8", "surrogatepass")[0]) not in joined
+
+
+def leaves_of(text: str, size: int = LEAF, joined: frozenset[int] = frozenset()) -> list[str]:
+    """Consecutive parts of about ``size`` characters that no token crosses: whole pre-tokens, and parts of long runs of letters."""
     out, at = [], 0
     while at < len(text):
-        found = CUT.search(text, min(len(text), at + size - 1))
-        stop = found.end() if found else len(text)
+        begin = min(len(text), at + size - 1)
+        found = CUT.search(text, begin, min(len(text), begin + size))
+        stop = found.end() if found else next((i for i in range(begin + 1, min(len(text), begin + size)) if separate(text[i - 1], text[i], joined)), None)
+        if stop is None:
+            found = CUT.search(text, min(len(text), begin + size - 1))
+            stop = found.end() if found else len(text)
         out.append(text[at:stop])
         at = stop
     return out
 
 
-def _separate(left: str, right: str) -> bool:
-    return right[:1] in (" ", "\n") and not left[-1:].isspace()
-
-
 class SegmentTree:
     """Leaves with sums of characters and tokens; node i has the children 2i and 2i + 1."""
 
-    def __init__(self, leaves: list[str], count, tokens: list[int] | None = None):
-        self.leaves, self.count = list(leaves), count
+    def __init__(self, leaves: list[str], count, tokens: list[int] | None = None, joined: frozenset[int] = frozenset()):
+        self.leaves, self.count, self.joined = list(leaves), count, joined
         self.tokens_of = list(tokens) if tokens is not None else [count(x) for x in leaves]
         self._sum_up()
 
@@ -107,11 +125,11 @@ class SegmentTree:
         last = self.locate(pos + remove)[0] if remove else first
         text = "".join(self.leaves[first:last + 1])
         text = text[: pos - start] + insert + text[pos - start + remove:]
-        while (before := self._next(first, -1)) is not None and not (text and _separate(self.leaves[before], text)):
+        while (before := self._next(first, -1)) is not None and not (text and separate(self.leaves[before][-1], text[0], self.joined)):
             text, first = self.leaves[before] + text, before
-        while (after := self._next(last, 1)) is not None and not (text and _separate(text, self.leaves[after])):
+        while (after := self._next(last, 1)) is not None and not (text and separate(text[-1], self.leaves[after][0], self.joined)):
             text, last = text + self.leaves[after], after
-        if len(text) > 4 * LEAF and len(parts := leaves_of(text)) > last - first + 1:
+        if len(text) > 4 * LEAF and len(parts := leaves_of(text, LEAF, self.joined)) > last - first + 1:
             self.leaves[first:last + 1] = parts
             self.tokens_of[first:last + 1] = [self.count(x) for x in parts]
             self._sum_up()
@@ -129,9 +147,9 @@ def _counter(path: str, pattern: str):
 
 def _trees(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(path, pattern)
+        count, joined = _counter(path, pattern), joined_bytes(path, pattern)
         for batch in batches:
-            trees = [SegmentTree(leaves_of(t or ""), count) for t in batch.column(0).to_pylist()]
+            trees = [SegmentTree(leaves_of(t or "", LEAF, joined), count) for t in batch.column(0).to_pylist()]
             yield batch.append_column("tree", pa.array([{"width": t.width, "chars": t.chars, "tokens": t.tokens} for t in trees], pa.struct([("width", pa.int32()), ("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])))
 
     return run
@@ -139,7 +157,7 @@ def _trees(path: str, pattern: str):
 
 def _edited(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(path, pattern)
+        count, joined = _counter(path, pattern), joined_bytes(path, pattern)
         for batch in batches:
             out = []
             for text, tree, edits in zip(batch.column("text").to_pylist(), batch.column("tree").to_pylist(), batch.column("edits").to_pylist()):
@@ -147,7 +165,7 @@ def _edited(path: str, pattern: str):
                 for n in tree["chars"][width:]:
                     leaves.append(text[at:at + n])
                     at += n
-                t = SegmentTree(leaves, count, tree["tokens"][width:])
+                t = SegmentTree(leaves, count, tree["tokens"][width:], joined)
                 before = t.tokens[1]
                 again = sum(t.edit(e["pos"] or 0, e["remove"] or 0, e["insert"] or "") for e in edits or [] if e)
                 out.append({"n_tokens": before, "n_tokens_edited": t.tokens[1], "reencoded_chars": again, "n_leaves": sum(map(bool, t.leaves))})
@@ -157,7 +175,7 @@ def _edited(path: str, pattern: str):
 
 
 def build_trees(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``text, doc_id, tree`` of every row; a null or empty text has an empty tree."""
+    """``text, doc_id, tree`` of every row; a null or empty text has an empty tree, repeated rows a tree each; an empty table gives no rows."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     return rows.mapInArrow(_trees(path, pattern), f"text string, doc_id long, tree {TREE}")
 
