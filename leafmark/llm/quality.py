@@ -1,10 +1,10 @@
 """Quality classifier by co-training on two views of a document.
 
 The text view sees the content only, the metadata view everything but the content (length,
-language, source). Both are logistic regressions. Each round a view is fitted on the labelled documents and
-on those unlabelled ones that the other view is sure of, weighted so that they never outweigh the
-labels; then both score all unlabelled documents again. At the end each view is calibrated on
-labelled documents kept aside, and a last regression combines the two.
+language, source). Both are logistic regressions, first fitted on the labelled documents. Each round both
+score all unlabelled documents, and each is fitted again on the labelled ones and on those that
+the other is sure of, weighted so that they never outweigh the labels. At the end each view is calibrated
+on one half of the labelled documents kept aside, and a regression on the other half combines the two.
 
 A document is fit if its quality is 1 and it isn't toxic.
 """
@@ -169,7 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: in
 
     At most ``labelled`` labels are learned from; all documents without one are candidates
     for pseudo-labels. A null quality is no label, a null toxic is 0, repeated labels are
-    one (the worst). Without labels the model accepts every document.
+    one (the worst). Without labels the model accepts every document. An empty table of documents
+    teaches nothing beyond that. Which labels are taken depends on hashes of their ids alone, so repeated
+    rows and ties change nothing.
     """
     spark = docs.sparkSession
     column = lambda c, t: (F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c)
@@ -189,21 +191,25 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: in
         model.combined = (0.0, 0.0, 5.0)
         return model
     n_base = base.count()
-    taught = {"t": base, "m": base}
     logit_sure = float(np.log(SURE / (1 - SURE)))
+    model.text, model.metadata = _fit(base, "t", TEXT_FEATURES), _fit(base, "m", METADATA_FEATURES, 1e-2)
     for _ in range(rounds):
-        model.text, model.metadata = _fit(taught["t"], "t", TEXT_FEATURES), _fit(taught["m"], "m", METADATA_FEATURES, 1e-2)
+        taught = {}
         for pupil, teacher, w in (("m", "t", model.text), ("t", "m", model.metadata)):
             sure = rest.withColumn("z", _logit(teacher, w)).where(F.abs("z") >= logit_sure).withColumn("good", (F.col("z") > 0).cast("int"))
             n = sure.count()
             taught[pupil] = base.unionByName(sure.withColumn("weight", F.lit(min(0.5, 0.5 * n_base / n) if n else 0.0)).drop("z")) if n else base
-    # at most `labelled` rows of three numbers
-    held = marked.where("good is not null and aside").select(_logit("t", model.text).alias("a"), _logit("m", model.metadata).alias("b"), "good").collect()
+        model.text, model.metadata = _fit(taught["t"], "t", TEXT_FEATURES), _fit(taught["m"], "m", METADATA_FEATURES, 1e-2)
+    # at most `labelled` rows of four numbers
+    held = marked.where("good is not null and aside").select(_logit("t", model.text).alias("a"), _logit("m", model.metadata).alias("b"), "good", (F.pmod(F.xxhash64("label_id", F.lit(2)), F.lit(2)) == 0).alias("half")).collect()
     if held:
-        a, b, y = (np.array([float(r[c]) for r in held]) for c in ("a", "b", "good"))
-        model.calibration = tuple(tuple(float(v) for v in _calibrate(np.clip(x, -20, 20), y, 1)) for x in (a, b))
+        a, b, y, half = (np.array([float(r[c]) for r in held]) for c in ("a", "b", "good", "half"))
+        one, other = half == 1, half == 0
+        if len(set(y[one])) < 2 or len(set(y[other])) < 2:  # too few for halves
+            one = other = np.ones(len(y), bool)
+        model.calibration = tuple(tuple(float(v) for v in _calibrate(np.clip(x[one], -20, 20), y[one], 1)) for x in (a, b))
         z = np.stack([s * x + c for x, (s, c) in zip((a, b), model.calibration)], axis=1)
-        model.combined = tuple(float(v) for v in _calibrate(np.clip(z, -20, 20), y, 2))
+        model.combined = tuple(float(v) for v in _calibrate(np.clip(z[other], -20, 20), y[other], 2))
     return model
 
 
@@ -218,7 +224,11 @@ def _scored(model, at: dict[str, int | None]):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, text_score, metadata_score, score, accepted`` of every row; null and empty texts are scored like any other."""
+    """``doc_id, text_score, metadata_score, score, accepted`` of every row; null and empty texts are scored like any other.
+
+    One row each, repeats too; other columns don't come along. An empty table gives no rows.
+    A score of exactly the least one is accepted.
+    """
     column = lambda c, t: (F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c)
     rows = docs.select(column("doc_id", "long"), column("text", "string"), column("lang", "string"), column("source", "string"), column("n_chars", "long"))
     return rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model), {"text": 1, "lang": 2, "source": 3, "n_chars": 4}), "doc_id long, text_score double, metadata_score double, score double, accepted boolean")
@@ -234,5 +244,5 @@ def _accepted(model, at: dict[str, int | None]):
 
 
 def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns, that the model accepts."""
+    """The rows of ``docs``, all columns, whatever their names, that the model accepts; repeated rows share their fate, an empty table stays empty."""
     return docs.mapInArrow(_accepted(docs.sparkSession.sparkContext.broadcast(model), _places(docs)), docs.schema)
