@@ -9,26 +9,50 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Folders written by :func:`stored` in this process and not yet removed.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a folder of this machine is taken.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset a folder of this machine
+    is taken by a local session, as in tests; a session with executors elsewhere is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file:///tmp/checkpoints/leafmark"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table stays until :func:`release`, as what is derived from it may be read at any time.
+    """
     path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """The stored tables so far, for :func:`release`."""
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove stored tables that nothing will read again."""
+    for path in paths:
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -62,8 +86,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if row["n"] == 0 or (row["n"], row["h"]) == digest:
             break
-        digest = (row["n"], row["h"])
+        digest, before = (row["n"], row["h"]), written()[-1:]
         e = stored(star(star(e, True), False), "links")
+        release(e.sparkSession, before)  # the round before
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # settled: every edge runs from a node to the root of its star
