@@ -5,13 +5,15 @@ words with so few edits that between most matched words that follow each other t
 edit at most: those are pairs of the item's words, next to each other or one apart, that are so
 in the document too. The pairs that the documents hold seldom are seeds, all but so few that an
 alignment always keeps some of them; where enough seeds lie within the reach of one alignment,
-the item is aligned with the passage around them, so that no alignment is missed. Two passes
+the item is aligned with the passage around them, so that no alignment is missed. An item of fewer
+than ``SHORT`` words is too short to be told from chance after an edit, and must stand in the document word for word. Two passes
 read the documents: one counts the items' pairs, one aligns. Items are taken in blocks of a bounded number, so that what the tasks hold doesn't
 grow with the benchmark; each block is held against all documents.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,16 +25,22 @@ from .common import union
 #: Zeros after each text, so that no pair crosses its end.
 APART = 2
 BLOCK_ITEMS = 10_000
-#: Items of fewer words are too short to be told from chance and match nothing.
-MIN_WORDS = 8
+#: Items of fewer words match as whole sequences of words only.
+SHORT = 8
+#: Cells of an alignment's matrix row that are held together.
+CELLS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
 WORD_BYTES = bytes.maketrans(bytes(range(65, 91)) + bytes(c for c in range(33, 127) if not chr(c).isalnum()), bytes(range(97, 123)) + b" " * 32)
+#: Characters of scripts without spaces between words; each is a word.
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff])")
 HITS = "doc_id long, item_id long, similarity double, first_word int, last_word int"
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words; ASCII punctuation is white space."""
+    """Lower-cased (A-Z) words; ASCII punctuation is white space, and a character of a script without spaces a word."""
+    if text and not text.isascii():
+        text = UNSPACED.sub(r" \1 ", text)
     return (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
 
 
@@ -41,20 +49,27 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str | None]]):
         texts = [(i, words_of(t)) for i, t in rows]
-        self.ids = [i for i, w in texts if len(w) >= MIN_WORDS]
-        self.words = [w for _, w in texts if len(w) >= MIN_WORDS]
+        self.ids = [i for i, w in texts if w]
+        self.words = [w for _, w in texts if w]
         vocabulary = sorted({w for item in self.words for w in item})
         self.vocabulary = {w: k + 1 for k, w in enumerate(vocabulary)}
         self.coded = [np.array([self.vocabulary[w] for w in item], np.int64) for item in self.words]
+        # words that are an item by themselves are seeds of their own
+        self.alone = np.zeros(len(vocabulary) + 1, bool)
+        self.alone[[int(c[0]) for c in self.coded if len(c) == 1]] = True
         pairs = [p for c in self.coded for p in self.pairs(c)]
         self.keys = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         self.keys = self.keys[self.keys >= 0]
 
     def pairs(self, coded: np.ndarray) -> list[np.ndarray]:
-        """The pair of the word at each place and the next one, and that with the one after it, as one number; -1 where a word is not of the items."""
+        """The pair of the word at each place and the next one, and that with the one after it, as one number; -1 where a word is not of the items.
+
+        Where there are items of one word, their words too, as pairs with nothing.
+        """
         base = len(self.vocabulary) + 1
         after = np.concatenate([coded, np.zeros(APART, np.int64)])
-        return [np.where((coded > 0) & (after[k:k + len(coded)] > 0), coded * base + after[k:k + len(coded)], -1) for k in range(1, APART + 1)]
+        single = [np.where(self.alone[coded], coded * base, -1)] if self.alone.any() else []
+        return single + [np.where((coded > 0) & (after[k:k + len(coded)] > 0), coded * base + after[k:k + len(coded)], -1) for k in range(1, APART + 1)]
 
     def code(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The words of all texts as numbers (0: not of the items), with zeros after each text, and where texts begin."""
@@ -89,13 +104,14 @@ class Items:
         at a place of its own. Of that many the half may be places that are no seeds: those whose pairs are the most frequent.
         """
         count = np.array([frequency.get(k, 0) for k in range(len(self.keys))], np.int64)
+        self.least = np.array([1.0 if len(c) < SHORT else least for c in self.coded])
         seeds, needed = [], []
         for item, coded in enumerate(self.coded):
-            of = [(np.searchsorted(self.keys, p[p >= 0]), np.flatnonzero(p >= 0)) for p in self.pairs(coded)]
-            cost = np.zeros(len(coded) - 1, np.int64)
+            of = [(np.searchsorted(self.keys, p[p >= 0]), np.flatnonzero(p >= 0)) for p in self.pairs(coded)[-APART if len(coded) > 1 else 0:]]
+            cost = np.zeros(max(1, len(coded) - 1), np.int64)
             for which, place in of:
                 cost[place] += count[which]
-            steps = max(1, int(np.ceil(least * len(coded) - 1 - 1e-9)))
+            steps = max(1, int(np.ceil(self.least[item] * len(coded) - 1 - 1e-9)))
             need = -(-steps // 2)
             seed = np.ones(len(cost), bool)
             seed[np.argsort(cost, kind="stable")[len(cost) - (steps - need):]] = False
@@ -109,7 +125,7 @@ class Items:
         self.seed_item = table[:, 1]
         self.needed = np.array(needed, np.int64)
         # an alignment's passage is no longer than all words of the item and the edits that its score allows
-        self.reach = np.array([int(np.floor((3 - 2 * least) * len(c) + 1e-9)) for c in self.coded], np.int64)
+        self.reach = np.array([int(np.floor((3 - 2 * t) * len(c) + 1e-9)) for c, t in zip(self.coded, self.least)], np.int64)
 
 
 def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,8 +159,8 @@ def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, begin, end
 
 
-def matches(items: Items, texts: list[str | None], least: float) -> list[tuple[int, int, float, int, int]]:
-    """``(text, item, similarity, first word, last word)`` of all texts that hold an item to ``least`` or more."""
+def matches(items: Items, texts: list[str | None]) -> list[tuple[int, int, float, int, int]]:
+    """``(text, item, similarity, first word, last word)`` of all texts that hold an item to the index's least score or more."""
     coded, begins = items.code(texts)
     place, seed = items.find(items.seed_keys, coded)
     if not len(place):
@@ -170,15 +186,16 @@ def matches(items: Items, texts: list[str | None], least: float) -> list[tuple[i
         k = int(near[a, 0])
         length = len(items.coded[k])
         margin = int(items.reach[k])
-        for c in range(a, b, 256):
-            some = near[c:min(b, c + 256)]
+        together = max(1, min(256, CELLS // (length + 2 * margin)))
+        for c in range(a, b, together):
+            some = near[c:min(b, c + together)]
             left = some[:, 2] * length - margin
             at = left[:, None] + np.arange(length + 2 * margin)
             inside = (at >= begins[some[:, 1]][:, None]) & (at < begins[some[:, 1] + 1][:, None])
             passages = np.where(inside, coded[np.clip(at, 0, len(coded) - 1)], 0)
             best, first, last = align(items.coded[k], passages)
             similarity = best / (MATCH * length)
-            for r in np.flatnonzero(similarity >= least):
+            for r in np.flatnonzero(similarity >= items.least[k]):
                 key, offset = (int(some[r, 1]), k), int(left[r] - begins[some[r, 1]])
                 value = (float(similarity[r]), offset + int(first[r]), offset + int(last[r]) - 1)
                 if value > found.get(key, (0.0, 0, 0)):
@@ -213,27 +230,27 @@ def indexes(docs: DataFrame, benchmark: DataFrame, least: float, id_col: str, te
         yield spark.sparkContext.broadcast(items)
 
 
-def _find(index, least: float):
+def _find(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = index.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 ids = some.column(0).to_pylist()
-                rows = matches(items, some.column(1).to_pylist(), least)
+                rows = matches(items, some.column(1).to_pylist())
                 columns = list(zip(*[(ids[d], items.ids[k], s, a, b) for d, k, s, a, b in rows])) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "similarity", "first_word", "last_word"])
 
     return run
 
 
-def _clean(index, at: int, least: float):
+def _clean(index, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 some = batch.slice(a, 512)
                 keep = np.ones(some.num_rows, bool)
-                keep[[m[0] for m in matches(index.value, some.column(at).to_pylist(), least)]] = False
+                keep[[m[0] for m in matches(index.value, some.column(at).to_pylist())]] = False
                 yield some.filter(pa.array(keep))
 
     return run
@@ -243,16 +260,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_c
     """``doc_id, item_id, similarity, first_word, last_word`` of each document row and test item aligned to ``least`` of the item's best score or more.
 
     Words are counted from 0 within the document. Null texts match nothing; repeated
-    rows of either table are each reported; items under ``MIN_WORDS`` words match nothing.
+    rows of either table are each reported. Items under ``SHORT`` words match word for word only, items
+    without words and null ones nothing; empty tables give no rows. Each block of 10,000 items reads the documents twice.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = [texts.mapInArrow(_find(index, least), HITS) for index in indexes(docs, benchmark, least, id_col, text_col)]
+    found = [texts.mapInArrow(_find(index), HITS) for index in indexes(docs, benchmark, least, id_col, text_col)]
     return union(found) if found else docs.sparkSession.createDataFrame([], HITS)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no test item to ``least`` or more."""
+    """The rows of ``docs``, all columns, whatever their names, that hold no test item to ``least`` or more.
+
+    Rows with a null or empty text stay, repeated rows share their fate, and an empty benchmark drops nothing.
+    """
     kept = docs
     for index in indexes(docs, benchmark, least, id_col, text_col):
-        kept = kept.mapInArrow(_clean(index, docs.columns.index(text_col), least), docs.schema)
+        kept = kept.mapInArrow(_clean(index, docs.columns.index(text_col)), docs.schema)
     return kept
