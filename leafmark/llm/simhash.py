@@ -36,7 +36,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         return 0
     parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in parts], dtype="<u8")
+    return majority(np.array([digest(s, SEED) for s in parts], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 if there are none."""
+    if not len(hashes):
+        return 0
     set_in = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * set_in > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -192,6 +198,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id
     """The rows of ``docs``, all columns: one of each component, that with the component's smallest id (null ids last).
 
     Of several rows with that id and fingerprint the one whose text has the smallest hash stays.
+    Null, empty and blank texts have the fingerprint 0 and are one group. An empty table stays empty.
     """
     fps = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     reps = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-reps")
