@@ -31,6 +31,8 @@ TELLING, TELLING_DOCS, TELLING_Z = 2_000, 8, 2.0
 #: Toxic words are told apart from the rest by so large a log-odds ratio at least.
 TELLING_ODDS = 3.0
 ROUNDS = 3
+#: Steps of a fit at most; each is a job over all rows learned from.
+STEPS = 20
 SURE = 0.97
 #: Share of the labelled documents kept aside for calibration.
 ASIDE = 4
@@ -139,7 +141,7 @@ def _fit(rows: DataFrame, view: str, width: int, regularised: float = 1e-4) -> n
     if len(seen) < 2:
         return np.concatenate([np.zeros(width), [0.0 if not seen else 5.0 if 1 in seen else -5.0]])
     data = rows.select(array_to_vector(F.col(view).cast("array<double>")).alias("features"), F.col("good").cast("double").alias("label"), "weight")
-    model = LogisticRegression(maxIter=40, regParam=regularised, weightCol="weight").fit(data)
+    model = LogisticRegression(maxIter=STEPS, regParam=regularised, weightCol="weight").fit(data)
     return np.concatenate([model.coefficients.toArray(), [model.intercept]])
 
 
