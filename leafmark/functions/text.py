@@ -38,6 +38,11 @@ def normalize_ws(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(col(c), r"\s+", " "))
 
 
+def strip(c: str | Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+
+
 def words(c: str | Column) -> Column:
     """Runs of letters, digits and underscores."""
     return F.regexp_extract_all(col(c), F.lit(f"({WORD})"), F.lit(1))
