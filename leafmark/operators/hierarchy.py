@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as S
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as S
 
 from ..functions import text as T
 
@@ -19,13 +19,54 @@ def sections(documents: DataFrame) -> DataFrame:
     return lines.select("doc_id", "source", "section_pos", T.normalize_ws("raw").alias("text")).where("text <> ''")
 
 
+# Names of sections, in the order in which they are looked for in a title.
+SECTION_NAMES = ["abstract", "introduction", "related work", "method", "methods", "experiments", "results", "discussion", "limitations", "conclusion", "references"]
+HEADERS = ["section_header", "title", "subtitle"]
+
+
+def section_type(title: str | Column) -> Column:
+    """The first known name in a title without its number; document if there is none."""
+    value = T.fold(T.strip(F.regexp_replace(title, r"^\d+(?:\.\d+)*\.?\s*", "")))
+    return F.coalesce(*[F.when(F.contains(value, F.lit(n)), n.replace(" ", "_")) for n in SECTION_NAMES], F.lit("document"))
+
+
 def markdown_sections(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Titles and bodies at headings of level 1 to 3; what stands before the first is Document. Empty bodies go."""
-    lines = documents.select(key, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("heading", F.col("line").rlike("^#{1,3} ").cast("int"))
-    numbered = lines.withColumn("section", F.sum("heading").over(Window.partitionBy(key).orderBy("line_no")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("heading") == 0, F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
-    grouped = numbered.groupBy(key, "section").agg(F.coalesce(F.max(F.when(F.col("heading") == 1, F.regexp_replace("line", "^#+ +", ""))), F.lit("Document")).alias("title"), T.normalize_ws(body).alias("body"))
-    return grouped.where("body <> ''")
+    """``key, section, title, section_type, body``: cut at headings of level 1 to 3; what stands before the first is Document. Empty bodies go.
+
+    Lines stay in their document's row: headings begin sections by their places in the array of lines.
+    """
+    lines = documents.select(key, F.split("text", "\n").alias("lines"))
+    cuts = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(r"^#{1,3}\s+\S"), i)), lambda i: i.isNotNull())
+    starts = lines.withColumn("starts", F.concat(F.array(F.lit(-1)), cuts))
+    part = starts.select(key, "lines", "starts", F.posexplode("starts").alias("section", "at"))
+    stop = F.coalesce(F.get("starts", F.col("section") + 1), F.size("lines"))
+    title = F.when(F.col("at") < 0, "Document").otherwise(T.strip(F.regexp_replace(F.get("lines", F.greatest("at", F.lit(0))), r"^#+\s+", "")))
+    body = T.strip(F.array_join(F.slice("lines", F.col("at") + 2, stop - F.col("at") - 1), "\n"))
+    return part.select(key, "section", title.alias("title"), body.alias("body")).where("body <> ''").withColumn("section_type", F.when(F.col("section") == 0, "document").otherwise(section_type("title"))).select(key, "section", "title", "section_type", "body")
+
+
+def layout_sections(items: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Sections of ordered layout items: ``key, section_pos, title, section_type, text, page_start, page_end, confidence, page_spans, items``.
+
+    ``items``: key, ordinal, label, text, page, confidence. A header closes the section before it; texts are joined by line
+    feeds, each with its page; what stands before the first header comes first as Document. Runs of
+    blanks become one, and the spans of pages are laid anew on what is left.
+    """
+    head = F.col("label").isin(HEADERS)
+    w = Window.partitionBy(key).orderBy("ordinal")
+    numbered = items.withColumn("cut", F.sum(head.cast("int")).over(w))
+    held = F.array_sort(F.collect_list(F.when(~head & (F.coalesce("text", F.lit("")) != ""), F.struct("ordinal", "text", "page", "confidence"))))
+    named = F.max(F.when(head, F.struct(F.coalesce(F.nullif(T.strip("text"), F.lit("")), F.lit("Untitled Section")).alias("t"))))["t"]
+    grouped = numbered.groupBy(key, "cut").agg(named.alias("title"), held.alias("held")).where(F.size("held") > 0).withColumn("title", F.coalesce("title", F.lit("Document")))
+    squeezed = grouped.withColumn("parts", F.transform("held", lambda x: F.regexp_replace(x["text"], r"[ \t]+", " ")))
+    ends = squeezed.withColumn("ends", F.transform("parts", lambda _, i: F.aggregate(F.slice("parts", 1, i + 1), F.lit(-1), lambda a, t: a + F.length(t) + 1)))
+    spans = F.filter(F.zip_with(F.zip_with("held", "parts", lambda h, p: F.struct(h["page"].alias("page"), F.length(p).alias("n"))), "ends", lambda x, e: F.struct((e - x["n"]).alias("s"), e.alias("e"), x["page"].alias("page"))), lambda x: x["page"].isNotNull())
+    sure = F.filter(F.transform("held", lambda x: x["confidence"]), lambda c: c.isNotNull())
+    mean = F.when(F.size(sure) > 0, F.aggregate(sure, F.lit(0.0), lambda a, c: a + c) / F.size(sure)).otherwise(1.0)
+    page = lambda f: F.coalesce(f(F.transform("page_spans", lambda x: x["page"])), F.lit(1))
+    done = ends.withColumn("page_spans", spans).select(key, "cut", "title", F.when(F.col("title") == "Document", "document").otherwise(section_type("title")).alias("section_type"), T.strip(F.array_join("parts", "\n")).alias("text"), page(F.array_min).alias("page_start"), page(F.array_max).alias("page_end"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean)), 4).alias("confidence"), "page_spans", F.size("held").alias("items")).where("text <> ''")
+    order = Window.partitionBy(key).orderBy(F.col("title") != "Document", "cut")
+    return done.withColumn("section_pos", F.row_number().over(order) - 1).drop("cut")
 
 
 def greedy_leaves(words: list[int], target: int, overlap: int) -> list[tuple[int, int]]:
@@ -49,16 +90,21 @@ def _folded(target: int, overlap: int):
     return run
 
 
+def folded_spans(rows: DataFrame, keys: list[str], text: str = "text", target: int = LEAF_TOKENS, overlap: int = OVERLAP_SENTENCES) -> DataFrame:
+    """Adds the normalized text ``value``, the ``sizes`` of its sentences and the ``spans`` of sentences that are leaves; only the fold over word counts runs in Python."""
+    value = rows.select(*keys, T.normalize_ws(text).alias("value"), T.sentences(text).alias("parts"))
+    counted = value.select(*keys, "value", F.transform("parts", lambda s: F.regexp_count(s, F.lit(T.WORD))).alias("words"), F.transform("parts", F.length).alias("sizes"))
+    schema = S.StructType([*counted.schema.fields, S.StructField("spans", S.ArrayType(S.StructType([S.StructField("first", S.IntegerType()), S.StructField("last", S.IntegerType())])))])
+    return counted.mapInArrow(_folded(target, overlap), schema).drop("words")
+
+
 def leaf_spans(rows: DataFrame, keys: list[str], text: str = "text", target: int = LEAF_TOKENS, overlap: int = OVERLAP_SENTENCES) -> DataFrame:
     """Greedy leaves of about ``target`` estimated tokens: ``keys, position, leaf, char_start, char_end, tokens``.
 
-    Sentences join a leaf until the next would pass the target; the last ``overlap`` go on into the next leaf. Only the
-    fold over a section's word counts runs in Python; offsets are into the normalized text.
+    Sentences join a leaf until the next would pass the target; the last ``overlap`` go on into the next leaf.
+    Offsets are into the normalized text.
     """
-    value = rows.select(*keys, T.normalize_ws(text).alias("value"), T.sentences(text).alias("parts"))
-    counted = value.select(*keys, "value", F.transform("parts", lambda s: F.regexp_count(s, F.lit(T.WORD))).alias("words"), F.transform("parts", F.length).alias("sizes"))
-    schema = S.StructType([*counted.schema.fields, S.StructField("spans", S.ArrayType(S.StructType([S.StructField("first", S.IntegerType()), S.StructField("last", S.IntegerType())])))])
-    at = counted.mapInArrow(_folded(target, overlap), schema).select(*keys, "value", "sizes", F.posexplode("spans").alias("position", "span"))
+    at = folded_spans(rows, keys, text, target, overlap).select(*keys, "value", "sizes", F.posexplode("spans").alias("position", "span"))
     before = lambda n: F.aggregate(F.slice(F.col("sizes"), 1, n), F.lit(0), lambda a, x: a + x + 1)
     spans = at.select(*keys, "value", "position", before(F.col("span.first")).alias("char_start"), (before(F.col("span.last") + 1) - 1).alias("char_end"))
     return spans.select(*keys, "position", F.substring("value", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("leaf"), "char_start", "char_end").withColumn("tokens", T.token_estimate("leaf"))

@@ -1,3 +1,3 @@
 """Registered queries over the given tables; importing this package registers them."""
 
-from . import audit_queries, claim_queries, evaluation_queries, retrieval_queries, source_queries, text_queries, timeline_queries, tree_queries  # noqa: F401
+from . import audit_queries, claim_queries, evaluation_queries, node_queries, retrieval_queries, source_queries, text_queries, timeline_queries, tree_queries  # noqa: F401

@@ -7,8 +7,11 @@ from pyspark.sql import Window, functions as F
 from ..functions import text as T
 from ..operators import duplicates as D, hierarchy as H, tables, timeline as L
 from ..registry import query
+from .node_queries import LEAVES, R, SECTIONS as NODES_SECTIONS, TOKENS_OF
 from .text_queries import SENTENCES, TOKENS, WS, put
 
+WHOLE = f"sec AS (SELECT doc_id, source, 0 AS sp, '' AS section_id, {put(WS, 'text')} AS value FROM documents)"
+
 SPANS = f"""ss AS (SELECT doc_id, unnest({SENTENCES}) AS sentence, generate_subscripts({SENTENCES}, 1) AS pos FROM documents),
 sp AS (SELECT doc_id, pos, sentence, CAST(sum(length(sentence) + 1) OVER w - length(sentence) - 1 AS BIGINT) AS char_start, CAST(sum(length(sentence) + 1) OVER w - 1 AS BIGINT) AS char_end FROM ss WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"""
 PAGES = f"pg AS (SELECT doc_id, unnest(generate_series(1, greatest(1, CAST(ceil(length({put(WS, 'text')}) / 1000) AS BIGINT)))) AS page FROM documents)"
@@ -27,10 +30,10 @@ def pages(t):
 
 @query("a10_markdown_sections", rf"""WITH l AS (SELECT doc_id, unnest(string_split('# First' || chr(10) || text || chr(10) || '## Last' || chr(10) || source, chr(10))) AS line, generate_subscripts(string_split('# First' || chr(10) || text || chr(10) || '## Last' || chr(10) || source, chr(10)), 1) AS i FROM documents), h AS (SELECT *, CAST(regexp_matches(line, '^#{{1,3}} ') AS INT) AS h FROM l),
 s AS (SELECT *, sum(h) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM h), g AS (SELECT doc_id, section, coalesce(max(CASE WHEN h = 1 THEN regexp_replace(line, '^#+ +', '') END), 'Document') AS title, {put(WS, "string_agg(CASE WHEN h = 0 THEN line END, chr(10) ORDER BY i)")} AS body FROM s GROUP BY ALL)
-SELECT doc_id, CAST(section AS BIGINT) AS section, title, body FROM g WHERE body <> ''""")
+SELECT doc_id, CAST(section AS INTEGER) AS section, title, body FROM g WHERE body <> ''""")
 def markdown_sections(t):
     marked = t("documents").select("doc_id", F.concat(F.lit("# First\n"), "text", F.lit("\n## Last\n"), "source").alias("text"))
-    return H.markdown_sections(marked)
+    return H.markdown_sections(marked).select("doc_id", "section", "title", T.normalize_ws("body").alias("body"))
 
 
 @query("a19_group_folds", "SELECT source, CAST((row_number() OVER (ORDER BY source) - 1) % 5 AS INTEGER) AS fold FROM (SELECT DISTINCT source FROM documents)")
@@ -44,7 +47,7 @@ def conversion_report(t):
     return t("documents").groupBy("lang").agg(F.count("*").alias("documents"), F.count_if(F.contains("text", F.lit("\n"))).alias("with_lines"), F.countDistinct(F.sha2("text", 256)).alias("texts"), F.sum("n_chars").alias("chars"))
 
 
-@query("c01_leaf_spans")
+@query("c01_leaf_spans", R + LEAVES.replace(NODES_SECTIONS, WHOLE) + " SELECT doc_id, position, text AS leaf, a AS char_start, b AS char_end, " + put(TOKENS_OF, "text") + " AS tokens FROM leaf")
 def leaf_spans(t):
     return H.leaf_spans(t("documents"), ["doc_id"])
 
