@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from . import spoken
+
 # Words that carry no content, in English and Vietnamese.
 STOP_WORDS = "a an and are as at be by for from in is it of on or that the this to was with các có của được là một những theo trong và".split()
 # English number words and their digits.
@@ -122,19 +124,19 @@ def context_key(*parts: Column) -> Column:
 
 
 def numbers_in(c: str | Column) -> Column:
-    """The different numbers of a text: dotted thousands joined, decimal commas as points, outer zeros gone."""
+    """The different numbers of a text, spoken ones too: dotted thousands joined, decimal commas as points, outer zeros gone."""
 
     def canonical(raw: Column) -> Column:
         value = F.when(raw.rlike(r"^\d{1,3}(\.\d{3})+$"), F.replace(raw, F.lit("."), F.lit(""))).otherwise(F.replace(raw, F.lit(","), F.lit(".")))
         whole = F.regexp_replace(value, "^0+", "")
         return F.when(F.contains(value, F.lit(".")), F.regexp_replace(F.regexp_replace(value, "0+$", ""), r"\.+$", "")).otherwise(F.when(whole == "", "0").otherwise(whole))
 
-    return F.array_distinct(F.transform(F.regexp_extract_all(col(c), F.lit(r"(\d+(?:[.,]\d+)*)"), F.lit(1)), canonical))
+    return F.array_distinct(F.transform(F.regexp_extract_all(spoken.digits_from_number_words(col(c)), F.lit(r"(\d+(?:[.,]\d+)*)"), F.lit(1)), canonical))
 
 
 def number_list(c: str | Column) -> Column:
-    """All numbers, language-neutral: spaces, commas and points before groups of three digits are thousands."""
-    joined = F.regexp_replace(F.translate(col(c), "０１２３４５６７８９", "0123456789"), r"(?<=\d)[   ](?=\d{3}(?!\d))", "")
+    """All numbers of a text in compatibility forms (:func:`spoken.nfkc`), language-neutral: spaces, commas and points before groups of three digits are thousands."""
+    joined = F.regexp_replace(col(c), r"(?<=\d)[   ](?=\d{3}(?!\d))", "")
 
     def canonical(raw: Column) -> Column:
         thousands = raw.rlike(r"^\d{1,3}([.,]\d{3})+$") & ~raw.rlike(r"^0[.,]\d{3}$")
@@ -174,7 +176,7 @@ def spaced_tokens(c: str | Column) -> Column:
 
 
 def translation_flags(source: str | Column, target: str | Column) -> Column:
-    """``empty`` and ``numbers_changed`` for a translated segment."""
+    """``empty`` and ``numbers_changed`` for a translated segment; both texts in compatibility forms."""
     a, b = number_list(source), number_list(target)
     matters = lambda items: counted(F.filter(items, lambda v: F.contains(v, F.lit(".")) | (F.length(v) >= 2)))
     more = F.size(b) > multiset_overlap(b, a)
@@ -197,8 +199,8 @@ def lexical_conflict(claim: str | Column, evidence: str | Column) -> Column:
 
 
 def normalize_transcript(c: str | Column) -> Column:
-    """Lower case, thousands joined, punctuation and symbols as spaces, % as a word of its own."""
-    joined = F.regexp_replace(F.lower(col(c)), r"(?<=\d)[.,](?=\d{3}(?!\d))", "")
+    """Compatibility forms in lower case, thousands joined, punctuation and symbols as spaces, % as a word of its own."""
+    joined = F.regexp_replace(F.lower(spoken.nfkc(col(c))), r"(?<=\d)[.,](?=\d{3}(?!\d))", "")
     return normalize_ws(F.replace(F.regexp_replace(joined, r"[\p{P}\p{S}&&[^%]]", " "), F.lit("%"), F.lit(" % ")))
 
 
@@ -214,3 +216,26 @@ def word_chunks(c: str | Column, size: int) -> Column:
     w = spaced_tokens(c)
     n = F.greatest(F.lit(1), F.ceil(F.size(w) / size)).cast("int")
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * size + 1, size), " "))
+
+
+def truncate_to_tokens(c: str | Column, tokens: Column) -> Column:
+    """The first sentences within a budget of estimated tokens; of a first one that is too long the first words."""
+    text, limit = col(c), F.greatest(F.lit(4), F.floor(tokens / 1.25)).cast("int")
+    parts = sentences(text)
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("total"), F.lit(True).alias("open"))
+
+    def take(s: Column, part: Column) -> Column:
+        size = F.regexp_count(part, F.lit(WORD))
+        fits = s["open"] & (s["total"] + size <= limit)
+        return F.struct((s["n"] + fits.cast("int")).alias("n"), (s["total"] + F.when(fits, size).otherwise(0)).alias("total"), fits.alias("open"))
+
+    kept = F.aggregate(parts, start, take, lambda s: s["n"])
+    some = lambda t: F.array_join(F.slice(words(t), F.lit(1), limit), " ")
+    return F.when(token_estimate(text) <= limit * 1.25, text).when(kept > 0, F.array_join(F.slice(parts, F.lit(1), kept), " ")).when(F.size(parts) > 0, some(F.get(parts, 0))).otherwise(some(text))
+
+
+def truncate_to_fit(c: str | Column, tokens: Column) -> Column:
+    """Cut at a sentence, then at a word, so that the estimate never passes the budget."""
+    cut = truncate_to_tokens(c, tokens)
+    most = F.least(F.size(words(cut)) - 1, F.floor(tokens / 1.25).cast("int"))
+    return F.when((cut == "") | (token_estimate(cut) <= tokens), cut).when(most >= 1, F.array_join(F.slice(words(cut), F.lit(1), F.greatest(most, F.lit(1))), " ")).otherwise("")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import text as T
+from ..functions import spoken, text as T
 from ..operators import tables
 from ..registry import query
 
@@ -121,10 +121,18 @@ w AS (SELECT doc_id, CASE WHEN contains(v, '.') THEN regexp_replace(regexp_repla
 n AS (SELECT doc_id, CASE WHEN regexp_replace(v, '^0+', '') = '' THEN '0' ELSE regexp_replace(v, '^0+', '') END AS number FROM w)
 SELECT doc_id, number, count(*) AS n FROM n GROUP BY ALL""")
 def number_multiset(t):
-    return t("documents").select("doc_id", F.explode(T.number_list("text")).alias("number")).groupBy("doc_id", "number").agg(F.count("*").alias("n"))
+    plain = t("documents").select("doc_id", spoken.nfkc(F.col("text")).alias("text"))
+    return plain.select("doc_id", F.explode(T.number_list("text")).alias("number")).groupBy("doc_id", "number").agg(F.count("*").alias("n"))
 
 
-@query("b19_claim_guard")
+OVER = "(?i)(^|[^\\p{L}\\p{N}_])(tốt hơn|cao hơn|nhanh hơn|vượt|vượt trội|hơn hẳn|better|outperform)"
+EVEN = "(?i)(^|[^\\p{L}\\p{N}_])(không kém|không thua|tương đương|ngang bằng|non-inferior|not worse)"
+NUMBER_OF = r"CASE WHEN contains(v, '.') THEN regexp_replace(regexp_replace(v, '0+$', ''), '\.+$', '') WHEN regexp_replace(v, '^0+', '') = '' THEN '0' ELSE regexp_replace(v, '^0+', '') END"
+
+
+@query("b19_claim_guard", rf"""WITH {PAIRS}, b AS (SELECT conv_id, turn, 0 AS own, evidence AS text FROM pairs UNION ALL SELECT conv_id, turn, 1, claim FROM pairs), r AS (SELECT conv_id, turn, own, unnest(regexp_extract_all(text, '\d+(?:[.,]\d+)*')) AS r FROM b), v AS (SELECT conv_id, turn, own, {NUMBER_VALUE} AS v FROM r), n AS (SELECT conv_id, turn, own, {NUMBER_OF} AS number FROM v),
+m AS (SELECT DISTINCT conv_id, turn FROM (SELECT conv_id, turn, number FROM n WHERE own = 1 EXCEPT SELECT conv_id, turn, number FROM n WHERE own = 0))
+SELECT pairs.conv_id, pairs.turn, CASE WHEN m.turn IS NOT NULL THEN 'number_not_in_evidence' WHEN regexp_matches(claim, '{OVER}') AND regexp_matches(evidence, '{EVEN}') AND NOT regexp_matches(evidence, '{OVER}') AND NOT regexp_matches(claim, '{EVEN}') THEN 'non_inferiority_overclaimed' END AS reason FROM pairs LEFT JOIN m ON m.conv_id = pairs.conv_id AND m.turn = pairs.turn""")
 def claim_guard(t):
     return pairs(t).select("conv_id", "turn", T.claim_guard("claim", "evidence").alias("reason"))
 
@@ -139,9 +147,14 @@ def lexical_conflict(t):
     return pairs(t).select("conv_id", "turn", T.lexical_conflict("claim", "evidence").alias("conflict"))
 
 
-@query("b18_translation_flags")
+@query("b18_translation_flags", rf"""WITH {PAIRS}, b AS (SELECT conv_id, turn, 0 AS target, evidence AS text FROM pairs UNION ALL SELECT conv_id, turn, 1, claim FROM pairs), x AS (SELECT conv_id, turn, target, unnest(regexp_extract_all(regexp_replace(text, '(\d) (\d{{3}})([^\d]|$)', '\1\2\3', 'g'), '\d+(?:[.,]\d+)*')) AS r FROM b),
+v AS (SELECT conv_id, turn, target, CASE WHEN regexp_full_match(r, '\d{{1,3}}([.,]\d{{3}})+') AND NOT regexp_full_match(r, '0[.,]\d{{3}}') THEN regexp_replace(r, '[.,]', '', 'g') WHEN regexp_full_match(r, '\d+[.,]\d+') THEN replace(r, ',', '.') ELSE regexp_replace(r, '[.,]', '', 'g') END AS v FROM x),
+w AS (SELECT conv_id, turn, target, CASE WHEN contains(v, '.') THEN regexp_replace(regexp_replace(v, '0+$', ''), '\.$', '') ELSE v END AS v FROM v), n AS (SELECT conv_id, turn, target, CASE WHEN regexp_replace(v, '^0+', '') = '' THEN '0' ELSE regexp_replace(v, '^0+', '') END AS number FROM w),
+c AS (SELECT conv_id, turn, number, count(*) FILTER (target = 0) AS a, count(*) FILTER (target = 1) AS b FROM n GROUP BY ALL), f AS (SELECT conv_id, turn, bool_or(b > a OR (a <> b AND (contains(number, '.') OR length(number) >= 2))) AS changed FROM c GROUP BY ALL)
+SELECT pairs.conv_id, pairs.turn, concat_ws(',', CASE WHEN {put(WS, 'claim')} = '' THEN 'empty' END, CASE WHEN changed THEN 'numbers_changed' END) AS flags FROM pairs LEFT JOIN f ON f.conv_id = pairs.conv_id AND f.turn = pairs.turn""")
 def translation_flags(t):
-    return pairs(t).select("conv_id", "turn", F.array_join(T.translation_flags("evidence", "claim"), ",").alias("flags"))
+    plain = pairs(t).select("conv_id", "turn", spoken.nfkc(F.col("evidence")).alias("evidence"), spoken.nfkc(F.col("claim")).alias("claim"))
+    return plain.select("conv_id", "turn", F.array_join(T.translation_flags("evidence", "claim"), ",").alias("flags"))
 
 
 TRANSCRIPT = put(WS, r"replace(regexp_replace(regexp_replace(lower({c}), '(\d)[.,](\d{3})([^\d]|$)', '\1\2\3', 'g'), '[!-$&-/:-@\[-`{-~]', ' ', 'g'), '%', ' % ')")
