@@ -20,9 +20,10 @@ LEAF = ["doc_id", "pos"]
 BLOCK_QUERIES = 2_000
 
 
-def terms(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row a white-space token in lower case, repeats included."""
-    return df.select(*keys, F.explode(T.spaced_tokens(F.lower(text))).alias("term"))
+#: Questions whose terms a task holds at once, and leaves scored together.
+TERM_QUERIES, TERM_LEAVES = 500, 512
+#: Found rows that a task holds before it keeps the best of them only.
+HELD = 2_000_000
 
 
 def ranked(scores: DataFrame, k: int | None, query: str = "query_id", by: list[str] | None = None, score: str = "score") -> DataFrame:
@@ -32,35 +33,134 @@ def ranked(scores: DataFrame, k: int | None, query: str = "query_id", by: list[s
     return out.where(F.col("rank") <= k) if k else out
 
 
-def with_zeros(scores: DataFrame, leaves: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Scores and, for lists that would be short, the first ``k`` leaves with 0."""
-    first = leaves.select(*LEAF).orderBy(*LEAF).limit(k)
-    fill = queries.select("query_id").join(F.broadcast(first)).select("query_id", *LEAF, F.lit(0.0).alias("score"))
-    return scores.unionByName(fill).groupBy("query_id", *LEAF).agg(F.max("score").alias("score"))
+def _best(found: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of ``query, group, score, doc_id, pos`` the first ``k`` rows of each query and group."""
+    query, group, score, doc, pos = found
+    order = np.lexsort((pos, doc, -np.round(score, 9), group, query))
+    query, group = query[order], group[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(query)), bool), (query[1:] != query[:-1]) | (group[1:] != group[:-1])]))
+    place = np.arange(len(query)) - np.repeat(new, np.diff(np.concatenate([new, [len(query)]])))
+    order = order[place < k]
+    return [x[order] for x in found]
 
 
-def bm25_scores(leaves: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``query_id, doc_id, pos, score`` of leaves that share a term with the question.
+def _term_scores(block, part, k: int, zeros: bool, grouped: bool):
+    """Each task's best ``k`` leaves of every question (and group): products of the leaf's and the questions' weights over their terms."""
 
-    Document frequency, number and mean length are of all leaves, whatever a later scope
-    keeps. A term that a question repeats counts as often.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vocabulary, weights = block.value
+        n_terms, get = len(vocabulary), vocabulary.get
+        groups: dict[str | None, int] = {}
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, TERM_LEAVES):
+                some = batch.slice(at, TERM_LEAVES)
+                doc, pos = some.column(0).to_numpy(), some.column(1).to_numpy().astype(np.int64)
+                lists = some.column(2).to_pylist()
+                length = np.array([len(x) for x in lists])
+                term = np.fromiter((get(w, -1) for x in lists for w in x), np.int64, int(length.sum()))
+                leaf = np.repeat(np.arange(len(lists)), length)[term >= 0]
+                key, times = np.unique(leaf * n_terms + term[term >= 0], return_counts=True)
+                leaf, (own, column) = key // max(1, n_terms), np.unique(key % max(1, n_terms), return_inverse=True)
+                table = np.zeros((len(lists), len(own)))
+                table[leaf, column] = part(times.astype(float), length[leaf])
+                scores = table @ weights[own]
+                if grouped:
+                    rows, query = np.nonzero(scores > 0)
+                    code = np.array([groups.setdefault(g, len(groups)) for g in some.column(3).to_pylist()])[rows]
+                else:
+                    near = np.round(scores, 9)
+                    keep = (near >= np.partition(near, len(lists) - k, axis=0)[len(lists) - k]) if k < len(lists) else np.ones(near.shape, bool)
+                    rows, query = np.nonzero(keep if zeros else keep & (scores > 0))
+                    code = np.zeros(len(rows), np.int64)
+                held.append(_best([query, code, scores[rows, query], doc[rows], pos[rows]], k))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held = [_best([np.concatenate(x) for x in zip(*held)], k)]
+                    size = len(held[0][0])
+        if held:
+            query, code, score, doc, pos = _best([np.concatenate(x) for x in zip(*held)], k)
+            names = list(groups) or [None]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array([names[c] for c in code], pa.string()), pa.array(doc, pa.int64()), pa.array(pos.astype(np.int32)), pa.array(score)], names=["query_id", "group", "doc_id", "pos", "score"])
+
+    return run
+
+
+FOUND = "query_id long, group string, doc_id long, pos int, score double"
+
+
+def _by_terms(leaves: DataFrame, queries: DataFrame, tokens, weigh, part, k: int, zeros: bool, group: str | None) -> DataFrame:
+    """Scores of leaves for blocks of questions: the block's terms go to the leaves, and each task hands on its best rows only.
+
+    ``weigh(terms)`` gives the weights of a block's terms by their numbers; ``tokens`` a leaf's or question's words.
     """
-    tf = terms(leaves, LEAF).groupBy(*LEAF, "term").agg(F.count("*").alias("tf"))
-    size = tf.groupBy(*LEAF).agg(F.sum("tf").alias("len"))
-    whole = size.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    asked = terms(queries, ["query_id"]).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    # only the questions' terms matter from here on
-    hits = tf.join(asked.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = k1 * (1 - b + b * F.col("len") / F.greatest(F.lit(1.0), "avgdl"))
-    part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    joined = hits.join(asked, "term").join(df, "term").join(size, LEAF).join(F.broadcast(whole))  # one row
-    return joined.groupBy("query_id", *LEAF).agg(F.sum(part).alias("score"))
+    spark = leaves.sparkSession
+    rows = queries.select("query_id", tokens("text").alias("tokens"))
+    blocks, found = -(-rows.count() // TERM_QUERIES), []
+    held = leaves.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("pos").cast("int").alias("pos"), tokens("text").alias("tokens"), (F.col(group) if group else F.lit(None)).cast("string").alias("group"))
+    for b in range(blocks):
+        some = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").collect()
+        vocabulary = {w: i for i, w in enumerate(sorted({w for r in some for w in r["tokens"]}))}
+        asked = np.zeros((len(vocabulary), len(some)))
+        for q, r in enumerate(some):
+            for w in r["tokens"]:
+                asked[vocabulary[w], q] += 1
+        block = spark.sparkContext.broadcast((np.array([r["query_id"] for r in some], np.int64), vocabulary, weigh(held, vocabulary, asked)))
+        found.append(held.mapInArrow(_term_scores(block, part, k, zeros, group is not None), FOUND))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], FOUND)
+
+
+def _frequencies(vocabulary: dict[str, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            for words in batch.column(0).to_pylist():
+                for w in set(words):
+                    if (i := vocabulary.get(w)) is not None:
+                        total[i] += 1
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["term", "n"])
+
+    return run
+
+
+def bm25_found(leaves: DataFrame, queries: DataFrame, k: int, group: str | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``query_id, group, doc_id, pos, score``: each task's best ``k`` leaves for each question, in each group if one is named.
+
+    Document frequency, number and mean length are of all leaves, whatever a scope keeps. A term that a
+    question repeats counts as often.
+    """
+    tokens = lambda c: T.spaced_tokens(F.lower(c))
+    whole = leaves.select(F.size(tokens("text")).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")).first()
+    mean = max(1.0, whole["avgdl"] or 1.0)
+
+    def weigh(held: DataFrame, vocabulary: dict[str, int], asked: np.ndarray) -> np.ndarray:
+        # one row a term of the block's questions
+        counts = held.select("tokens").mapInArrow(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+        df = np.zeros(len(vocabulary))
+        df[[r["term"] for r in counts]] = [r["n"] for r in counts]
+        return asked * (k1 + 1) * np.log(1 + (whole["n"] - df + 0.5) / (df + 0.5))[:, None]
+
+    return _by_terms(leaves, queries, tokens, weigh, lambda tf, length: tf / (tf + k1 * (1 - b + b * length / mean)), k, group is None, group)
 
 
 def bm25(leaves: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    return ranked(with_zeros(bm25_scores(leaves, queries), leaves, queries, k), k)
+    """The best ``k`` leaves of all for each question; those without a common term fill a short list in their order."""
+    return ranked(bm25_found(leaves, queries, k).select("query_id", *LEAF, "score"), k)
+
+
+def scoped_bm25(leaves: DataFrame, queries: DataFrame, k: int, scope: str = "source") -> DataFrame:
+    """The best ``k`` leaves with a common term in every scope for each question: a scope cuts before the ranking."""
+    found = bm25_found(leaves, queries, k, scope).withColumnRenamed("group", scope)
+    return ranked(found.withColumn("__of", F.struct("query_id", scope)), k, query="__of").drop("__of")
+
+
+def sparse_topk(leaves: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` leaves by the sum over shared content words of (1 + ln times) in both; only leaves with one."""
+    weigh = lambda held, vocabulary, asked: np.where(asked > 0, 1 + np.log(np.maximum(asked, 1)), 0)
+    found = _by_terms(leaves, queries, T.content_tokens, weigh, lambda tf, length: 1 + np.log(tf), k, False, None)
+    return ranked(found.select("query_id", *LEAF, "score"), k)
 
 
 def sparse_weights(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,7 +170,7 @@ def sparse_weights(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sparse_scores(leaf_weights: DataFrame, query_weights: DataFrame) -> DataFrame:
-    """Sum over shared terms of the products of weights."""
+    """Sum over shared terms of the products of stored weights; the questions' weights are the smaller side of the join."""
     q = query_weights.select("query_id", "term", F.col("weight").alias("asked"))
     return leaf_weights.join(q, "term").groupBy("query_id", *LEAF).agg(F.sum(F.col("weight") * F.col("asked")).alias("score"))
 

@@ -37,8 +37,7 @@ def rounded(df, *keys):
 
 
 def sparse_list(t, k):
-    q = asked(t)
-    return R.ranked(R.sparse_scores(R.sparse_weights(leaves(t), R.LEAF), R.sparse_weights(q, ["query_id"])), k)
+    return R.sparse_topk(leaves(t), asked(t), k)
 
 
 def bm25_list(t, k):
@@ -95,10 +94,7 @@ def rrf(t):
 @query("d07_scoped_search", bm25_sql(1) + ", s AS (SELECT bm.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, bm.doc_id, bm.pos) AS rank FROM bm JOIN (SELECT doc_id, source FROM documents) d USING (doc_id)) SELECT query_id, source, doc_id, pos, round(score, 6) AS score, rank FROM s WHERE rank <= 3")
 def scoped_search(t):
     """The best leaves of every source for every question: the scope cuts before the ranking."""
-    lv = leaves(t)
-    scored = R.bm25_scores(lv, asked(t)).join(t("documents").select("doc_id", "source"), "doc_id")
-    ranked = R.ranked(scored.withColumn("scope", F.struct("query_id", "source")), 3, query="scope")
-    return rounded(ranked, "source", *R.LEAF)
+    return rounded(R.scoped_bm25(leaves(t), asked(t), 3), "source", *R.LEAF)
 
 
 @query("d08_route_candidates", bm25_sql(80) + SPARSE + FUSED + """, sc AS (SELECT item_id AS query_id, doc_id, pos FROM benchmark JOIN lv ON lv.source = 'src' || (item_id % 20)), n AS (SELECT query_id, count(*) AS n FROM sc GROUP BY ALL),

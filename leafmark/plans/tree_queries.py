@@ -151,6 +151,15 @@ def near_duplicates(t):
     return D.near_duplicate_pairs(t("documents")).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query("c20_origin_groups", f"""WITH RECURSIVE w AS (SELECT doc_id, {put(TOKENS, 'text')} AS w FROM documents), s AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, greatest(1, length(w) - 4)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE length(w) > 0),
+d AS (SELECT doc_id, sha256(string_agg(s, chr(1) ORDER BY s)) AS k, count(*) AS n FROM s GROUP BY ALL), c AS (SELECT min(doc_id) AS id, max(n) AS n FROM d GROUP BY k), x AS (SELECT s.doc_id AS id, s.s FROM s SEMI JOIN c ON c.id = s.doc_id),
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM x JOIN x y ON x.s = y.s AND x.id < y.id GROUP BY ALL), m AS (SELECT a, b, k / (ca.n + cb.n - k) AS s FROM p JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b WHERE k / (ca.n + cb.n - k) >= 0.8), up AS (SELECT b, min(a) AS a FROM m GROUP BY b),
+ro AS (SELECT c.id, c.id AS node FROM c UNION ALL SELECT ro.id, up.a FROM ro JOIN up ON up.b = ro.node), root AS (SELECT id, min(node) AS root FROM ro GROUP BY id), dc AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id FROM d)
+SELECT documents.doc_id, coalesce(root, documents.doc_id) AS group_id, CASE WHEN class_id <> documents.doc_id THEN least(class_id, coalesce(up.a, class_id)) ELSE up.a END AS first_match FROM documents LEFT JOIN dc USING (doc_id) LEFT JOIN root ON root.id = class_id LEFT JOIN up ON up.b = class_id""")
+def origin_groups(t):
+    return D.origin_groups(t("documents")).drop("reason")
+
+
 @query("c20_duplicate_classes", f"""WITH w AS (SELECT doc_id, {put(TOKENS, 'text')} AS w FROM documents), s AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, greatest(1, length(w) - 4)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE length(w) > 0),
 d AS (SELECT doc_id, sha256(string_agg(s, chr(1) ORDER BY s)) AS k FROM s GROUP BY ALL), g AS (SELECT k, min(doc_id) AS class_id FROM d GROUP BY k), m AS (SELECT doc_id, class_id FROM d JOIN g USING (k)) SELECT documents.doc_id, coalesce(class_id, documents.doc_id) AS class_id FROM documents LEFT JOIN m USING (doc_id)""")
 def duplicate_classes(t):
