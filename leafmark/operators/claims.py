@@ -102,3 +102,142 @@ def conversation_candidates(pairs: DataFrame) -> DataFrame:
     score, blocked = effective_support(T.overlap(F.array_distinct(e), c), F.lit(0.0), coverage, T.lexical_conflict("claim", "sentence"))
     cut = s.select("claim_id", (F.col("p") + 1).alias("ordinal"), F.concat_ws(":", "claim_id", "p").alias("child_id"), F.round(score, 9).alias("score"), blocked.alias("blocked"), (F.col("p") % 2 == 0).alias("retrieved"))
     return cut.where(F.col("ordinal") <= PER_CLAIM)
+
+
+# Flags of an extraction that make figures drawn from it doubtful, and what counts as figures.
+RISKY = ["low_confidence", "possible_repetition", "possible_non_speech", "alignment_uncertain", "overlapping_cue"]
+FIGURES = r"[0-9]|[=+×÷^√∑∫%<>≤≥]"
+
+
+def transcription_state(items: Column) -> Column:
+    """not_applicable without items (flags, reviewed), reviewed if all are, else automatic."""
+    return F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, "not_applicable").when(F.forall(items, lambda i: i["reviewed"]), "reviewed").otherwise("automatic")
+
+
+def post_guards(claims: DataFrame, evidence: DataFrame, multilingual: bool = True) -> DataFrame:
+    """``claim_id, rejected_reason, transcription_state`` of supported claims.
+
+    In the ``multilingual`` profile a claim needs its numbers in the evidence and must not turn non-inferiority into superiority. A claim with
+    figures from an unreviewed passage with a risky flag is to be reviewed first. ``claims``: claim_id, text; ``evidence``: claim_id,
+    ordinal, quote, items array<struct<flags array<string>, reviewed boolean>>.
+    """
+    quotes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "quote"))), lambda q: q["quote"]), " ")
+    g = evidence.groupBy("claim_id").agg(quotes.alias("quotes"), F.flatten(F.collect_list(F.coalesce("items", F.array().cast("array<struct<flags: array<string>, reviewed: boolean>>")))).alias("items"))
+    j = claims.select("claim_id", "text").join(g, "claim_id", "left").withColumn("quotes", F.coalesce("quotes", F.lit("")))
+    guard = T.claim_guard("text", "quotes") if multilingual else F.lit(None).cast("string")
+    risky = F.exists("items", lambda i: F.arrays_overlap(i["flags"], F.array(*map(F.lit, RISKY))) & ~i["reviewed"])
+    review = F.when(F.col("text").rlike(FIGURES) & F.coalesce(risky, F.lit(False)), "extraction_quality_review_required")
+    return j.withColumn("guard", guard).select("claim_id", F.coalesce("guard", review).alias("rejected_reason"), transcription_state(F.col("items")).alias("transcription_state"))
+
+
+def visible_candidates(claims: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``claim_id, node_id, text``: what each claim may be held against, its own cited fragments only, one text a leaf.
+
+    ``claims``: query_id, claim_id, citations array<string>; ``blocks``: query_id, context_id, node_id, char_start, char_end, text.
+    """
+    cited = claims.select("query_id", "claim_id", F.explode(F.array_distinct("citations")).alias("context_id")).join(blocks, ["query_id", "context_id"])
+    shown = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("char_start", "char_end", "text"))), lambda b: b["text"]))
+    return cited.groupBy("claim_id", "node_id").agg(F.array_join(shown, "\n").alias("text"))
+
+
+def verify_visible(claims: DataFrame, blocks: DataFrame, scorer=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(trace, outcomes, evidence)``: :func:`decide` with each claim seeing its own fragments only; evidence ids count through a question.
+
+    ``claims``: query_id, claim_id, claim_no, text, citations, confidence. ``scorer`` maps (claim, text) columns to (support, contradiction); the default is lexical.
+    """
+    seen = visible_candidates(claims, blocks).join(claims.select("query_id", "claim_id", "claim_no", F.col("text").alias("claim")), "claim_id")
+    c, e = T.canonical_tokens("claim"), T.canonical_tokens("text")
+    support, against = scorer(F.col("claim"), F.col("text")) if scorer else (T.overlap(F.array_distinct(c), e), F.lit(0.0))
+    score, blocked = effective_support(support, against, T.claim_coverage(c, e), T.lexical_conflict("claim", "text"))
+    order = F.row_number().over(Window.partitionBy("claim_id").orderBy("node_id"))
+    candidates = seen.select("claim_id", F.col("node_id").alias("child_id"), order.alias("ordinal"), F.round(score, 9).alias("score"), blocked.alias("blocked"), F.lit(True).alias("retrieved")).where(F.col("ordinal") <= PER_CLAIM)
+    valid = blocks.groupBy("query_id").agg(F.collect_set("context_id").alias("ids"))
+    rows = claims.join(valid, "query_id", "left").select("claim_id", F.size(F.array_intersect("citations", F.coalesce("ids", F.array().cast("array<string>")))).alias("valid_citations"), "confidence")
+    trace, outcomes = decide(candidates, rows)
+    chosen = trace.where("selected").join(claims.select("query_id", "claim_id", "claim_no"), "claim_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("claim_no", "child_id"))
+    return trace, outcomes, chosen.select("query_id", "claim_id", "child_id", "score", F.concat(F.lit("E"), place.cast("string")).alias("evidence_id"))
+
+
+def outcome_metrics(claims: DataFrame, evidence: DataFrame, blocks: DataFrame, run: str = "run_id") -> DataFrame:
+    """Per run: claims made and kept, risk before and after the filter, rates that are null without claims, the share of the largest group, groups, tokens shown.
+
+    ``claims``: run, claim_id, status, best_support; ``evidence``: run, claim_id, origin; ``blocks``: run, tokens.
+    """
+    ok = F.col("status") == "accepted"
+    c = claims.groupBy(run).agg(F.count("*").alias("generated"), F.count_if(ok).alias("accepted"), (1 - F.avg("best_support")).alias("risk_before"), (1 - F.avg(F.when(ok, F.col("best_support")))).alias("risk_after"))
+    g = evidence.groupBy(run, "origin").agg(F.count("*").alias("n")).groupBy(run).agg(F.max("n").alias("largest"), F.count("*").alias("groups_cited"))
+    b = blocks.groupBy(run).agg(F.sum("tokens").alias("context_tokens"))
+    j = c.join(g, run, "left").join(b, run, "left")
+    return j.select(run, "generated", "accepted", "risk_before", "risk_after", F.try_divide("accepted", "generated").alias("acceptance"), F.try_divide("largest", "accepted").alias("concentration"), F.coalesce("groups_cited", F.lit(0)).alias("groups_cited"), F.coalesce("context_tokens", F.lit(0)).alias("context_tokens"))
+
+
+def consensus_rows(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``claim_id, status, supporting, contradicting`` (sorted citations) of claims with more than one piece of evidence, or not just supported.
+
+    ``claims``: claim_id, status; ``evidence``: claim_id, role, citation.
+    """
+    of = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("citation"))))
+    g = evidence.groupBy("claim_id").agg(of(F.col("role") != "contradicting").alias("supporting"), of(F.col("role") == "contradicting").alias("contradicting"), F.count("*").alias("n"))
+    return claims.join(g, "claim_id", "left").where((F.col("n") > 1) | (F.col("status") != "supported")).select("claim_id", "status", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("supporting", "contradicting")])
+
+
+def synthesis_sections(outline: DataFrame, claims: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(sections, contexts, runs)``: each outline item failed, complete with its template and claims, or insufficient; context ids count on through the run.
+
+    ``outline``: run_id, item_no, title, failed; ``claims``: run_id, item_no, claim_no, claim_id, text; ``contexts``: run_id, item_no, context_no.
+    """
+    held = claims.groupBy("run_id", "item_no").agg(F.array_sort(F.collect_list(F.struct("claim_no", "claim_id", "text"))).alias("c"))
+    j = outline.join(held, ["run_id", "item_no"], "left")
+    status = F.when(F.col("failed"), "failed").when(F.col("c").isNotNull(), "complete").otherwise("insufficient")
+    ids = F.transform("c", lambda c: c["claim_id"])
+    template = F.array_join(F.transform("c", lambda c: F.concat(c["text"], F.lit(" {{"), c["claim_id"], F.lit("}}"))), " ")
+    done = F.col("status") == "complete"
+    sections = j.withColumn("status", status).select("run_id", "item_no", "title", "status", F.when(done, template).alias("template_text"), F.when(done, ids).otherwise(F.array().cast("array<string>")).alias("claim_ids"))
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("item_no", "context_no"))
+    numbered = contexts.withColumn("context_id", F.concat(F.lit("C"), place.cast("string")))
+    runs = sections.groupBy("run_id").agg(F.when(F.bool_or(F.col("status") == "failed"), "partial").otherwise("succeeded").alias("status"))
+    return sections, numbered, runs
+
+
+# Weights of a branch's reward.
+RECALL_W, PRECISION_W, RESCUE_W, ANSWER_W, HARMFUL, AMBIGUITY, EMPTY, TOKENS_W, LATENCY_W, GAIN, PRECISION_EPSILON, HARMFUL_DELTA = 0.5, 0.7, 0.5, 0.5, 1.0, 0.3, 0.4, 0.3, 0.05, 0.02, 0.02, 0.05
+
+
+def rollout_rewards(branches: DataFrame, gold: DataFrame, budget: int = 7000) -> DataFrame:
+    """``query_id, group_id, branch, precision, recall, rescue, harmful, reward`` of each branch, against the annotator whose set agrees with it best.
+
+    ``branches``: query_id, group_id, branch (keep, parent, section), verified_ids array, retrieved_ids array, answer_f1, ambiguous_rate, tokens,
+    latency_ms; ``gold``: query_id, annotator, gold_ids array. Rescued is gold that was not retrieved, harmful what was neither gold nor retrieved.
+    """
+    j = branches.join(gold, "query_id", "left").withColumn("gold_ids", F.coalesce("gold_ids", F.array().cast("array<string>")))
+    got, hit = F.size(F.array_distinct("verified_ids")), F.size(F.array_intersect("verified_ids", "gold_ids"))
+    p, r = F.coalesce(F.try_divide(hit, got), F.lit(0.0)), F.coalesce(F.try_divide(hit, F.size(F.array_distinct("gold_ids"))), F.lit(0.0))
+    moved = F.array_except("verified_ids", "retrieved_ids")
+    j = j.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+    j = j.withColumn("rescue", F.coalesce(F.try_divide(F.size(F.array_intersect(moved, "gold_ids")), F.size(F.array_distinct("gold_ids"))), F.lit(0.0))).withColumn("harmful", F.coalesce(F.try_divide(F.size(F.array_except(moved, "gold_ids")), got), F.lit(0.0)))
+    best = F.row_number().over(Window.partitionBy("query_id", "group_id", "branch").orderBy(F.round("f1", 9).desc(), "annotator"))
+    j = j.withColumn("__best", best).where("__best = 1")
+    reward = (
+        ANSWER_W * F.col("answer_f1") + RECALL_W * F.col("recall") + PRECISION_W * F.col("precision") + RESCUE_W * F.col("rescue") - HARMFUL * F.col("harmful") - AMBIGUITY * F.col("ambiguous_rate")
+        - EMPTY * (got == 0).cast("double") - TOKENS_W * F.least(F.lit(1.0), F.col("tokens") / F.lit(float(max(1, budget)))) - LATENCY_W * F.least(F.lit(1.0), F.col("latency_ms") / 5000.0)
+    )
+    return j.select("query_id", "group_id", "branch", "precision", "recall", "rescue", "harmful", (got == 0).alias("empty"), reward.alias("reward"))
+
+
+def rollout_labels(rewards: DataFrame, constrained: bool = True, epsilon: float = PRECISION_EPSILON, delta: float = HARMFUL_DELTA, gain: float = GAIN) -> DataFrame:
+    """``query_id, group_id, label_parent, label_section``: 1 where the branch's reward is better than keeping by more than ``gain``.
+
+    ``constrained``: and neither precision nor recall falls by more than ``epsilon``, harm stays within ``delta``, and evidence doesn't vanish.
+    """
+    one = lambda b: F.max(F.when(F.col("branch") == b, F.struct("reward", "precision", "recall", "harmful", "empty")))
+    g = rewards.groupBy("query_id", "group_id").agg(one("keep").alias("keep"), one("parent").alias("parent"), one("section").alias("section"))
+
+    def label(b: str) -> Column:
+        x, keep = F.col(b), F.col("keep")
+        ok = F.round(x["reward"] - keep["reward"], 9) > gain
+        if constrained:
+            ok = ok & (x["precision"] >= keep["precision"] - epsilon) & (x["recall"] >= keep["recall"] - epsilon) & (x["harmful"] <= delta) & ~(x["empty"] & ~keep["empty"])
+        return F.coalesce(ok, F.lit(False)).cast("int").alias(f"label_{b}")
+
+    return g.select("query_id", "group_id", label("parent"), label("section"))

@@ -157,6 +157,86 @@ def sign_flip(diffs: DataFrame, exact_clusters: int = 16) -> DataFrame:
     return flipped.join(F.broadcast(seen)).agg((F.count_if(F.abs("x") >= F.abs("observed") - 1e-12) / F.count("*")).alias("p_value"))
 
 
+def cluster_sign_flip(diffs: DataFrame, null: float = 0.0, alternative: str = "two-sided", iterations: int = 20_000, seed: int = 42, exact_clusters: int = 16) -> DataFrame:
+    """``p_value`` of the paired sign-flip test over clusters' sums: all patterns of up to ``exact_clusters`` clusters, else ``iterations`` of hashed signs and the observed one.
+
+    ``diffs``: cluster, diff. A pattern's bits, or a hash of iteration and cluster, are the signs; sums of a cluster go to all
+    patterns, and patterns are combined before they move.
+    """
+    sums = diffs.groupBy("cluster").agg(F.sum(F.col("diff") - null).alias("v"), F.count("*").alias("n"))
+    total = sums.agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    if not total["n"]:
+        return diffs.sparkSession.createDataFrame([(1.0,)], "p_value double")
+    observed, exact = total["v"] / total["n"], total["m"] <= exact_clusters
+    if exact:
+        # at most 16 rows
+        bits = {r["cluster"]: i for i, r in enumerate(sums.select("cluster").orderBy("cluster").collect())}
+        bit = F.element_at(F.create_map(*[F.lit(x) for kv in bits.items() for x in kv]), F.col("cluster"))
+        patterns = F.sequence(F.lit(0), F.lit((1 << total["m"]) - 1))
+        flipped = sums.withColumn("bit", bit).select("v", "bit", F.explode(patterns).alias("pattern")).withColumn("s", F.expr("if((shiftright(pattern, bit) & 1) = 1, -v, v)"))
+    else:
+        patterns = F.sequence(F.lit(1), F.lit(iterations))
+        flipped = sums.select("v", "cluster", F.explode(patterns).alias("pattern")).withColumn("s", F.when(F.pmod(F.xxhash64(F.lit(seed), "pattern", "cluster"), F.lit(2)) == 0, F.col("v")).otherwise(-F.col("v")))
+    x = flipped.groupBy("pattern").agg((F.sum("s") / F.lit(float(total["n"]))).alias("x"))
+    far = F.col("x") >= observed - 1e-12 if alternative == "greater" else F.abs("x") >= abs(observed) - 1e-12
+    more = 0 if exact else 1
+    return x.agg(((F.count_if(far) + more) / (F.count("*") + more)).alias("p_value"))
+
+
+def paired_permutation(diffs: DataFrame, iterations: int = 10_000, seed: int = 42) -> DataFrame:
+    """``p_value`` of the row form: hashed signs for every row in every iteration, the observed one included. ``diffs``: row_key, diff."""
+    observed = diffs.agg(F.abs(F.avg("diff")).alias("o")).first()["o"] or 0.0
+    signs = F.when(F.pmod(F.xxhash64(F.lit(seed), "pattern", "row_key"), F.lit(2)) == 0, F.col("diff")).otherwise(-F.col("diff"))
+    x = diffs.select("row_key", "diff", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("pattern")).groupBy("pattern").agg(F.avg(signs).alias("x"))
+    return x.agg(((F.count_if(F.abs("x") >= observed - 1e-12) + 1) / (F.count("*") + 1)).alias("p_value"))
+
+
+def cluster_bootstrap(diffs: DataFrame, iterations: int = 2000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """``low, high``: percentile interval of the mean where whole clusters are drawn, each weighed by its rows.
+
+    A draw of an iteration is a hashed number of a cluster; clusters are numbered by their order. ``diffs``: cluster, diff.
+    """
+    sums = diffs.groupBy("cluster").agg(F.sum("diff").alias("v"), F.count("*").alias("n"))
+    m = sums.count()
+    if not m:
+        return diffs.sparkSession.createDataFrame([(0.0, 0.0)], "low double, high double")
+    numbered = _numbered(sums)
+    draws = diffs.sparkSession.range(iterations * m).select(F.expr(f"id div {m}").alias("iteration"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(m)).alias("i"))
+    times = draws.groupBy("iteration", "i").agg(F.count("*").alias("times"))
+    means = times.join(numbered, "i").groupBy("iteration").agg((F.sum(F.col("v") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("mean"))
+    return means.agg(F.percentile("mean", alpha / 2).alias("low"), F.percentile("mean", 1 - alpha / 2).alias("high"))
+
+
+def _numbered(sums: DataFrame) -> DataFrame:
+    """Rows of ``cluster, v, n`` with numbers ``i`` from 0 in the order of clusters: partitions of a sorted table, and their sizes before them."""
+    rows = sums.orderBy("cluster").withColumn("__id", F.monotonically_increasing_id())
+    part = F.expr("shiftright(__id, 33)")
+    sizes = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row a partition
+    before, at = [], 0
+    for p in sorted(sizes):
+        before.append((int(p), at))
+        at += sizes[p]
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for pb in before for x in pb]), part)
+    return rows.select((offset + F.expr("__id & 8589934591")).alias("i"), "v", "n")
+
+
+def non_inferiority(diffs: DataFrame, margin: float, alpha: float = 0.05, iterations: int = 2000, seed: int = 42) -> DataFrame:
+    """``margin, p_value, one_sided_lower, non_inferior``: the sign-flip test against a loss of ``margin``, and the lower end of the interval."""
+    p = cluster_sign_flip(diffs, null=-margin, alternative="greater", seed=seed)
+    low = cluster_bootstrap(diffs, iterations, seed, 2 * alpha).select(F.col("low").alias("one_sided_lower"))
+    return p.join(low).select(F.lit(margin).alias("margin"), "p_value", "one_sided_lower", (F.col("p_value") < alpha).alias("non_inferior"))  # one row each
+
+
+def compare(a: DataFrame, b: DataFrame, keys: list[str], metric: str, margin: float | None = None, seed: int = 42) -> DataFrame:
+    """One row on two systems: questions, clusters, mean difference, interval, p-value, effect size, and non-inferiority if a margin is given."""
+    diffs = pair_runs(a, b, keys, metric)
+    whole = diffs.agg(F.count("*").alias("questions"), F.count_distinct("cluster").alias("clusters"), F.coalesce(F.avg("diff"), F.lit(0.0)).alias("mean_diff"))
+    out = whole.join(cluster_bootstrap(diffs, seed=seed)).join(cluster_sign_flip(diffs, seed=seed)).join(effect_size(diffs).select("d_z"))  # one row each
+    if margin is None:
+        return out
+    return out.join(non_inferiority(diffs, margin, seed=seed).select("margin", F.col("p_value").alias("non_inferiority_p"), "one_sided_lower", "non_inferior"))
+
+
 def holm(tests: DataFrame, name: str = "test", p: str = "p") -> DataFrame:
     """Step-down adjusted p-values."""
     w = Window.orderBy(p, name)
@@ -180,3 +260,77 @@ def bootstrap_means(values: DataFrame, group: list[str], value: str, iterations:
     w = values.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("w", weight)
     means = w.groupBy(*group, "iteration").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("mean"))
     return means.groupBy(*group).agg(F.percentile("mean", F.lit(alpha / 2)).alias("low"), F.percentile("mean", F.lit(1 - alpha / 2)).alias("high"))
+
+
+def provenance_accuracy(citations: DataFrame, gold_pages: DataFrame) -> DataFrame:
+    """``query_id, provenance``: the share of citations whose source and pages meet a gold page; null without citations.
+
+    ``citations``: query_id, citation_id, source, page_start, page_end; ``gold_pages``: query_id, source, page.
+    """
+    met = citations.join(gold_pages, ["query_id", "source"], "left").groupBy("query_id", "citation_id").agg(F.coalesce(F.bool_or(F.col("page").between(F.col("page_start"), F.col("page_end"))), F.lit(False)).alias("ok"))
+    return met.groupBy("query_id").agg(F.avg(F.col("ok").cast("double")).alias("provenance"))
+
+
+def evidence_density(evidence: DataFrame, context: DataFrame) -> DataFrame:
+    """``query_id, density``: tokens of the cited evidence over those of the whole context."""
+    e = evidence.groupBy("query_id").agg(F.sum("tokens").alias("cited"))
+    c = context.groupBy("query_id").agg(F.sum("tokens").alias("shown"))
+    return c.join(e, "query_id", "left").select("query_id", F.coalesce(F.col("cited") / F.greatest(F.lit(1), "shown"), F.lit(0.0)).alias("density"))
+
+
+def risk_curve_checks(losses: DataFrame) -> DataFrame:
+    """``lambda, mean, monotone``: whether the mean loss never rises with the threshold; ``losses``: unit, lambda, loss (NaN counts as none)."""
+    by = losses.where(~F.isnan("loss")).groupBy("lambda").agg(F.avg("loss").alias("mean"))
+    return by.withColumn("monotone", F.coalesce(F.col("mean") <= F.lag("mean").over(Window.orderBy("lambda")) + 1e-12, F.lit(True)))  # a grid's rows
+
+
+def clustered_auc(df: DataFrame, cluster: str, p: str, y: str, iterations: int = 200, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """``low, high`` of the rank AUC where whole clusters are drawn: Poisson weights a cluster and iteration, one pass over counts by value."""
+    counts = df.groupBy(cluster, p).agg(F.count("*").alias("m"), F.sum(F.col(y).cast("long")).alias("pos"))
+    u = F.pmod(F.xxhash64(F.lit(seed), "iteration", F.col(cluster)), F.lit(1 << 30)) / float(1 << 30)
+    cuts, term, total = [], 0.36787944117144233, 0.0
+    for k in range(8):
+        total += term
+        cuts.append(total)
+        term /= k + 1
+    drawn = counts.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("w", sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))).where("w > 0")
+    v = drawn.groupBy("iteration", p).agg(F.sum(F.col("m") * F.col("w")).alias("m"), F.sum(F.col("pos") * F.col("w")).alias("pos"))
+    below = F.sum("m").over(Window.partitionBy("iteration").orderBy(p)) - F.col("m")
+    r = v.withColumn("rank", below + (F.col("m") + 1) / 2).groupBy("iteration").agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("n1"), (F.sum("m") - F.sum("pos")).alias("n0"))
+    auc = r.select(F.try_divide(F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0")).alias("auc")).where("auc is not null")
+    return auc.agg(F.percentile("auc", alpha / 2).alias("low"), F.percentile("auc", 1 - alpha / 2).alias("high"))
+
+
+def benchmark_rows(answers: DataFrame, retrieval: DataFrame, citations: DataFrame) -> DataFrame:
+    """One row a question: answer, retrieval and citation metrics side by side, correct where F1 is 0.35 or more and some gold was found, and the leaf sets.
+
+    ``answers``: query_id, system, em, f1, latency_ms, tokens; ``retrieval``: query_id, recall, precision, mrr, ndcg; ``citations``: query_id,
+    cited array, retrieved array, gold array.
+    """
+    j = answers.join(retrieval, "query_id", "left").join(citations, "query_id", "left")
+    size = lambda c: F.size(F.array_distinct(c))
+    hit = F.size(F.array_intersect("cited", "gold"))
+    p, r = F.try_divide(hit, F.nullif(size("cited"), F.lit(0))), F.try_divide(hit, F.nullif(size("gold"), F.lit(0)))
+    j = j.withColumn("citation_precision", p).withColumn("citation_recall", r)
+    return j.withColumn("citation_f1", F.try_divide(2 * p * r, p + r)).withColumn("correct", (F.col("f1") >= 0.35) & (F.coalesce("recall", F.lit(0.0)) > 0)).withColumn("kept_ids", F.array_sort(F.array_intersect("cited", "retrieved"))).withColumn("rescued_ids", F.array_sort(F.array_intersect(F.array_except("cited", "retrieved"), "gold"))).withColumn("drift_ids", F.array_sort(F.array_except(F.array_except("cited", "retrieved"), "gold")))
+
+
+def train_merge_policy(rollouts: DataFrame, features: list[str], label: str = "label", gap: str = "gap", group: str = "paper", margin: float = 0.02, seed: int = 42, least_auc: float = 0.60) -> tuple[object, DataFrame]:
+    """``(model, manifest)``: a small network on rollouts whose gap is clear, held against papers left out; accepted if its AUC and the interval's low end pass.
+
+    ``rollouts``: features as doubles, label 0 or 1, gap, group. A fifth of the groups, by hash, is left out. One row of manifest: rows, AUC, interval, accepted, a hash of what it learned from.
+    """
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    clear = rollouts.where(F.abs(gap) > margin)
+    rows = VectorAssembler(inputCols=features, outputCol="__x").transform(clear.withColumn("label", F.col(label).cast("double")))
+    aside = F.pmod(F.xxhash64(group, F.lit(seed)), F.lit(5)) == 0
+    model = MultilayerPerceptronClassifier(layers=[len(features), 16, 2], featuresCol="__x", labelCol="label", seed=seed, maxIter=60).fit(rows.where(~aside))
+    scored = model.transform(rows.where(aside)).select(group, F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
+    auc = calibration(scored.withColumn("one", F.lit(1)), ["one"], "p", "y").select("auc", "brier", "ece")
+    ci = clustered_auc(scored, group, "p", "y", seed=seed)
+    digest = clear.agg(F.count("*").alias("rows"), F.sha2(F.sum(F.xxhash64(*features, label).cast("decimal(38,0)")).cast("string"), 256).alias("data_sha256"))
+    manifest = digest.join(auc, F.lit(True), "left").join(ci, F.lit(True), "left").withColumn("accepted", F.coalesce((F.col("auc") > least_auc) & (F.col("low") > 0.5), F.lit(False)))  # one row each
+    return model, manifest

@@ -17,7 +17,7 @@ LEAVES = f"""{SECTIONS}, ss AS (SELECT doc_id, sp, unnest({_S}) AS s, generate_s
 rec AS (SELECT doc_id, sp, pos AS i, pos AS f, w AS total, w, n, CAST(NULL AS BIGINT) AS cf, CAST(NULL AS BIGINT) AS cl FROM sw WHERE pos = 1
 UNION ALL SELECT r.doc_id, r.sp, x.pos, CASE WHEN ceil((r.total + x.w) * 1.25) > 220 THEN r.i ELSE r.f END, CASE WHEN ceil((r.total + x.w) * 1.25) > 220 THEN r.w + x.w ELSE r.total + x.w END, x.w, r.n, CASE WHEN ceil((r.total + x.w) * 1.25) > 220 THEN r.f END, CASE WHEN ceil((r.total + x.w) * 1.25) > 220 THEN r.i END FROM rec r JOIN sw x ON x.doc_id = r.doc_id AND x.sp = r.sp AND x.pos = r.i + 1),
 cut AS (SELECT doc_id, sp, cf AS f, cl AS l FROM rec WHERE cf IS NOT NULL UNION ALL SELECT doc_id, sp, f, i FROM rec WHERE i = n),
-lv AS (SELECT cut.doc_id, cut.sp, CAST(row_number() OVER (PARTITION BY cut.doc_id, cut.sp ORDER BY f) - 1 AS INTEGER) AS position, x.a, y.b FROM cut JOIN sw x ON x.doc_id = cut.doc_id AND x.sp = cut.sp AND x.pos = f JOIN sw y ON y.doc_id = cut.doc_id AND y.sp = cut.sp AND y.pos = l),
+lv AS (SELECT cut.doc_id, cut.sp, CAST(row_number() OVER (PARTITION BY cut.doc_id, cut.sp ORDER BY f, l) - 1 AS INTEGER) AS position, x.a, y.b FROM cut JOIN sw x ON x.doc_id = cut.doc_id AND x.sp = cut.sp AND x.pos = f JOIN sw y ON y.doc_id = cut.doc_id AND y.sp = cut.sp AND y.pos = l),
 lt AS (SELECT lv.*, section_id, source, substr(value, a + 1, b - a) AS text, CAST(greatest(0, ceil((count(*) OVER (PARTITION BY lv.doc_id, lv.sp) - 4) / 3)) AS INTEGER) AS top FROM lv JOIN sec USING (doc_id, sp)),
 leaf AS (SELECT *, substr(sha1(section_id || '|child|' || position || '|' || substr(text, 1, 96)), 1, 20) AS node_id, substr(sha1(section_id || '|parent|' || least(top, position // 3)), 1, 20) AS parent_id FROM lt),
 grp AS (SELECT DISTINCT doc_id, sp, section_id, top FROM leaf), gp AS (SELECT doc_id, sp, section_id, unnest(generate_series(0, top)) AS g FROM grp), mem AS (SELECT gp.*, substr(sha1(gp.section_id || '|parent|' || g), 1, 20) AS parent, leaf.node_id AS child, leaf.position, leaf.a, leaf.b, leaf.text FROM gp JOIN leaf ON leaf.doc_id = gp.doc_id AND leaf.sp = gp.sp AND leaf.position BETWEEN g * 3 AND g * 3 + 3),
