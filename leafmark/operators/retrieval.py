@@ -295,3 +295,110 @@ def section_units(hits: DataFrame, unit: str = "doc_id", best: int = 2) -> DataF
     out = hits.join(mean, ["query_id", unit]).withColumn("emitted", F.col("unit_score") + 1e-6 * F.col("score"))
     order = Window.partitionBy("query_id").orderBy(F.round("unit_score", 9).desc(), F.round("score", 9).desc(), *LEAF)
     return out.select("query_id", *LEAF, F.col("emitted").alias("score"), F.row_number().over(order).alias("rank"))
+
+
+def document_units(leaves: DataFrame, unit: str = "doc_id") -> DataFrame:
+    """``unit, text, members``: one long unit a document, its leaves in order and parted by blank lines."""
+    held = leaves.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("l"))
+    return held.select(unit, F.array_join(F.transform("l", lambda x: x["text"]), "\n\n").alias("text"), F.transform("l", lambda x: x["pos"]).alias("members"))
+
+
+def unit_maxsim(chunks: DataFrame, queries: DataFrame, unit: str, k: int, members: DataFrame) -> DataFrame:
+    """``query_id, unit_id, leaf_id, score``: all leaves of the ``k`` units whose best chunk is nearest to the question. ``members``: unit_id, leaf_id."""
+    best = _against(chunks, queries, None, unit).groupBy("query_id", F.col("vec_id").alias("unit_id")).agg(F.max("score").alias("score"))
+    return ranked(best, k, by=["unit_id"]).join(members, "unit_id").select("query_id", "unit_id", "leaf_id", "score")
+
+
+def fixed_context(gold: DataFrame) -> DataFrame:
+    """Given leaves in document order as a ranking: ``rank`` and a ``utility`` that falls with it; no retrieval metric applies to it."""
+    w = Window.partitionBy("query_id")
+    placed = gold.withColumn("rank", F.row_number().over(w.orderBy(*LEAF)))
+    return placed.withColumn("utility", F.count("*").over(w) - F.col("rank") + 1)
+
+
+def run_variants(lists: dict[str, DataFrame], variants: DataFrame, k: int, damp: int = 60) -> DataFrame:
+    """``variant, query_id, leaf, score, rank``: systems that switch shared ranked lists on and off and fuse what is on.
+
+    ``variants`` (some rows): variant, signal, weight. The lists are made once, whatever the number of variants.
+    """
+    shared = reduce(DataFrame.unionByName, [x.select(F.lit(name).alias("signal"), "query_id", *LEAF, "rank") for name, x in lists.items()])
+    on = shared.join(F.broadcast(variants.where("weight > 0")), "signal")
+    fused = on.groupBy("variant", "query_id", *LEAF).agg(F.sum(F.col("weight") / (damp + F.col("rank"))).alias("score"))
+    return ranked(fused.withColumn("__of", F.struct("variant", "query_id")), k, query="__of").drop("__of")
+
+
+def summary_tree_light(leaves: DataFrame, size: int = 4, depth: int = 3, most: int = 256, features: int = 1024, sentences: int = 5, words: int = 220, seed: int = 42) -> DataFrame:
+    """``depth, summary_id, text, members``: clusters of texts by TF-IDF and k-means, level by level, each with its sentences nearest to the centre.
+
+    There are as many clusters as give ``size`` texts each, ``most`` at most, so that a level's cost grows with its texts only.
+    ``leaves``: node_id, text; members are leaves.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import IDF, HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    items = leaves.select("text", F.array("node_id").alias("members"))
+    levels: list[DataFrame] = []
+    for level in range(depth):
+        n = items.count()
+        if n <= size:
+            break
+        tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=features)
+        weigh = IDF(inputCol="tf", outputCol="x").fit(tf.transform(items.withColumn("words", T.content_tokens("text"))))
+        vectors = weigh.transform(tf.transform(items.withColumn("words", T.content_tokens("text"))))
+        model = KMeans(k=max(1, min(most, -(-n // size))), featuresCol="x", predictionCol="cluster", seed=seed + level, maxIter=10).fit(vectors)
+        labelled = model.transform(vectors)
+        parts = labelled.select("cluster", F.explode(T.sentences("text")).alias("sentence")).withColumn("words", T.content_tokens("sentence"))
+        # at most ``most`` centres
+        centres = leaves.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
+        near = weigh.transform(tf.transform(parts)).join(F.broadcast(centres), "cluster").withColumn("v", vector_to_array("x"))
+        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+        cosine = F.coalesce(F.try_divide(dot("v", "centre"), F.sqrt(dot("v", "v") * dot("centre", "centre"))), F.lit(0.0))
+        scored = near.select("cluster", "sentence", F.round(cosine, 9).alias("near"), F.size(T.spaced_tokens("sentence")).alias("n"))
+        first = scored.withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("near").desc(), "sentence"))).where(F.col("place") <= 2 * sentences)
+        held = first.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("place", "sentence", "n"))).alias("s"))
+        start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("picked"))
+
+        def pick(acc: Column, x: Column) -> Column:
+            fits = (F.size(acc["picked"]) < sentences) & ((F.size(acc["picked"]) == 0) | (acc["used"] + x["n"] <= words))
+            return F.struct((acc["used"] + F.when(fits, x["n"]).otherwise(0)).alias("used"), F.when(fits, F.array_append(acc["picked"], x["sentence"])).otherwise(acc["picked"]).alias("picked"))
+
+        text = F.array_join(F.aggregate("s", start, pick, lambda acc: acc["picked"]), " ")
+        members = labelled.groupBy("cluster").agg(F.flatten(F.collect_list("members")).alias("members"))
+        made = members.join(held, "cluster", "left").select(F.lit(level).alias("depth"), F.format_string(f"d{level}-c%d", "cluster").alias("summary_id"), F.coalesce(text, F.lit("")).alias("text"), "members")
+        levels.append(made)
+        items = made.select("text", "members")
+    return reduce(DataFrame.unionByName, levels) if levels else leaves.sparkSession.createDataFrame([], "depth int, summary_id string, text string, members array<string>")
+
+
+def soft_clusters(vectors: DataFrame, dims: int = 10, counts: tuple[int, ...] = (2, 4, 8, 16, 32), least: float = 0.1, seed: int = 224) -> DataFrame:
+    """``node_id, cluster, probability``: overlapping clusters of a Gaussian mixture on ``dims`` principal components; the number of clusters by the least BIC.
+
+    A node is in every cluster with more than ``least`` of its probability, or in the most probable one.
+    """
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = vectors.where("embedding is not null").select("node_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    small = PCA(k=dims, inputCol="v", outputCol="x").fit(rows).transform(rows).select("node_id", "x")
+    n, best = small.count(), None
+    for k in counts:
+        model = GaussianMixture(k=k, featuresCol="x", seed=seed, maxIter=30).fit(small)
+        bic = -2 * model.summary.logLikelihood + k * (1 + dims + dims * (dims + 1) / 2) * float(np.log(max(n, 2)))
+        if best is None or bic < best[0]:
+            best = (bic, model)
+    found = best[1].transform(small).select("node_id", "prediction", F.posexplode(vector_to_array("probability")).alias("cluster", "probability"))
+    return found.where((F.col("probability") > least) | (F.col("cluster") == F.col("prediction"))).select("node_id", "cluster", F.round("probability", 6).alias("probability"))
+
+
+def collapsed_search(scores: DataFrame, nodes: DataFrame, k: int, budget: int = 3500, most: int = 10) -> DataFrame:
+    """``query_id, leaf_id, score``: of a tree's nodes by score the first that fit the budget together, ten at most, opened to their leaves; each leaf once, by its best node.
+
+    ``scores``: query_id, node_id, score; ``nodes``: node_id, tokens, members.
+    """
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "node_id")
+    top = scores.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max(4 * k, 20)).join(nodes, "node_id")
+    used = F.sum("tokens").over(Window.partitionBy("query_id").orderBy("__r"))
+    kept = top.withColumn("__used", used).where((F.col("__used") <= budget) & (F.col("__r") <= most))
+    return kept.select("query_id", F.explode("members").alias("leaf_id"), "score").groupBy("query_id", "leaf_id").agg(F.max("score").alias("score"))
