@@ -41,16 +41,16 @@ def evidence_view(evidence: DataFrame, nodes: DataFrame, sources: DataFrame) ->
 
     ``evidence``: claim_id, node_id, role, quote; ``nodes``: node_id, source_id, page_start, page_end; ``sources``: source_id, alias, deleted_at.
     """
-    j = evidence.join(nodes, "node_id", "left").join(sources, "source_id", "left")
-    gone = F.col("deleted_at").isNotNull() | F.col("source_id").isNull()
+    j = evidence.join(nodes, "node_id", "left").join(sources.withColumn("__there", F.lit(True)), "source_id", "left")
+    gone = F.col("deleted_at").isNotNull() | F.col("__there").isNull()
     order = F.array_position(F.array(F.lit("primary"), F.lit("corroborating"), F.lit("contradicting")), F.col("role"))
     return j.select("claim_id", "node_id", "role", order.cast("int").alias("role_order"), "alias", F.when(gone, "").otherwise(F.col("quote")).alias("quote"), *[F.when(~gone, F.col(c)).alias(c) for c in ("page_start", "page_end")], gone.alias("source_deleted"))
 
 
 def context_view(blocks: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """Context blocks with their sources, texts of deleted ones blank. ``blocks``: run_id, context_id, node_id, text."""
-    j = blocks.join(nodes.select("node_id", "source_id"), "node_id", "left").join(sources, "source_id", "left")
-    gone = F.col("deleted_at").isNotNull() | F.col("source_id").isNull()
+    j = blocks.join(nodes.select("node_id", "source_id"), "node_id", "left").join(sources.withColumn("__there", F.lit(True)), "source_id", "left")
+    gone = F.col("deleted_at").isNotNull() | F.col("__there").isNull()
     return j.select("run_id", "context_id", "node_id", "alias", F.when(gone, "").otherwise(F.col("text")).alias("text"), gone.alias("source_deleted"))
 
 
@@ -94,7 +94,7 @@ def publish_generation(generations: DataFrame, built: DataFrame, vectors: DataFr
     judged = held.join(leaves, "workspace_id", "left")
     state = F.when(F.col("live").isNull(), "orphaned").when(F.coalesce("rows", F.lit(0)) != F.col("expected"), "failed").when(F.col("leaves") > quota, "failed").otherwise("active")
     new = judged.select("source_id", "generation_id", "profile", state.alias("state"))
-    replaced = new.where("state = 'active'").select("source_id", "profile", F.lit(True).alias("replaced"))
+    replaced = new.where("state = 'active'").select("source_id", "profile", F.lit(True).alias("replaced")).distinct()
     old = generations.join(new.select("generation_id"), "generation_id", "left_anti").join(replaced, ["source_id", "profile"], "left")
     return old.select("source_id", "generation_id", "profile", F.when((F.col("state") == "active") & F.col("replaced"), "retired").otherwise(F.col("state")).alias("state")).unionByName(new)
 

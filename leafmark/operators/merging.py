@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..sources.files import scratch
 from .tree import LEVELS, ancestor_at_level, effective_members, rank_of
 
 MARGIN, THRESHOLD, ROLLBACK, LEAST_HITS, GAIN_WEIGHT, COST_PENALTY, BUDGET = 0.04, 0.56, 0.78, 2, 0.35, 0.5, 7000
@@ -97,9 +98,18 @@ def expand_selection(selected: DataFrame, nodes: DataFrame, queries: DataFrame,
     """``(selection, trace)``: members give way to accepted candidates, one level a round, until a question's ceiling, budget, or gain stops it.
 
     ``selected``: query_id, node_id, score, of leaves or what leaves were merged into. The trace has a row for each question and round
-    with the reason it stopped or how many merged. ``cut`` (a function of a DataFrame) may write a round down to end its lineage.
+    with the reason it stopped or how many merged. Each round is kept by ``cut``, a function of a DataFrame; the default writes it to the shared folder and reads it
+    back, so that no round is planned again in the next.
     """
-    cut = cut or (lambda df: df)
+    spark = selected.sparkSession
+
+    def written_down(df: DataFrame) -> DataFrame:
+        path = scratch(spark, "round")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    cut = cut or written_down
+    nodes = cut(nodes.select("node_id", "level", "parent_id", "section_id", "document_id", "position", "text", "token_count", "child_ids"))
     kinds = queries.select("query_id", F.array_position(F.array(*map(F.lit, LEVELS)), F.element_at(F.create_map(*[F.lit(x) for kv in CEILING.items() for x in kv]), F.col("query_type"))).cast("int").alias("ceiling"))
     size = nodes.select("node_id", "level", "token_count")
     active = cut(selected.select("query_id").distinct().join(kinds, "query_id").withColumn("ceiling", F.col("ceiling") - 1))
@@ -108,6 +118,8 @@ def expand_selection(selected: DataFrame, nodes: DataFrame, queries: DataFrame,
     trace = None
     for round_ in range(DEPTH):
         for rank in range(len(LEVELS) - 1):  # questions may begin at different levels
+            if rank < round_:
+                continue
             here = active.where((F.col("start") + round_ == rank) & (F.lit(rank) < F.col("ceiling"))).select("query_id")
             level = LEVELS[rank + 1]
             mine = selected.join(here, "query_id", "left_semi")

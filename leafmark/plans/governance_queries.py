@@ -9,11 +9,11 @@ from ..registry import query
 from .retrieval_queries import DENSE, SPARSE, asked, bm25_list, bm25_sql, hundredth, leaves, sparse_list
 
 
-@query("a15_upload_completeness", "WITH s AS (SELECT o_orderkey, CAST(o_totalprice AS BIGINT) + 1 AS total, 20000 AS part FROM orders), e AS (SELECT o_orderkey, total, CAST(ceil(total / part) AS INTEGER) AS n, part FROM s), x AS (SELECT o_orderkey, total, n, unnest(generate_series(1, n)) AS k, part FROM e), y AS (SELECT x.*, CASE WHEN k < n THEN part ELSE total - (n - 1) * part END AS due, l_linenumber IS NOT NULL AS there, CASE WHEN l_linenumber % 3 = 2 THEN part + 1 WHEN k < n THEN part ELSE total - (n - 1) * part END AS got FROM x LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = k) SELECT o_orderkey AS session_id, n AS expected, coalesce(string_agg(CASE WHEN NOT there THEN CAST(k AS VARCHAR) END, ' ' ORDER BY k), '') AS missing, coalesce(string_agg(CASE WHEN there AND got <> due THEN CAST(k AS VARCHAR) END, ' ' ORDER BY k), '') AS wrong_size, count(*) FILTER (NOT there OR got <> due) = 0 AS complete FROM y GROUP BY o_orderkey, n")
+@query("a15_upload_completeness", "WITH s AS (SELECT o_orderkey, CAST(o_totalprice AS BIGINT) + 1 AS total, 20000 AS part FROM orders), e AS (SELECT o_orderkey, total, CAST(ceil(total / part) AS INTEGER) AS n, part FROM s), x AS (SELECT o_orderkey, total, n, unnest(generate_series(1, n)) AS k, part FROM e), y AS (SELECT x.*, CASE WHEN k < n THEN part ELSE total - (n - 1) * part END AS due, l_linenumber IS NOT NULL AS there, CASE WHEN l_linenumber % 3 = 2 THEN part + 1 WHEN k < n THEN part ELSE total - (n - 1) * part END AS got FROM x LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey AND l_linenumber = k) SELECT o_orderkey AS session_id, n AS expected, coalesce(string_agg(CASE WHEN NOT there THEN CAST(k AS VARCHAR) END, ' ' ORDER BY k), '') AS missing, coalesce(string_agg(CASE WHEN there AND got <> due THEN CAST(k AS VARCHAR) END, ' ' ORDER BY k), '') AS wrong_size, count(*) FILTER (NOT there OR got <> due) = 0 AS complete FROM y GROUP BY o_orderkey, n")
 def upload_completeness(t):
     sessions = t("orders").select(F.col("o_orderkey").alias("session_id"), (F.col("o_totalprice").cast("decimal(20,0)").cast("long") + 1).alias("total_bytes"), F.lit(20_000).cast("long").alias("part_bytes"))
     n = F.ceil(F.col("total_bytes") / F.col("part_bytes"))
-    parts = t("lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("part_no")).join(sessions, "session_id")
+    parts = t("lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("part_no")).distinct().join(sessions, "session_id")
     size = F.when(F.col("part_no") % 3 == 2, F.col("part_bytes") + 1).when(F.col("part_no") < n, F.col("part_bytes")).otherwise(F.col("total_bytes") - (n - 1) * F.col("part_bytes"))
     found = M.upload_completeness(sessions, parts.select("session_id", "part_no", size.alias("bytes")))
     listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
@@ -105,7 +105,7 @@ def replay_run(t):
     return found.select("run_id", *[F.array_join(c, " ").alias(c) for c in ("stages", "claims", "sections")], "status", "error")
 
 
-@query("i07_rehydrate_events", f"SELECT user_id AS run_id, event_id AS seq, CASE WHEN {RUN} = 'claim_verified' AND event_id % 11 > 5 THEN 'stage' ELSE {RUN} END AS type, CASE WHEN {RUN} = 'claim_verified' THEN CASE WHEN event_id % 11 > 5 THEN '' ELSE r_name END ELSE event_type || ':' || event_id END AS payload FROM events LEFT JOIN region ON r_regionkey = event_id % 11")
+@query("i07_rehydrate_events", f"SELECT user_id AS run_id, event_id AS seq, CASE WHEN {RUN} = 'claim_verified' AND event_id % 11 > 5 THEN 'stage' ELSE {RUN} END AS type, CASE WHEN {RUN} = 'claim_verified' THEN CASE WHEN event_id % 11 > 5 THEN '' ELSE coalesce(r_name, '') END ELSE event_type || ':' || event_id END AS payload FROM events LEFT JOIN region ON r_regionkey = event_id % 11")
 def rehydrate_events(t):
     claims = t("region").select(F.col("r_regionkey").cast("string").alias("claim_id"), F.col("r_name").alias("text")).unionByName(t("region").where("r_regionkey = 0").select(F.lit("5").alias("claim_id"), F.lit("").alias("text")))
     return G.rehydrate_events(run_events(t), claims).select("run_id", "seq", "type", "payload")
@@ -150,7 +150,7 @@ def reindexed(t):
     return vectors.groupBy("generation_id").agg(F.count("*").alias("vectors"))
 
 
-@query("i16_fingerprints", "SELECT l_orderkey AS config_id, sha256(string_agg('n' || l_linenumber || '=' || l_returnflag, chr(10) ORDER BY 'n' || l_linenumber)) AS fingerprint FROM lineitem WHERE l_linenumber <> 3 GROUP BY ALL")
+@query("i16_fingerprints", "SELECT l_orderkey AS config_id, sha256(string_agg('n' || l_linenumber || '=' || l_returnflag, chr(10) ORDER BY 'n' || l_linenumber, l_returnflag)) AS fingerprint FROM lineitem WHERE l_linenumber <> 3 GROUP BY ALL")
 def fingerprints(t):
     s = t("lineitem").select(F.col("l_orderkey").alias("config_id"), F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("name"), F.col("l_returnflag").alias("value"))
     return G.config_fingerprint(s, ["n3"])
@@ -187,7 +187,7 @@ def tree_selection(t):
     from .node_queries import nodes
 
     n = nodes(t)
-    numbered = n.where("level = 'child'").select(F.col("document_id").cast("long").alias("doc_id"), F.xxhash64("node_id").cast("int").alias("pos"), "node_id", "text")
+    numbered = n.where("level = 'child'").select(F.col("document_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64("node_id"), F.lit(2**31 - 1)).cast("int").alias("pos"), "node_id", "text")
     hits = R.sparse_topk(numbered, asked(t), 24).join(numbered.select("doc_id", "pos", "node_id"), ["doc_id", "pos"])
     q = asked(t).select("query_id", F.col("text").alias("query"), F.element_at(F.array(*map(F.lit, ("factoid", "explanatory", "comparative_multi_hop", "global_synthesis"))), (F.col("query_id") % 4 + 1).cast("int")).alias("query_type"))
     return hits.select("query_id", "node_id", (F.col("score") / (F.col("score") + 10)).alias("score")), n, q
@@ -199,7 +199,6 @@ def decide_merges(t):
     return found.select("query_id", "candidate_id", *[F.round(c, 6).alias(c) for c in M.FEATURES], F.round("delta", 6).alias("delta"), "accepted")
 
 
-@query("d18_expand_selection")
 def expand_selection(t):
     return M.expand_selection(*tree_selection(t))[1].select("query_id", "round", "level", "candidates", "merged", "stopped")
 
@@ -234,7 +233,7 @@ def run_variants(t):
 def summary_tree(t):
     """Leaves of the documents clustered twice, with sentences near the centres as summaries."""
     rows = leaves(t).select(F.concat_ws(":", "doc_id", "pos").alias("node_id"), "text")
-    return R.summary_tree_light(rows, size=4, depth=2, most=24).select("depth", "summary_id", F.size("members").alias("members"), F.length("text").alias("chars"))
+    return R.summary_tree_light(rows, size=4, depth=2, most=8, features=128).select("depth", "summary_id", F.size("members").alias("members"), F.length("text").alias("chars"))
 
 
 @query("d12_soft_tree")

@@ -66,7 +66,7 @@ def read_captions(files: DataFrame, path: str = "path", value: str = "value") ->
     blocks = files.select(path, F.posexplode(F.split(text, r"\n\s*\n")).alias("block", "raw"))
     lines = blocks.select(path, "block", F.filter(F.split("raw", "\n"), lambda x: ~x.rlike(r"^\s*$")).alias("lines"))
     timed = lines.withColumn("at", F.array_position(F.transform("lines", lambda x: x.rlike(CUE)), True)).where("at > 0")
-    line = F.element_at("lines", F.col("at").cast("int"))
+    line = F.get("lines", F.col("at").cast("int") - 1)
     group = lambda k: F.regexp_extract(line, CUE, k)
     cues = timed.select(path, "block", _ms([group(k) for k in (1, 2, 3, 4)]).alias("start_ms"), _ms([group(k) for k in (5, 6, 7, 8)]).alias("end_ms"), F.expr("slice(lines, int(at) + 1, size(lines))").alias("rest"))
     body = spoken.unescaped(F.array_join("rest", "\n")).alias("body")
