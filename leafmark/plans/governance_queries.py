@@ -9,9 +9,9 @@ from ..registry import query
 from .retrieval_queries import DENSE, SPARSE, asked, bm25_list, bm25_sql, hundredth, leaves, sparse_list
 
 
-@query("a15_upload_completeness", "WITH s AS (SELECT o_orderkey, CAST(o_totalprice AS BIGINT) + 1 AS total, 20000 AS part FROM orders), e AS (SELECT o_orderkey, total, CAST(ceil(total / part) AS INTEGER) AS n, part FROM s), x AS (SELECT o_orderkey, total, n, unnest(generate_series(1, n)) AS k, part FROM e), y AS (SELECT x.*, CASE WHEN k < n THEN part ELSE total - (n - 1) * part END AS due, l_linenumber IS NOT NULL AS there, CASE WHEN l_linenumber % 3 = 2 THEN part + 1 WHEN k < n THEN part ELSE total - (n - 1) * part END AS got FROM x LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey AND l_linenumber = k) SELECT o_orderkey AS session_id, n AS expected, coalesce(string_agg(CASE WHEN NOT there THEN CAST(k AS VARCHAR) END, ' ' ORDER BY k), '') AS missing, coalesce(string_agg(CASE WHEN there AND got <> due THEN CAST(k AS VARCHAR) END, ' ' ORDER BY k), '') AS wrong_size, count(*) FILTER (NOT there OR got <> due) = 0 AS complete FROM y GROUP BY o_orderkey, n")
+@query("a15_upload_completeness", "WITH s AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) + 1 AS total, 20000 AS part FROM orders), e AS (SELECT o_orderkey, total, CAST(ceil(total / part) AS INTEGER) AS n, part FROM s), x AS (SELECT o_orderkey, total, n, unnest(generate_series(1, n)) AS k, part FROM e), y AS (SELECT x.*, CASE WHEN k < n THEN part ELSE total - (n - 1) * part END AS due, l_linenumber IS NOT NULL AS there, CASE WHEN l_linenumber % 3 = 2 THEN part + 1 WHEN k < n THEN part ELSE total - (n - 1) * part END AS got FROM x LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey AND l_linenumber = k) SELECT o_orderkey AS session_id, n AS expected, coalesce(string_agg(CASE WHEN NOT there THEN CAST(k AS VARCHAR) END, ' ' ORDER BY k), '') AS missing, coalesce(string_agg(CASE WHEN there AND got <> due THEN CAST(k AS VARCHAR) END, ' ' ORDER BY k), '') AS wrong_size, count(*) FILTER (NOT there OR got <> due) = 0 AS complete FROM y GROUP BY o_orderkey, n")
 def upload_completeness(t):
-    sessions = t("orders").select(F.col("o_orderkey").alias("session_id"), (F.col("o_totalprice").cast("decimal(20,0)").cast("long") + 1).alias("total_bytes"), F.lit(20_000).cast("long").alias("part_bytes"))
+    sessions = t("orders").select(F.col("o_orderkey").alias("session_id"), (F.floor("o_totalprice") + 1).alias("total_bytes"), F.lit(20_000).cast("long").alias("part_bytes"))
     n = F.ceil(F.col("total_bytes") / F.col("part_bytes"))
     parts = t("lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("part_no")).distinct().join(sessions, "session_id")
     size = F.when(F.col("part_no") % 3 == 2, F.col("part_bytes") + 1).when(F.col("part_no") < n, F.col("part_bytes")).otherwise(F.col("total_bytes") - (n - 1) * F.col("part_bytes"))
@@ -156,9 +156,9 @@ def fingerprints(t):
     return G.config_fingerprint(s, ["n3"])
 
 
-@query("h08_workspace_quota", "SELECT s_nationkey AS workspace_id, CAST(sum(b) AS BIGINT) AS used, sum(b) > 100000 AS over FROM (SELECT s_nationkey, CAST(s_acctbal AS BIGINT) AS b FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT c_nationkey, 1000 FROM customer WHERE c_acctbal > 5000) GROUP BY s_nationkey")
+@query("h08_workspace_quota", "SELECT s_nationkey AS workspace_id, CAST(sum(b) AS BIGINT) AS used, sum(b) > 100000 AS over FROM (SELECT s_nationkey, CAST(floor(s_acctbal) AS BIGINT) AS b FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT c_nationkey, 1000 FROM customer WHERE c_acctbal > 5000) GROUP BY s_nationkey")
 def workspace_quota(t):
-    assets = t("supplier").select(F.col("s_nationkey").alias("workspace_id"), F.col("s_acctbal").cast("decimal(20,0)").cast("long").alias("bytes"), F.when(F.col("s_acctbal") > 0, "ready").otherwise("failed").alias("status"))
+    assets = t("supplier").select(F.col("s_nationkey").alias("workspace_id"), F.floor("s_acctbal").alias("bytes"), F.when(F.col("s_acctbal") > 0, "ready").otherwise("failed").alias("status"))
     sessions = t("customer").select(F.col("c_nationkey").alias("workspace_id"), F.lit(1000).cast("long").alias("total_bytes"), F.lit("open").alias("status"), F.col("c_acctbal").alias("expires_at"))
     return G.media_quota(assets, sessions, F.lit(5000.0), 100_000)
 
