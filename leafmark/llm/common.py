@@ -53,6 +53,27 @@ def release(spark: SparkSession, paths: list[str]) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Tables:
+    """Stored tables of one run: only that run removes them."""
+
+    def __init__(self) -> None:
+        self._paths: dict[DataFrame, str] = {}
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written to the shared folder and read back, as :func:`stored` does."""
+        path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        back = df.sparkSession.read.schema(df.schema).parquet(path)
+        self._paths[back] = path
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables of this run that nothing will read again."""
+        for table in tables:
+            where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(self._paths.pop(table))
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

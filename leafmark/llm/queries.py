@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, embeddings, html_text, language_model, packing, quality, simhash, substrings, token_counts, token_files
+from . import collocations, decontamination, embeddings, html_text, language_model, licenses, oracle, packing, quality, ranked_search, simhash, substrings, token_counts, token_files
 from .common import shared_dir
 from .tokens import vocabulary
 
@@ -69,6 +69,18 @@ def op10_bwt_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=50, digest=True)
 
 
+def op11_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cotraining_quality": op1_cotraining_quality,
     "op2_segment_tree_counts": op2_segment_tree_counts,
@@ -80,5 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_pivot_permutation": op9_pivot_permutation,
     "op10_bwt_substrings": op10_bwt_substrings,
+    "op11_dual_tree_search": op11_dual_tree_search,
+    "op12_setm_collocations": op12_setm_collocations,
+    "op13_license_scan": op13_license_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_dual_tree_search": oracle.RANKED, "op12_setm_collocations": oracle.COLLOCATIONS, "op13_license_scan": oracle.LICENSES}
