@@ -20,13 +20,14 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Tables, union
 
 #: Bytes of text in a batch; single documents may be longer.
-BATCH_BYTES = 12_000_000
+BATCH_BYTES = 6_000_000
 #: Stands between pieces; never part of UTF-8.
 CUT = b"\xff"
 #: A-Z to a-z, tabs to spaces, ends of pieces to CUT.
@@ -37,7 +38,15 @@ NUMBER_BITS, SERIAL_BITS, PARTITION_BITS = 30, 11, 22
 
 ENCODED = "batch long, places binary, langs array<string>, words array<binary>, counts array<int>"
 RELATION = "batch long, places binary, names array<long>"
-PAIRS = "batch long, number int, head long, tail long, n int"
+PAIRS = "own long, head long, tail long, n int"
+
+
+def packed(places: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(places.tobytes())
+
+
+def unpacked(places: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(places.as_buffer()), np.int32)
 
 
 def numbered(texts: list[tuple[str, str | None]]) -> tuple[np.ndarray, list[str], list[bytes], list[int]]:
@@ -69,7 +78,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = next(serial)
         if own >> SERIAL_BITS or partition >> PARTITION_BITS or len(words) >> NUMBER_BITS:
             raise OverflowError("a partition has too many batches, or a document too many words, for a name of 63 bits")
-        values = [pa.array([partition << SERIAL_BITS | own], pa.int64()), pa.array([places.tobytes()], pa.binary()), pa.array([langs], pa.list_(pa.string())), pa.array([words], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int32()))]
+        values = [pa.array([partition << SERIAL_BITS | own], pa.int64()), pa.array([packed(places)], pa.binary()), pa.array([langs], pa.list_(pa.string())), pa.array([words], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int32()))]
         return pa.RecordBatch.from_arrays(values, ["batch", "places", "langs", "words", "counts"])
 
     for rows in batches:
@@ -92,22 +101,27 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: row.column(name)[0] for name in rows.schema.names}
 
 
-def merged(places: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places where a group and another at the next place stand; the pairs there are; which of them stands at each place; their counts."""
+def merged(places: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a group and another at the next place stand, and which two, as one number."""
     at = np.flatnonzero((places[:-1] > 0) & (places[1:] > 0))
-    pairs, which, n = np.unique((places[at].astype(np.int64) - 1) * groups + places[at + 1] - 1, return_inverse=True, return_counts=True)
-    return at, pairs, which, n
+    return at, (places[at].astype(np.int64) - 1) * groups + places[at + 1] - 1
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order and how often each occurs."""
+    keys = np.sort(keys)
+    ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) if len(keys) else np.zeros(0, np.int64)
+    return keys[ends], np.diff(ends, prepend=-1).astype(np.int32)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        places, names = np.frombuffer(row["places"].as_buffer(), np.int32), row["names"].values.to_numpy()
-        _, pairs, _, n = merged(places, len(names))
-        head, tail = np.divmod(pairs, max(1, len(names)))
-        values = [pa.array(np.full(len(pairs), row["batch"].as_py())), pa.array(np.arange(len(pairs), dtype=np.int32)), pa.array(names[head]), pa.array(names[tail]), pa.array(n.astype(np.int32))]
-        whole = pa.RecordBatch.from_arrays(values, ["batch", "number", "head", "tail", "n"])
+        places, names = unpacked(row["places"]), row["names"].values.to_numpy()
+        pairs, n = counted(merged(places, len(names))[1])
         for at in range(0, len(pairs), 50_000):
-            yield whole.slice(at, 50_000)
+            head, tail = np.divmod(pairs[at:at + 50_000], len(names))
+            own = (row["batch"].as_py() << NUMBER_BITS) + np.arange(at, at + len(head))
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(names[head]), pa.array(names[tail]), pa.array(n[at:at + 50_000])], ["own", "head", "tail", "n"])
 
 
 def _kept(first: bool):
@@ -115,33 +129,34 @@ def _kept(first: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            places = np.frombuffer(row["places"].as_buffer(), np.int32)
+            places = unpacked(row["places"])
             kept = row["kept"].values
             numbers, names = kept.field("number").to_numpy(), kept.field("name").to_numpy()
             if first:
-                new = np.zeros(int(max(places.max(initial=0), numbers.max(initial=0))) + 1, np.int32)
+                new = np.zeros(max(places.max(initial=0), numbers.max(initial=0)) + 1, np.int32)
                 new[numbers] = np.arange(1, len(numbers) + 1)
                 out = new[places]
             else:
-                at, pairs, which, _ = merged(places, row["groups"].as_py())
-                new = np.zeros(len(pairs), np.int32)
-                new[numbers] = np.arange(1, len(numbers) + 1)
-                out = np.zeros_like(places)
-                out[at] = new[which]
-            yield pa.RecordBatch.from_arrays([pa.array([row["batch"].as_py()], pa.int64()), pa.array([out.tobytes()], pa.binary()), pa.array([names], pa.list_(pa.int64()))], ["batch", "places", "names"])
+                at, keys = merged(places, row["groups"].as_py())
+                wanted = counted(keys)[0][numbers]
+                order = np.argsort(wanted)
+                found = np.searchsorted(wanted, keys, sorter=order).clip(0, len(wanted) - 1)
+                out = np.zeros(len(places), np.int32)
+                out[at] = np.where(wanted[order[found]] == keys, order[found] + 1, 0)
+            yield pa.RecordBatch.from_arrays([pa.array([row["batch"].as_py()], pa.int64()), pa.array([packed(out)], pa.binary()), pa.array([names], pa.list_(pa.int64()))], ["batch", "places", "names"])
 
     return run
 
 
 def _frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
     """Rows of groups that all batches together hold ``least`` times, with the group's name and count."""
-    own = F.shiftleft("batch", NUMBER_BITS).bitwiseOR(F.col("number").cast("long"))
     group = Window.partitionBy(*key)
-    return rows.withColumn("own", own).withColumn("name", F.min("own").over(group)).withColumn("a", F.sum(F.col("n").cast("long")).over(group)).where(F.col("a") >= least)
+    return rows.withColumn("name", F.min("own").over(group)).withColumn("a", F.sum(F.col("n").cast("long")).over(group)).where(F.col("a") >= least)
 
 
 def _semi_joined(relation: DataFrame, frequent: DataFrame, first: bool) -> DataFrame:
-    kept = frequent.groupBy("batch").agg(F.collect_list(F.struct("number", "name")).alias("kept"))
+    number = F.col("own").bitwiseAND(F.lit((1 << NUMBER_BITS) - 1)).cast("int")
+    kept = frequent.groupBy(F.shiftright("own", NUMBER_BITS).alias("batch")).agg(F.collect_list(F.struct(number.alias("number"), "name")).alias("kept"))
     groups = F.lit(0) if first else F.size("names")
     return relation.select("batch", "places", groups.alias("groups")).join(kept, "batch").mapInArrow(_kept(first), RELATION)
 
@@ -155,9 +170,10 @@ def phrases(docs: DataFrame, tables: Tables, least: int, longest: int, text: str
     stored = tables.stored
     encoded = stored(docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).mapInArrow(_encode, ENCODED), "encoded")
     words = encoded.select("batch", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("at", "w"))
-    words = words.select("batch", (F.col("at") + 1).cast("int").alias("number"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    own = F.shiftleft("batch", NUMBER_BITS) + F.col("at") + 1
+    words = words.select(own.alias("own"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     sizes = stored(words.groupBy("lang").agg(F.sum(F.col("n").cast("long")).alias("n")), "sizes")
-    frequent = stored(_frequent(words, ["lang", "word"], least).select("batch", "number", "own", "name", "lang", "word", "a"), "frequent")
+    frequent = stored(_frequent(words, ["lang", "word"], least).select("own", "name", "lang", "word", "a"), "frequent")
     none = F.array().cast("array<long>")
     word = F.col("word").cast("string")
     found = [stored(frequent.where("own = name").select("name", F.lit(None).cast("long").alias("head"), F.lit(None).cast("long").alias("tail"), "lang", word.alias("phrase"), word.alias("last"), "a", none.alias("heads"), none.alias("tails")), "phrases")]
@@ -166,7 +182,7 @@ def phrases(docs: DataFrame, tables: Tables, least: int, longest: int, text: str
         wider = stored(_semi_joined(relation, frequent, relation is encoded), "relation")
         tables.drop(relation, frequent)
         relation = wider
-        frequent = stored(_frequent(relation.mapInArrow(_pairs, PAIRS), ["head", "tail"], least).select("batch", "number", "own", "name", "head", "tail", "a"), "frequent")
+        frequent = stored(_frequent(relation.mapInArrow(_pairs, PAIRS), ["head", "tail"], least).select("own", "name", "head", "tail", "a"), "frequent")
         of = lambda side: found[-1].select(F.col("name").alias(side), "lang", "phrase", "last", F.col("a").alias("own_a"), "heads", "tails")
         new = frequent.where("own = name").select("name", "head", "tail", "a")
         head, tail = of("head").alias("h"), of("tail").alias("t")
