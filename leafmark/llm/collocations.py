@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Tables, union
 
-#: Bytes of text in a batch; single documents may be longer.
-BATCH_BYTES = 6_000_000
+#: Bytes of text in a batch; single documents may be longer. Twice as much is held, to put a language into few batches.
+BATCH_BYTES = 14_000_000
 #: Stands between pieces; never part of UTF-8.
 CUT = b"\xff"
 #: A-Z to a-z, tabs to spaces, ends of pieces to CUT.
@@ -49,7 +49,7 @@ def unpacked(places: pa.Scalar) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(places.as_buffer()), np.int32)
 
 
-def numbered(texts: list[tuple[str, str | None]]) -> tuple[np.ndarray, list[str], list[bytes], list[int]]:
+def numbered(texts: list[tuple[str, bytes]]) -> tuple[np.ndarray, list[str], list[bytes], list[int]]:
     """The words of ``(lang, text)`` as numbers from 1, 0 between pieces; language, word and count of each number."""
     number = count(1)
     by_lang: dict[str, defaultdict] = {}
@@ -59,39 +59,52 @@ def numbered(texts: list[tuple[str, str | None]]) -> tuple[np.ndarray, list[str]
         if own is None:
             own = by_lang[lang] = defaultdict(number.__next__)
             own[CUT] = 0
-        words = (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).replace(CUT, b" \xff ").split()
+        words = text.translate(WORD_BYTES).replace(CUT, b" \xff ").split()
         words.append(CUT)
         parts.append(np.fromiter(map(own.__getitem__, words), np.int32, len(words)))
     places = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    langs, names = [], []
-    for _, lang, word in sorted((i, lang, w) for lang, own in by_lang.items() for w, i in own.items() if i):
-        langs.append(lang)
-        names.append(word)
+    size = next(number) - 1
+    langs, names = [""] * size, [b""] * size
+    for lang, own in by_lang.items():
+        for word, i in own.items():
+            if i:
+                langs[i - 1], names[i - 1] = lang, word
     return places, langs, names, np.bincount(places, minlength=len(names) + 1)[1:].tolist()
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    partition, serial, held, size = TaskContext.get().partitionId(), count(), [], 0
+    partition, serial = TaskContext.get().partitionId(), count()
 
-    def batch():
-        places, langs, words, counts = numbered(held)
+    def batch(texts: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        places, langs, words, counts = numbered(texts)
         own = next(serial)
         if own >> SERIAL_BITS or partition >> PARTITION_BITS or len(words) >> NUMBER_BITS:
             raise OverflowError("a partition has too many batches, or a document too many words, for a name of 63 bits")
         values = [pa.array([partition << SERIAL_BITS | own], pa.int64()), pa.array([packed(places)], pa.binary()), pa.array([langs], pa.list_(pa.string())), pa.array([words], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int32()))]
         return pa.RecordBatch.from_arrays(values, ["batch", "places", "langs", "words", "counts"])
 
+    def whole(texts: list[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+        """In order of languages, as even parts as there have to be."""
+        texts.sort(key=lambda x: x[0], reverse=True)
+        parts = -(-sum(len(t) for _, t in texts) // BATCH_BYTES)
+        for left in range(parts, 0, -1):
+            part, room = [], sum(len(t) for _, t in texts) / left
+            while texts and (left == 1 or room > 0):
+                part.append(texts.pop())
+                room -= len(part[-1][1])
+            yield batch(part)
+
+    held, size = [], 0
     for rows in batches:
         for at in range(0, rows.num_rows, 256):
             part = rows.slice(at, 256)
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                held.append((lang, text))
-                size += len(text or "")
-                if size >= BATCH_BYTES:
-                    yield batch()
+                held.append((lang, (text or "").encode("utf-8", "surrogatepass")))
+                size += len(held[-1][1])
+                if size >= 2 * BATCH_BYTES:
+                    yield from whole(held)
                     held, size = [], 0
-    if held:
-        yield batch()
+    yield from whole(held)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -103,13 +116,18 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def merged(places: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     """Places where a group and another at the next place stand, and which two, as one number."""
-    at = np.flatnonzero((places[:-1] > 0) & (places[1:] > 0))
-    return at, (places[at].astype(np.int64) - 1) * groups + places[at + 1] - 1
+    at = np.flatnonzero((places[:-1] > 0) & (places[1:] > 0)).astype(np.int32)
+    keys = places[at].astype(np.int64)
+    keys -= 1
+    keys *= groups
+    keys += places[at + 1]
+    keys -= 1
+    return at, keys
 
 
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys in order and how often each occurs."""
-    keys = np.sort(keys)
+    """The different keys in order and how often each occurs; ``keys`` is sorted in place."""
+    keys.sort()
     ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) if len(keys) else np.zeros(0, np.int64)
     return keys[ends], np.diff(ends, prepend=-1).astype(np.int32)
 
@@ -138,7 +156,7 @@ def _kept(first: bool):
                 out = new[places]
             else:
                 at, keys = merged(places, row["groups"].as_py())
-                wanted = counted(keys)[0][numbers]
+                wanted = counted(keys.copy())[0][numbers]
                 order = np.argsort(wanted)
                 found = np.searchsorted(wanted, keys, sorter=order).clip(0, len(wanted) - 1)
                 out = np.zeros(len(places), np.int32)
@@ -173,7 +191,7 @@ def phrases(docs: DataFrame, tables: Tables, least: int, longest: int, text: str
     own = F.shiftleft("batch", NUMBER_BITS) + F.col("at") + 1
     words = words.select(own.alias("own"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     sizes = stored(words.groupBy("lang").agg(F.sum(F.col("n").cast("long")).alias("n")), "sizes")
-    frequent = stored(_frequent(words, ["lang", "word"], least).select("own", "name", "lang", "word", "a"), "frequent")
+    frequent = stored(_frequent(words, ["lang", "word"], least).select("own", "name", *[F.when(F.col("own") == F.col("name"), F.col(c)).alias(c) for c in ("lang", "word", "a")]), "frequent")
     none = F.array().cast("array<long>")
     word = F.col("word").cast("string")
     found = [stored(frequent.where("own = name").select("name", F.lit(None).cast("long").alias("head"), F.lit(None).cast("long").alias("tail"), "lang", word.alias("phrase"), word.alias("last"), "a", none.alias("heads"), none.alias("tails")), "phrases")]
@@ -182,7 +200,7 @@ def phrases(docs: DataFrame, tables: Tables, least: int, longest: int, text: str
         wider = stored(_semi_joined(relation, frequent, relation is encoded), "relation")
         tables.drop(relation, frequent)
         relation = wider
-        frequent = stored(_frequent(relation.mapInArrow(_pairs, PAIRS), ["head", "tail"], least).select("own", "name", "head", "tail", "a"), "frequent")
+        frequent = stored(_frequent(relation.mapInArrow(_pairs, PAIRS), ["head", "tail"], least).select("own", "name", *[F.when(F.col("own") == F.col("name"), F.col(c)).alias(c) for c in ("head", "tail", "a")]), "frequent")
         of = lambda side: found[-1].select(F.col("name").alias(side), "lang", "phrase", "last", F.col("a").alias("own_a"), "heads", "tails")
         new = frequent.where("own = name").select("name", "head", "tail", "a")
         head, tail = of("head").alias("h"), of("tail").alias("t")
