@@ -42,7 +42,7 @@ PAIRS = "own long, head long, tail long, n int"
 
 
 def packed(places: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(places.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(places.tobytes())
 
 
 def unpacked(places: pa.Scalar) -> np.ndarray:
@@ -150,6 +150,7 @@ def _kept(first: bool):
             places = unpacked(row["places"])
             kept = row["kept"].values
             numbers, names = kept.field("number").to_numpy(), kept.field("name").to_numpy()
+            numbers, names = numbers[order := np.argsort(names)], names[order]  # pairs then lie in the order of names, and pack well
             if first:
                 new = np.zeros(max(places.max(initial=0), numbers.max(initial=0)) + 1, np.int32)
                 new[numbers] = np.arange(1, len(numbers) + 1)

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders written by :func:`stored` in this process and not yet removed.
 _WRITTEN: list[str] = []
 
@@ -60,10 +61,15 @@ class Tables:
         self._paths: dict[DataFrame, str] = {}
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written to the shared folder and read back, as :func:`stored` does."""
-        path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
-        df.write.parquet(path)
-        back = df.sparkSession.read.schema(df.schema).parquet(path)
+        """``df`` written to the shared folder and read back, as :func:`stored` does; its shuffle files go with the write that made them."""
+        spark = df.sparkSession
+        path, before = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}"), spark.conf.get(SHUFFLE_CLEANUP, "false")
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+        back = spark.read.schema(df.schema).parquet(path)
         self._paths[back] = path
         return back
 
