@@ -48,7 +48,7 @@ NOTICES = [
 ]
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rarest words of a notice in the index.
+#: Rarest words of a notice in the index, of those that any document holds.
 INDEXED = 8
 #: Share of their weight that must agree on a beginning.
 LEAST = 0.7
@@ -61,12 +61,13 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("Å"))), F.lit(WORD), F.lit(0))
 
 
-def weights(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """A weight for each word of the templates, by the number of documents that hold it: a thousand times the logarithm of its rarity."""
+def weights(words: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
+    """A weight for each word of the templates, by the number of documents that hold it: a thousand times the logarithm of its rarity. And the weight of words that none holds."""
     held = words.select(F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary))).alias("held"), F.lit(1).alias("doc"))
     rows = held.select(F.explode(F.concat("held", F.array(F.lit("")))).alias("w")).groupBy("w").count().collect()  # a row a word of the templates; "" counts all documents
     df = {r["w"]: r["count"] for r in rows}
-    return {w: math.floor(1000 * math.log((2 * df.get("", 0) + 2) / (2 * df.get(w, 0) + 1))) for w in vocabulary}
+    weight = lambda n: math.floor(1000 * math.log((2 * df.get("", 0) + 2) / (2 * n + 1)))
+    return {w: weight(df.get(w, 0)) for w in vocabulary}, weight(0)
 
 
 def _index(entries: list[tuple[str, list[Column]]]) -> Column:
@@ -91,7 +92,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, notices: lis
     rows = docs.select(F.struct(*own).alias("row"), words_of(F.col(text)).alias("words"))
     must = list(dict.fromkeys([p for _, p in phrases] + [k for _, _, keys in notices for k in keys]))
     vocabulary = sorted({w for p in must for w in p.split()} | {w for _, n, _ in notices for w in n.split()})
-    weight = weights(rows, vocabulary)
+    weight, unseen = weights(rows, vocabulary)
     rarest = lambda words: max(range(len(words)), key=lambda i: (weight[words[i]], -i))
 
     spoken = [p.split() for p in must]
@@ -99,7 +100,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, notices: lis
     postings, keys, needed = [], [], []
     for t, (_, wording, held) in enumerate(notices):
         ws = wording.split()
-        best = sorted(range(len(ws)), key=lambda i: (-weight[ws[i]], i))[:INDEXED]
+        best = sorted((i for i in range(len(ws)) if weight[ws[i]] < unseen), key=lambda i: (-weight[ws[i]], i))[:INDEXED]
         postings += [(ws[i], _struct(template=F.lit(t), place=F.lit(i), weight=F.lit(weight[ws[i]]))) for i in best]
         keys += [(k, t, _place(ws, k.split())) for k in held]
         needed.append(_struct(template=F.lit(t), total=F.lit(max(1, sum(weight[ws[i]] for i in best))), keys=F.lit(len(held))))

@@ -55,7 +55,7 @@ indexed AS (SELECT t, unnest(string_split(wording, ' ')) AS w, unnest(range(len(
 word AS MATERIALIZED (SELECT * FROM (SELECT d, unnest(words) AS w, unnest(range(len(words))) AS pos FROM doc) WHERE w IN (SELECT w FROM indexed UNION SELECT unnest(ws) FROM spoken)),
 df AS (SELECT w, count(DISTINCT d) AS df FROM word GROUP BY w),
 weighed AS (SELECT i.*, CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * coalesce(df, 0) + 1)::DOUBLE)) AS BIGINT) AS weight FROM indexed i LEFT JOIN df USING (w), (SELECT count(*) AS n FROM doc)),
-rare AS (SELECT * FROM weighed QUALIFY row_number() OVER (PARTITION BY t ORDER BY weight DESC, place) <= {licenses.INDEXED}),
+rare AS (SELECT * FROM weighed WHERE weight < (SELECT CAST(floor(1000 * ln((2 * count(*) + 2)::DOUBLE)) AS BIGINT) FROM doc) QUALIFY row_number() OVER (PARTITION BY t ORDER BY weight DESC, place) <= {licenses.INDEXED}),
 total AS (SELECT t, greatest(1, sum(weight)) AS total FROM rare GROUP BY t),
 stands AS MATERIALIZED (SELECT d, said, pos FROM word JOIN spoken ON w = ws[1] JOIN doc USING (d) WHERE words[pos + 1:pos + len(ws)] = ws),
 hit AS (SELECT d, t, pos - place AS begin, place, weight, 0 AS key FROM word JOIN rare USING (w) WHERE d IN (SELECT d FROM stands)
