@@ -70,8 +70,10 @@ def weights(words: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], in
     return {w: weight(df.get(w, 0)) for w in vocabulary}, weight(0)
 
 
-def _index(entries: list[tuple[str, list[Column]]]) -> Column:
-    """word -> postings, as a literal."""
+def _index(entries: list[tuple[str, Column]], kind: str) -> Column:
+    """word -> postings of ``kind``, as a literal; null without any."""
+    if not entries:
+        return F.lit(None).cast(f"map<string,array<{kind}>>")
     by_word: dict[str, list[Column]] = {}
     for word, posting in entries:
         by_word.setdefault(word, []).append(posting)
@@ -96,7 +98,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, notices: lis
     rarest = lambda words: max(range(len(words)), key=lambda i: (weight[words[i]], -i))
 
     spoken = [p.split() for p in must]
-    exact = _index([(ws[rarest(ws)], _struct(phrase=F.lit(k), off=F.lit(rarest(ws)), said=F.array(*map(F.lit, ws)))) for k, ws in enumerate(spoken)])
+    exact = _index([(ws[rarest(ws)], _struct(phrase=F.lit(k), off=F.lit(rarest(ws)), said=F.array(*map(F.lit, ws)))) for k, ws in enumerate(spoken)], "struct<phrase:int,off:int,said:array<string>>")
     postings, keys, needed = [], [], []
     for t, (_, wording, held) in enumerate(notices):
         ws = wording.split()
@@ -104,7 +106,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, notices: lis
         postings += [(ws[i], _struct(template=F.lit(t), place=F.lit(i), weight=F.lit(weight[ws[i]]))) for i in best]
         keys += [(k, t, _place(ws, k.split())) for k in held]
         needed.append(_struct(template=F.lit(t), total=F.lit(max(1, sum(weight[ws[i]] for i in best))), keys=F.lit(len(held))))
-    rare = _index(postings)
+    rare = _index(postings, "struct<template:int,place:int,weight:int>")
     of_phrase = F.create_map(*[x for k, p in enumerate(must) for x in (F.lit(k), F.array(*[_struct(template=F.lit(t), place=F.lit(at)) for name, t, at in keys if name == p]).cast("array<struct<template:int,place:int>>"))])
 
     looked_up = sorted({w for w, _ in postings} | {ws[rarest(ws)] for ws in spoken})
