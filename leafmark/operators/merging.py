@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
-from ..sources.files import scratch
+from ..sources.files import Kept
 from .tree import LEVELS, ancestor_at_level, effective_members, rank_of
 
 MARGIN, THRESHOLD, ROLLBACK, LEAST_HITS, GAIN_WEIGHT, COST_PENALTY, BUDGET = 0.04, 0.56, 0.78, 2, 0.35, 0.5, 7000
@@ -28,10 +30,10 @@ def features(hits: DataFrame, slots: DataFrame, unit: str = "doc_id", least: int
 def merge_features(members: DataFrame, candidates: DataFrame, queries: DataFrame, budget: int = BUDGET, least: int = LEAST_HITS) -> DataFrame:
     """``query_id, candidate_id``, the thirteen features, and what deciding needs: mean and best member score, member tokens, members.
 
-    ``members``: query_id, candidate_id, node_id, place, score, text, token_count; ``candidates``: query_id, candidate_id, text,
+    ``members``: query_id, candidate_id, node_id, place, score, text (or its ``words``), token_count; ``candidates``: query_id, candidate_id, text,
     token_count, slots, candidate_score; ``queries``: query_id, query, query_type. A candidate's members are no more than the question's hits, so they fit in its row.
     """
-    one = members.select("query_id", "candidate_id", F.struct("place", "node_id", "score", "token_count", T.token_set("text").alias("words")).alias("m"))
+    one = members.select("query_id", "candidate_id", F.struct("place", "node_id", "score", "token_count", (F.col("words") if "words" in members.columns else T.token_set("text")).alias("words")).alias("m"))
     held = one.groupBy("query_id", "candidate_id").agg(F.array_sort(F.collect_list("m")).alias("m")).where(F.size("m") >= least)
     of = lambda c: F.transform("m", lambda x: x[c])
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -94,50 +96,66 @@ def decide_merges(selected: DataFrame, nodes: DataFrame, queries: DataFrame, lev
     return decide(merge_features(full, scorer(pairs, nodes, queries), queries, budget), policy)
 
 
-def expand_selection(selected: DataFrame, nodes: DataFrame, queries: DataFrame, policy: str = "adaptive", budget: int = BUDGET, scorer=lexical_candidate_scores, cut=None) -> tuple[DataFrame, DataFrame]:
+def closure(selected: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a question can reach from its selection: ``(play, pairs)``.
+
+    ``play``: query_id, node_id, rank, token_count, words, of what is selected and all that stands over it. ``pairs``: query_id,
+    candidate_id, candidate_rank, node_id, rank, slot (null unless the node is a slot of the candidate), linked (the candidate stands over it by parent links).
+    """
+    ranked = nodes.withColumn("rank", rank_of(F.col("level")).cast("int"))
+    over = F.array(*[F.struct(F.lit(i).alias("candidate_rank"), ancestor_at_level(name).alias("candidate_id")) for i, name in enumerate(LEVELS)])
+    over = F.filter(over, lambda x: x["candidate_id"].isNotNull() & (x["candidate_rank"] > F.col("rank")))
+    slim = ranked.select("node_id", "rank", "token_count", over.alias("over"))
+    own = selected.select("query_id", "node_id")
+    above = own.join(slim, "node_id").select("query_id", F.explode("over.candidate_id").alias("node_id"))
+    play = own.unionByName(above).distinct().join(slim.join(nodes.select("node_id", T.token_set("text").alias("words")), "node_id"), "node_id")
+    linked = play.select("query_id", "node_id", "rank", F.explode("over").alias("c")).select("query_id", "c.candidate_id", "c.candidate_rank", "node_id", "rank", F.lit(None).cast("int").alias("slot"), F.lit(True).alias("linked"))
+    slots = nodes.select(F.col("node_id").alias("candidate_id"), (rank_of(F.col("level")).cast("int")).alias("candidate_rank"), F.posexplode("child_ids").alias("slot", "node_id"))
+    direct = play.select("query_id", "node_id", "rank").join(slots, "node_id").join(play.select("query_id", F.col("node_id").alias("candidate_id")), ["query_id", "candidate_id"], "left_semi")
+    both = linked.unionByName(direct.withColumn("linked", F.lit(False)))
+    pairs = both.groupBy("query_id", "candidate_id", "candidate_rank", "node_id", "rank").agg(F.max("slot").alias("slot"), F.max("linked").alias("linked"))
+    return play.select("query_id", "node_id", "rank", "token_count", "words"), pairs
+
+
+def expand_selection(selected: DataFrame, nodes: DataFrame, queries: DataFrame, policy: str = "adaptive", budget: int = BUDGET, scorer=lexical_candidate_scores, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """``(selection, trace)``: members give way to accepted candidates, one level a round, until a question's ceiling, budget, or gain stops it.
 
-    ``selected``: query_id, node_id, score, of leaves or what leaves were merged into. The trace has a row for each question and round
-    with the reason it stopped or how many merged. Each round is kept by ``cut``, a function of a DataFrame; the default writes it to the shared folder and reads it
-    back, so that no round is planned again in the next.
+    ``selected``: query_id, node_id, score, of leaves or what leaves were merged into. All questions move at once, each at its own
+    level: what they can reach and how candidates score is worked out before the first round, and a round joins only these small
+    tables. The trace has a row for each question and round: how many merged, or why it stopped. Both results read what the rounds left in the shared folder.
     """
-    spark = selected.sparkSession
-
-    def written_down(df: DataFrame) -> DataFrame:
-        path = scratch(spark, "round")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    cut = cut or written_down
-    nodes = cut(nodes.select("node_id", "level", "parent_id", "section_id", "document_id", "position", "text", "token_count", "child_ids"))
-    kinds = queries.select("query_id", F.array_position(F.array(*map(F.lit, LEVELS)), F.element_at(F.create_map(*[F.lit(x) for kv in CEILING.items() for x in kv]), F.col("query_type"))).cast("int").alias("ceiling"))
-    size = nodes.select("node_id", "level", "token_count")
-    active = cut(selected.select("query_id").distinct().join(kinds, "query_id").withColumn("ceiling", F.col("ceiling") - 1))
-    ranks = selected.join(size, "node_id").groupBy("query_id").agg(F.min(rank_of(F.col("level"))).alias("start"))
-    active = active.join(ranks, "query_id").withColumn("start", F.greatest(F.lit(0), F.least("start", F.col("ceiling") - 1)))
-    trace = None
-    for round_ in range(DEPTH):
-        for rank in range(len(LEVELS) - 1):  # questions may begin at different levels
-            if rank < round_:
-                continue
-            here = active.where((F.col("start") + round_ == rank) & (F.lit(rank) < F.col("ceiling"))).select("query_id")
-            level = LEVELS[rank + 1]
-            mine = selected.join(here, "query_id", "left_semi")
-            used = mine.join(size, "node_id").groupBy("query_id").agg(F.sum("token_count").alias("tokens"))
-            fits = used.where(F.col("tokens") <= budget * HEADROOM).select("query_id")
-            by_parent_links = mine.join(nodes.select("node_id", "level", "parent_id", "section_id", "document_id"), "node_id").select("query_id", ancestor_at_level(level).alias("candidate_id"))
-            wanted = by_parent_links.where("candidate_id is not null").groupBy("query_id", "candidate_id").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_HITS).join(fits, "query_id", "left_semi")
-            decided = cut(decide_merges(mine.join(fits, "query_id", "left_semi"), nodes, queries, level, policy, budget, scorer).join(wanted.select("query_id", "candidate_id"), ["query_id", "candidate_id"], "left_semi"))
-            taken = decided.where("accepted")
-            gone = taken.select("query_id", F.explode("member_ids").alias("node_id")).unionByName(taken.select("query_id", F.col("candidate_id").alias("node_id"))).distinct()
-            selected = cut(selected.join(gone, ["query_id", "node_id"], "left_anti").unionByName(taken.select("query_id", F.col("candidate_id").alias("node_id"), F.col("relevance").alias("score"))))
-            outcome = here.join(fits.withColumn("fits", F.lit(True)), "query_id", "left").join(decided.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count_if("accepted").alias("merged"), F.sum(F.when(F.col("accepted"), F.greatest(F.lit(0.0), "delta"))).alias("gain")), "query_id", "left")
-            why = F.when(F.col("fits").isNull(), "token headroom reached").when(F.col("candidates").isNull(), "no candidate with enough members").when(F.col("merged") == 0, "members favoured").when(F.col("gain") < EPSILON, "gain below epsilon")
-            rows = outcome.select("query_id", F.lit(round_).alias("round"), F.lit(level).alias("level"), F.coalesce("candidates", F.lit(0)).cast("int").alias("candidates"), F.coalesce("merged", F.lit(0)).cast("int").alias("merged"), F.coalesce("gain", F.lit(0.0)).alias("gain"), why.alias("stopped"))
-            rows = cut(rows)
-            trace = rows if trace is None else trace.unionByName(rows)
-            active = active.join(rows.where("stopped is not null").select("query_id"), "query_id", "left_anti")
-    return selected, trace
+    kept = Kept()
+    selection = selected = kept.keep(selected.select("query_id", "node_id", "score"), "selected")
+    play, pairs = closure(selected, nodes)
+    play, pairs = kept.keep(play, "play"), kept.keep(pairs, "pairs")
+    scores = kept.keep(scorer(pairs.select("query_id", "candidate_id").distinct(), nodes, queries).select("query_id", "candidate_id", "token_count", "slots", "candidate_score"), "scores")
+    rank = lambda level: F.array_position(F.array(*map(F.lit, LEVELS)), level).cast("int") - 1
+    ceiling = rank(F.element_at(F.create_map(*[F.lit(x) for kv in CEILING.items() for x in kv]), F.col("query_type")))
+    begin = selected.join(play, ["query_id", "node_id"]).groupBy("query_id").agg(F.min("rank").alias("lowest")).join(queries.select("query_id", ceiling.alias("ceiling")), "query_id")
+    state = begin.select("query_id", F.greatest(F.lit(0), F.least("lowest", F.col("ceiling") - 1)).alias("start"), "ceiling")
+    rounds, decisions = [], []
+    for round_ in range(depth):
+        live = state.where(F.col("start") + round_ < F.col("ceiling")).select("query_id", (F.col("start") + round_ + 1).alias("candidate_rank"))
+        for before in rounds:
+            live = live.join(before.where("stopped is not null").select("query_id"), "query_id", "left_anti")
+        here = selection.join(live, "query_id").join(play, ["query_id", "node_id"])
+        used = here.groupBy("query_id").agg(F.sum("token_count").alias("tokens"))
+        fits = used.where(F.col("tokens") <= budget * HEADROOM).select("query_id")
+        met = here.join(fits, "query_id", "left_semi").join(pairs.drop("rank"), ["query_id", "node_id", "candidate_rank"])
+        wanted = met.where("linked").groupBy("query_id", "candidate_id").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_HITS).select("query_id", "candidate_id")
+        place = F.row_number().over(Window.partitionBy("query_id", "candidate_id").orderBy(F.asc_nulls_last("slot"), F.desc("score"), "node_id"))
+        members = met.where("slot is not null or rank < candidate_rank - 1").join(wanted, ["query_id", "candidate_id"], "left_semi").withColumn("place", place)
+        decided = kept.keep(decide(merge_features(members, scores, queries, budget), policy), "decided")
+        decisions.append(decided)
+        taken = decided.where("accepted")
+        sums = decided.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count_if("accepted").alias("merged"), F.sum(F.when(F.col("accepted"), F.greatest(F.lit(0.0), "delta"))).alias("gain"))
+        outcome = live.join(used, "query_id").join(sums, "query_id", "left")
+        why = F.when(F.col("tokens") > budget * HEADROOM, "token headroom reached").when(F.col("candidates").isNull(), "no candidate with enough members").when(F.col("merged") == 0, "members favoured").when(F.col("gain") < EPSILON, "gain below epsilon")
+        rounds.append(kept.keep(outcome.select("query_id", F.lit(round_).alias("round"), F.element_at(F.array(*map(F.lit, LEVELS)), F.col("candidate_rank") + 1).alias("level"), "tokens", F.coalesce("candidates", F.lit(0)).cast("int").alias("candidates"), F.coalesce("merged", F.lit(0)).cast("int").alias("merged"), F.coalesce("gain", F.lit(0.0)).alias("gain"), why.alias("stopped")), "round"))
+        gone = taken.select("query_id", F.explode("member_ids").alias("node_id")).unionByName(taken.select("query_id", F.col("candidate_id").alias("node_id"))).distinct()
+        selection = selection.join(gone, ["query_id", "node_id"], "left_anti").unionByName(taken.select("query_id", F.col("candidate_id").alias("node_id"), F.col("relevance").alias("score")))
+    kept.drop_all_but(selected, *decisions, *rounds)
+    return selection, reduce(DataFrame.unionByName, rounds)
 
 
 def missing_parts(parts: DataFrame, key: str, number: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import governance as G, merging as M, retrieval as R
 from ..registry import query
+from ..sources.files import Kept
 from .retrieval_queries import DENSE, SPARSE, asked, bm25_list, bm25_sql, hundredth, leaves, sparse_list
 
 
@@ -186,7 +187,7 @@ def tree_selection(t):
     """The benchmark's items with the leaves of the tree that hold most of their words, by the sparse list over leaves."""
     from .node_queries import nodes
 
-    n = nodes(t)
+    n = Kept().keep(nodes(t), "nodes")
     numbered = n.where("level = 'child'").select(F.col("document_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64("node_id"), F.lit(2**31 - 1)).cast("int").alias("pos"), "node_id", "text")
     hits = R.sparse_topk(numbered, asked(t), 24).join(numbered.select("doc_id", "pos", "node_id"), ["doc_id", "pos"])
     q = asked(t).select("query_id", F.col("text").alias("query"), F.element_at(F.array(*map(F.lit, ("factoid", "explanatory", "comparative_multi_hop", "global_synthesis"))), (F.col("query_id") % 4 + 1).cast("int")).alias("query_type"))
@@ -199,8 +200,53 @@ def decide_merges(t):
     return found.select("query_id", "candidate_id", *[F.round(c, 6).alias(c) for c in M.FEATURES], F.round("delta", 6).alias("delta"), "accepted")
 
 
+@query("d18_expand_selection")
 def expand_selection(t):
-    return M.expand_selection(*tree_selection(t))[1].select("query_id", "round", "level", "candidates", "merged", "stopped")
+    """The benchmark's items over the tree, level by level until each stops."""
+    return M.expand_selection(*tree_selection(t))[1].select("query_id", "round", "level", "tokens", "candidates", "merged", F.round("gain", 6).alias("gain"), "stopped")
+
+
+ORDER_TREE = """WITH line AS (SELECT l_orderkey AS o, l_linenumber AS pos, max(l_quantity) AS quantity, max(l_discount) * 10 AS score, max(l_returnflag) AS flag, max(l_linestatus) AS status FROM lineitem GROUP BY ALL),
+parent AS (SELECT o_custkey AS q, o_orderkey AS o, sum(CAST(quantity AS INT)) AS tokens, count(*) AS slots, least(1.0, any_value(o_totalprice) / 300000) AS rel, length(any_value(c_mktsegment)) % 4 AS kind FROM orders JOIN line ON o = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+mine AS (SELECT q, kind, o, pos, CAST(quantity AS INT) AS tok, score, ['flag' || lower(flag), 'status' || lower(status)] AS words FROM line JOIN parent USING (o) WHERE quantity >= 20),
+used AS (SELECT q, sum(tok) AS tokens FROM mine GROUP BY q),
+pair AS (SELECT *, lag(words) OVER (PARTITION BY o ORDER BY pos) AS last FROM mine),
+cand AS (SELECT q, o, count(*) AS n, avg(score) AS um, max(score) AS bm, sum(tok) AS tok, coalesce(avg(len(list_intersect(words, last)) / len(list_distinct(list_concat(words, last)))) FILTER (last IS NOT NULL), 0) AS coh FROM pair GROUP BY ALL HAVING count(*) >= 2),
+f AS (SELECT c.*, rel, least(1.0, n / slots) AS cov, least(1.0, c.tok / tokens) AS den, least(1.0, greatest(0, tokens - c.tok) / 600) AS cost, kind FROM cand c JOIN parent USING (q, o)),
+p AS (SELECT *, 0.5 * rel + 0.5 / (1 + exp(-(1.55 * rel + 0.90 * cov + 0.45 * coh + 1.05 * den - 0.85 * (1 - den) - 0.75 * cost - 0.95 + CASE kind WHEN 3 THEN 0.40 WHEN 1 THEN 0.22 WHEN 0 THEN -0.28 ELSE 0 END))) AS up FROM f),
+d AS (SELECT *, up + 0.35 * greatest(0, 1 - cov) * up - um - 0.5 * cost AS delta FROM p),
+s AS (SELECT q, count(*) AS candidates, count(*) FILTER (ok) AS merged, coalesce(sum(greatest(0, delta)) FILTER (ok), 0) AS gain FROM (SELECT *, round(delta, 9) >= 0.04 AND NOT rel < 0.78 * bm AS ok FROM d) GROUP BY q)"""
+
+
+def order_tree(t):
+    """Lines of orders as leaves, orders, customers and nations over them; each customer asks, and has all lines of 20 pieces or more selected."""
+    line = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_quantity", "l_discount", "l_returnflag", "l_linestatus")])
+    order = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    name = lambda kind, *key: F.concat_ws("-", F.lit(kind), *key)
+    leaf, parent, section, document = name("line", "l_orderkey", "l_linenumber"), name("order", "o_orderkey"), name("customer", "c_custkey"), name("nation", "c_nationkey")
+    lines = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("c_custkey").alias("query_id"), leaf.alias("node_id"), parent.alias("parent_id"), section.alias("section_id"), document.alias("document_id"), "l_linenumber", F.concat(F.lit("flag"), "l_returnflag", F.lit(" status"), "l_linestatus").alias("text"), F.col("l_quantity").cast("int").alias("token_count"), (F.col("l_discount") * 10).alias("score"), "l_quantity", "o_totalprice")
+    held = lambda at: F.transform(F.array_sort(F.collect_list(F.struct(at, "node_id"))), lambda x: x["node_id"])
+    none = F.lit(None).cast("string")
+    child = lines.select("node_id", F.lit("child").alias("level"), "parent_id", "section_id", "document_id", "text", "token_count", F.array().cast("array<string>").alias("child_ids"), F.lit(0.0).alias("worth"))
+    parents = lines.groupBy(F.col("parent_id"), "section_id", "document_id", F.least(F.lit(1.0), F.col("o_totalprice") / 300000).alias("worth")).agg(held("l_linenumber").alias("child_ids"), F.sum("token_count").cast("int").alias("token_count")).select(F.col("parent_id").alias("node_id"), F.lit("parent").alias("level"), F.col("section_id").alias("parent_id"), "section_id", "document_id", F.lit("").alias("text"), "token_count", "child_ids", "worth")
+    sections = parents.groupBy("section_id", "document_id").agg(F.array_sort(F.collect_list("node_id")).alias("child_ids"), F.sum("token_count").cast("int").alias("token_count"), F.avg("worth").alias("worth")).select(F.col("section_id").alias("node_id"), F.lit("section").alias("level"), F.col("document_id").alias("parent_id"), "section_id", "document_id", F.lit("").alias("text"), "token_count", "child_ids", "worth")
+    tops = sections.groupBy("document_id").agg(F.array_sort(F.collect_list("node_id")).alias("child_ids"), F.sum("token_count").cast("int").alias("token_count"), F.avg("worth").alias("worth")).select(F.col("document_id").alias("node_id"), F.lit("document").alias("level"), none.alias("parent_id"), none.alias("section_id"), "document_id", F.lit("").alias("text"), "token_count", "child_ids", "worth")
+    kinds = F.element_at(F.array(*map(F.lit, ("factoid", "explanatory", "comparative_multi_hop", "global_synthesis"))), F.length("c_mktsegment") % 4 + 1)
+    asked_ = t("customer").select(F.col("c_custkey").alias("query_id"), F.col("c_name").alias("query"), kinds.alias("query_type"))
+    return lines.where("l_quantity >= 20").select("query_id", "node_id", "score"), child.unionByName(parents).unionByName(sections).unionByName(tops), asked_
+
+
+def worth(pairs, nodes, queries):
+    return pairs.join(nodes.select(F.col("node_id").alias("candidate_id"), "token_count", F.size("child_ids").alias("slots"), F.col("worth").alias("candidate_score")), "candidate_id")
+
+
+@query("d18_first_round", ORDER_TREE + """ SELECT q AS query_id, CAST(u.tokens AS BIGINT) AS tokens, CASE WHEN u.tokens > 690 THEN 0 ELSE coalesce(candidates, 0) END AS candidates, CASE WHEN u.tokens > 690 THEN 0 ELSE coalesce(merged, 0) END AS merged, CASE WHEN u.tokens > 690 THEN 0 ELSE coalesce(round(gain, 6), 0) END AS gain,
+    CASE WHEN u.tokens > 690 THEN 'token headroom reached' WHEN candidates IS NULL THEN 'no candidate with enough members' WHEN merged = 0 THEN 'members favoured' WHEN gain < 0.02 THEN 'gain below epsilon' END AS stopped FROM used u LEFT JOIN s USING (q)""")
+def first_round(t):
+    """Orders with their lines as candidates: one round of all customers."""
+    selected, n, q = order_tree(t)
+    trace = M.expand_selection(selected, n, q, budget=600, scorer=worth, depth=1)[1]
+    return trace.select("query_id", "tokens", F.col("candidates").cast("long").alias("candidates"), F.col("merged").cast("long").alias("merged"), F.round("gain", 6).alias("gain"), "stopped")
 
 
 @query("d14_unit_maxsim", f"WITH {DENSE}, b AS (SELECT query_id, label, max(score) AS score FROM ds GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, label) AS k FROM b) SELECT r.query_id, CAST(r.label AS BIGINT) AS unit_id, embeddings.vec_id AS leaf_id, round(score, 6) AS score FROM r JOIN embeddings ON embeddings.label = r.label WHERE k <= 2")

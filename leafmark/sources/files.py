@@ -26,6 +26,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(base.rstrip("/"), f"{name}-{uuid.uuid4().hex}")
 
 
+class Kept:
+    """Tables of one run in the shared folder, which the run removes itself."""
+
+    def __init__(self) -> None:
+        self._paths: dict[DataFrame, str] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written and read back: its lineage ends here."""
+        path = scratch(df.sparkSession, name)
+        df.write.parquet(path)
+        back = df.sparkSession.read.schema(df.schema).parquet(path)
+        self._paths[back] = path
+        return back
+
+    def drop_all_but(self, *kept: DataFrame) -> None:
+        for table in [t for t in self._paths if not any(t is k for k in kept)]:
+            where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(self._paths.pop(table))
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: S.StructType | str) -> DataFrame:
     """One JSON object a line; blank lines and a byte-order mark are skipped, a broken line is an error."""
     lines = spark.read.text(path).select(F.regexp_replace("value", f"^{BOM}", "").alias("value")).where(F.trim("value") != "")
