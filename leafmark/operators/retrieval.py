@@ -8,20 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..sources.files import Kept
 
 LEAF = ["doc_id", "pos"]
 #: Question vectors held by a task at once.
 BLOCK_QUERIES = 2_000
 
 
-#: Questions whose terms a task holds at once, and leaves scored together.
-TERM_QUERIES, TERM_LEAVES = 500, 512
+#: Questions whose terms a task holds at once, leaves of a block of the index, blocks after which a task compares what it has found.
+TERM_QUERIES, BLOCK_LEAVES, MERGE_EVERY = 500, 512, 8
 #: Found rows that a task holds before it keeps the best of them only.
 HELD = 2_000_000
 
@@ -44,41 +46,94 @@ def _best(found: list[np.ndarray], k: int) -> list[np.ndarray]:
     return [x[order] for x in found]
 
 
-def _term_scores(block, part, k: int, zeros: bool, grouped: bool):
-    """Each task's best ``k`` leaves of every question (and group): products of the leaf's and the questions' weights over their terms."""
+class Index(NamedTuple):
+    """An inverted index over leaves, in the shared folder: a row a block of leaves, with the postings of every word of the block."""
+
+    blocks: DataFrame
+    n: int
+    mean: float
+    kept: Kept
+
+    def drop(self) -> None:
+        self.kept.drop_all_but()
+
+
+BLOCK = "doc array<long>, pos array<int>, group array<string>, length array<int>, words array<string>, held array<int>, leaf array<int>, tf array<int>, n_leaves long, n_words long"
+FOUND = "query_id long, group string, doc_id long, pos int, score double"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of ``BLOCK_LEAVES`` leaves at a time: words, how many leaves hold each, and for each of these the leaf and the times."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_LEAVES):
+            some = batch.slice(at, BLOCK_LEAVES)
+            lists = some.column(2)
+            if pa.types.is_string(lists.type):  # still to be parted at white space
+                words = [(t or "").encode().split() for t in lists.to_pylist()]
+                length = np.fromiter(map(len, words), np.int64, len(words))
+                coded = pa.array([w for own in words for w in own], pa.binary()).dictionary_encode()
+            else:
+                length = np.diff(lists.offsets.to_numpy())
+                coded = lists.flatten().dictionary_encode()
+            key, times = np.unique(coded.indices.to_numpy().astype(np.int64) * len(length) + np.repeat(np.arange(len(length)), length), return_counts=True)
+            held = np.bincount(key // max(1, len(length)), minlength=len(coded.dictionary))
+            one = lambda values, kind: pa.ListArray.from_arrays([0, len(values)], pa.array(values, kind) if not isinstance(values, pa.Array) else values)
+            columns = [one(some.column(0).to_numpy(), pa.int64()), one(some.column(1).to_numpy(), pa.int32()), one(some.column(3).to_pylist(), pa.string()), one(length.astype(np.int32), pa.int32()), one(coded.dictionary.cast(pa.string()), pa.string())]
+            columns += [one(x.astype(np.int32), pa.int32()) for x in (held, key % max(1, len(length)), times)] + [pa.array([len(length)], pa.int64()), pa.array([int(length.sum())], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "pos", "group", "length", "words", "held", "leaf", "tf", "n_leaves", "n_words"])
+
+
+def build_index(leaves: DataFrame, tokens, group: str | None = None) -> Index:
+    """Reads the leaves once; any number of questions can be asked afterwards. ``tokens`` gives the words of a text column, or a text that white space parts."""
+    kept = Kept()
+    rows = leaves.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("pos").cast("int").alias("pos"), tokens("text").alias("tokens"), (F.col(group) if group else F.lit(None)).cast("string").alias("group"))
+    blocks = kept.keep(rows.mapInArrow(_blocks, BLOCK), "index")
+    sums = blocks.agg(F.coalesce(F.sum("n_leaves"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
+    return Index(blocks, sums["n"], max(1.0, sums["words"] / max(1, sums["n"])), kept)
+
+
+def _searched(block, part, k: int, zeros: bool, grouped: bool):
+    """Each task's best ``k`` leaves of every question (and group). A block whose best possible score for a question lies under the question's k-th so far is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vocabulary, weights = block.value
-        n_terms, get = len(vocabulary), vocabulary.get
+        get, least = vocabulary.get, np.zeros(len(ids))
         groups: dict[str | None, int] = {}
         held: list[list[np.ndarray]] = []
-        size = 0
+        size = merges = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, TERM_LEAVES):
-                some = batch.slice(at, TERM_LEAVES)
-                doc, pos = some.column(0).to_numpy(), some.column(1).to_numpy().astype(np.int64)
-                lists = some.column(2).to_pylist()
-                length = np.array([len(x) for x in lists])
-                term = np.fromiter((get(w, -1) for x in lists for w in x), np.int64, int(length.sum()))
-                leaf = np.repeat(np.arange(len(lists)), length)[term >= 0]
-                key, times = np.unique(leaf * n_terms + term[term >= 0], return_counts=True)
-                leaf, (own, column) = key // max(1, n_terms), np.unique(key % max(1, n_terms), return_inverse=True)
-                table = np.zeros((len(lists), len(own)))
-                table[leaf, column] = part(times.astype(float), length[leaf])
-                scores = table @ weights[own]
+            for row in range(batch.num_rows):
+                of = lambda c: batch.column(c)[row].values.to_numpy()  # noqa: B023, E731
+                length, counts = of(3), of(5)
+                term = np.fromiter((get(w, -1) for w in batch.column(4)[row].as_py()), np.int64, len(counts))
+                entry = np.flatnonzero(np.repeat(term >= 0, counts))
+                own = term[term >= 0]
+                leaf, column = of(6)[entry], np.repeat(np.arange(len(own)), counts[term >= 0])
+                table = np.zeros((len(length), len(own)))
+                table[leaf, column] = part(of(7)[entry].astype(float), length[leaf])
+                asked = np.flatnonzero(table.max(axis=0, initial=0) @ weights[own] + 1e-9 >= least)
+                if not len(asked):
+                    continue
+                scores = table @ weights[np.ix_(own, asked)]
                 if grouped:
                     rows, query = np.nonzero(scores > 0)
-                    code = np.array([groups.setdefault(g, len(groups)) for g in some.column(3).to_pylist()])[rows]
+                    code = np.array([groups.setdefault(g, len(groups)) for g in batch.column(2)[row].as_py()])[rows]
                 else:
                     near = np.round(scores, 9)
-                    keep = (near >= np.partition(near, len(lists) - k, axis=0)[len(lists) - k]) if k < len(lists) else np.ones(near.shape, bool)
+                    keep = near >= least[asked]
+                    if k < len(near):
+                        keep &= near >= np.partition(near, len(near) - k, axis=0)[len(near) - k]
                     rows, query = np.nonzero(keep if zeros else keep & (scores > 0))
                     code = np.zeros(len(rows), np.int64)
-                held.append(_best([query, code, scores[rows, query], doc[rows], pos[rows]], k))
-                size += len(held[-1][0])
-                if size > HELD:
+                held.append(_best([asked[query], code, scores[rows, query], of(0)[rows], of(1)[rows].astype(np.int64)], k))
+                size, merges = size + len(held[-1][0]), merges + 1
+                if size > HELD or merges % MERGE_EVERY == 0:
                     held = [_best([np.concatenate(x) for x in zip(*held)], k)]
                     size = len(held[0][0])
+                    if not grouped and size:
+                        full, last = np.unique(held[0][0][::-1], return_index=True)
+                        enough = np.bincount(held[0][0], minlength=len(ids))[full] == k
+                        least[full[enough]] = np.round(held[0][2][::-1][last[enough]], 9)
         if held:
             query, code, score, doc, pos = _best([np.concatenate(x) for x in zip(*held)], k)
             names = list(groups) or [None]
@@ -87,18 +142,15 @@ def _term_scores(block, part, k: int, zeros: bool, grouped: bool):
     return run
 
 
-FOUND = "query_id long, group string, doc_id long, pos int, score double"
-
+def search_index(index: Index, queries: DataFrame, tokens, weigh, part, k: int, zeros: bool, grouped: bool) -> DataFrame:
+    """``query_id, group, doc_id, pos, score``: each task's best ``k`` leaves of every question, in each group if ``grouped``.
 
-def _by_terms(leaves: DataFrame, queries: DataFrame, tokens, weigh, part, k: int, zeros: bool, group: str | None) -> DataFrame:
-    """Scores of leaves for blocks of questions: the block's terms go to the leaves, and each task hands on its best rows only.
-
-    ``weigh(terms)`` gives the weights of a block's terms by their numbers; ``tokens`` a leaf's or question's words.
+    ``weigh(asked, df)`` gives the weights of a block's terms (terms x questions) from how often the questions hold them and how many
+    leaves do; ``part(times, length)`` a term's share in a leaf. Questions go in blocks of a bounded number.
     """
-    spark = leaves.sparkSession
+    spark = queries.sparkSession
     rows = queries.select("query_id", tokens("text").alias("tokens"))
     blocks, found = -(-rows.count() // TERM_QUERIES), []
-    held = leaves.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("pos").cast("int").alias("pos"), tokens("text").alias("tokens"), (F.col(group) if group else F.lit(None)).cast("string").alias("group"))
     for b in range(blocks):
         some = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").collect()
         vocabulary = {w: i for i, w in enumerate(sorted({w for r in some for w in r["tokens"]}))}
@@ -106,46 +158,46 @@ def _by_terms(leaves: DataFrame, queries: DataFrame, tokens, weigh, part, k: int
         for q, r in enumerate(some):
             for w in r["tokens"]:
                 asked[vocabulary[w], q] += 1
-        block = spark.sparkContext.broadcast((np.array([r["query_id"] for r in some], np.int64), vocabulary, weigh(held, vocabulary, asked)))
-        found.append(held.mapInArrow(_term_scores(block, part, k, zeros, group is not None), FOUND))
+        terms = spark.createDataFrame([(w, i) for w, i in vocabulary.items()], "word string, term int")
+        words = index.blocks.select(F.explode(F.arrays_zip("words", "held")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.held").alias("n"))
+        df = np.zeros(len(vocabulary))
+        for r in words.join(terms, "word").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row a term of the block's questions
+            df[r["term"]] = r["n"]
+        weighed = spark.sparkContext.broadcast((np.array([r["query_id"] for r in some], np.int64), vocabulary, weigh(asked, df[:, None])))
+        found.append(index.blocks.mapInArrow(_searched(weighed, part, k, zeros, grouped), FOUND))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], FOUND)
 
 
-def _frequencies(vocabulary: dict[str, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary), np.int64)
-        for batch in batches:
-            for words in batch.column(0).to_pylist():
-                for w in set(words):
-                    if (i := vocabulary.get(w)) is not None:
-                        total[i] += 1
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["term", "n"])
+def bm25_tokens(c: str | Column) -> Column:
+    return T.spaced_tokens(F.lower(c))
 
-    return run
 
+def _asked(leaves: DataFrame | Index, tokens, group: str | None, search) -> DataFrame:
+    """What ``search`` finds in an index; one that is built for these questions goes when they are answered."""
+    if isinstance(leaves, Index):
+        return search(leaves)
+    index = build_index(leaves, F.lower if tokens is bm25_tokens else tokens, group)
+    found = Kept().keep(search(index), "found")
+    index.drop()
+    return found
 
-def bm25_found(leaves: DataFrame, queries: DataFrame, k: int, group: str | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+
+def bm25_found(leaves: DataFrame | Index, queries: DataFrame, k: int, group: str | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``query_id, group, doc_id, pos, score``: each task's best ``k`` leaves for each question, in each group if one is named.
 
     Document frequency, number and mean length are of all leaves, whatever a scope keeps. A term that a
-    question repeats counts as often.
+    question repeats counts as often. Takes leaves, or an index over their texts in lower case.
     """
-    tokens = lambda c: T.spaced_tokens(F.lower(c))
-    whole = leaves.select(F.size(tokens("text")).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")).first()
-    mean = max(1.0, whole["avgdl"] or 1.0)
 
-    def weigh(held: DataFrame, vocabulary: dict[str, int], asked: np.ndarray) -> np.ndarray:
-        # one row a term of the block's questions
-        counts = held.select("tokens").mapInArrow(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-        df = np.zeros(len(vocabulary))
-        df[[r["term"] for r in counts]] = [r["n"] for r in counts]
-        return asked * (k1 + 1) * np.log(1 + (whole["n"] - df + 0.5) / (df + 0.5))[:, None]
+    def search(index: Index) -> DataFrame:
+        weigh = lambda asked, df: asked * (k1 + 1) * np.log(1 + (index.n - df + 0.5) / (df + 0.5))
+        mean = index.mean
+        return search_index(index, queries, bm25_tokens, weigh, lambda tf, length: tf / (tf + k1 * (1 - b + b * length / mean)), k, group is None, group is not None)
 
-    return _by_terms(leaves, queries, tokens, weigh, lambda tf, length: tf / (tf + k1 * (1 - b + b * length / mean)), k, group is None, group)
+    return _asked(leaves, bm25_tokens, group, search)
 
 
-def bm25(leaves: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def bm25(leaves: DataFrame | Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """The best ``k`` leaves of all for each question; those without a common term fill a short list in their order."""
     return ranked(bm25_found(leaves, queries, k).select("query_id", *LEAF, "score"), k)
 
@@ -156,11 +208,11 @@ def scoped_bm25(leaves: DataFrame, queries: DataFrame, k: int, scope: str = "sou
     return ranked(found.withColumn("__of", F.struct("query_id", scope)), k, query="__of").drop("__of")
 
 
-def sparse_topk(leaves: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` leaves by the sum over shared content words of (1 + ln times) in both; only leaves with one."""
-    weigh = lambda held, vocabulary, asked: np.where(asked > 0, 1 + np.log(np.maximum(asked, 1)), 0)
-    found = _by_terms(leaves, queries, T.content_tokens, weigh, lambda tf, length: 1 + np.log(tf), k, False, None)
-    return ranked(found.select("query_id", *LEAF, "score"), k)
+def sparse_topk(leaves: DataFrame | Index, queries: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` leaves by the sum over shared content words of (1 + ln times) in both; only leaves with one. Takes leaves, or an index over them by ``content_tokens``."""
+    weigh = lambda asked, df: np.where(asked > 0, 1 + np.log(np.maximum(asked, 1)), 0)
+    search = lambda index: search_index(index, queries, T.content_tokens, weigh, lambda tf, length: 1 + np.log(tf), k, False, False)
+    return ranked(_asked(leaves, T.content_tokens, None, search).select("query_id", *LEAF, "score"), k)
 
 
 def sparse_weights(df: DataFrame, keys: list[str]) -> DataFrame:
