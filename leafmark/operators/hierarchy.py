@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as S
 from ..functions import text as T
 
 LEAF_TOKENS, OVERLAP_SENTENCES, GROUP, GROUP_OVERLAP = 220, 1, 4, 1
+#: Characters of a stretch in which intervals meet.
+WIDTH = 4096
 
 
 def sections(documents: DataFrame) -> DataFrame:
@@ -135,23 +137,39 @@ def canonical_offsets(secs: DataFrame, key: str = "doc_id", pos: str = "section_
     return secs.withColumn("canonical_start", F.sum(F.length("text") + 2).over(w) - F.length("text") - 2)
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], how: str = "inner") -> DataFrame:
-    """Half-open interval join inside equal keys."""
-    on = [left[k] == right[k] for k in keys] + [left[a[0]] < right[b[1]], left[a[1]] > right[b[0]]]
-    joined = left.join(right, on, how)
-    for k in keys:
-        joined = joined.drop(right[k])
-    return joined
+def by_buckets(rows: DataFrame, start: str, end: str, width: int, name: str) -> DataFrame:
+    """A row for each stretch of ``width`` that the interval touches, numbered in ``name``; a row without a place stays one, without a number."""
+    return rows.withColumn(name, F.explode_outer(F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(start, end) / width))))
 
 
-def attach_pages(spans: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], how: str = "inner", width: int = WIDTH) -> DataFrame:
+    """Half-open interval join inside equal keys.
+
+    Rows meet by key and stretch of ``width`` only, so that a key with many intervals is spread and gives no pairs of intervals far
+    apart; a pair that shares more stretches is kept in the first. An interval takes as many rows as the stretches that it touches. With ``how="left"`` a
+    row of ``left`` comes without a partner for each of its stretches that has none: aggregate over it.
+    """
+    one, other = by_buckets(left, *a, width, "__here").alias("__a"), by_buckets(right, *b, width, "__there").alias("__b")
+    col = lambda side, c: F.col(f"{side}.`{c}`")
+    a0, a1, b0, b1 = col("__a", a[0]), col("__a", a[1]), col("__b", b[0]), col("__b", b[1])
+    on = [col("__a", k) == col("__b", k) for k in keys] + [F.col("__here") == F.col("__there"), F.col("__here") == F.greatest(F.floor(a0 / width), F.floor(b0 / width)), a0 < b1, a1 > b0]
+    return one.join(other, on, how).select(*[col("__a", c) for c in left.columns], *[col("__b", c) for c in right.columns if c not in keys])
+
+
+def attach_pages(spans: DataFrame, pages: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
     """Smallest and largest page over a span; without any overlap the page that begins last before it.
 
-    ``spans``: keys, char_start, char_end; ``pages``: keys, page, page_start, page_end.
+    ``spans``: keys, char_start, char_end; ``pages``: keys, page, page_start, page_end. Overlaps meet by stretches of text; the page
+    before comes from one pass over the places of a key, pages first.
     """
-    met = spans.join(pages, keys, "left").withColumn("over", (F.col("page_start") < F.col("char_end")) & (F.col("page_end") > F.col("char_start")))
-    g = met.groupBy(*keys, "char_start", "char_end").agg(F.min(F.when(F.col("over"), F.col("page"))).alias("lo"), F.max(F.when(F.col("over"), F.col("page"))).alias("hi"), F.max_by("page", F.when(F.col("page_start") <= F.col("char_start"), F.col("page_start"))).alias("before"))
-    return g.select(*keys, "char_start", "char_end", F.coalesce("lo", "before").alias("first_page"), F.coalesce("hi", "before").alias("last_page"))
+    met = overlapping(spans, pages, keys, ("char_start", "char_end"), ("page_start", "page_end"), "left", width)
+    over = met.groupBy(*keys, "char_start", "char_end").agg(F.min("page").alias("lo"), F.max("page").alias("hi"))
+    none = F.lit(None)
+    places = over.select(*keys, "char_start", "char_end", "lo", "hi", F.lit(1).alias("kind"), none.cast(pages.schema["page"].dataType).alias("page"))
+    starts = pages.select(*keys, F.col("page_start").cast(spans.schema["char_start"].dataType).alias("char_start"), none.cast(spans.schema["char_end"].dataType).alias("char_end"), none.cast(pages.schema["page"].dataType).alias("lo"), none.cast(pages.schema["page"].dataType).alias("hi"), F.lit(0).alias("kind"), "page")
+    so_far = Window.partitionBy(*keys).orderBy("char_start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = places.unionByName(starts).withColumn("before", F.last("page", ignorenulls=True).over(so_far)).where("kind = 1")
+    return found.select(*keys, "char_start", "char_end", F.coalesce("lo", "before").alias("first_page"), F.coalesce("hi", "before").alias("last_page"))
 
 
 def page_partition(starts: DataFrame, lengths: DataFrame, key: str) -> DataFrame:

@@ -6,8 +6,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from .hierarchy import overlapping
 
 WINDOW_MS, SAME_BOARD = 180_000, 0.9
+#: Milliseconds of a stretch in which cues and segments meet.
+STRETCH_MS = 60_000
 #: Flags of a segment that count it as doubtful.
 DOUBTFUL = ["low_confidence", "possible_repetition", "alignment_uncertain"]
 CAPTIONS = ["human_caption", "auto_caption"]
@@ -86,7 +89,7 @@ def locate(quotes: DataFrame, spans: DataFrame) -> DataFrame:
 
     ``quotes``: quote_id, source_id, quote_start, quote_end.
     """
-    met = quotes.join(spans, (quotes["source_id"] == spans["source_id"]) & (F.col("char_start") < F.col("quote_end")) & (F.col("char_end") > F.col("quote_start")), "left").drop(spans["source_id"])
+    met = overlapping(quotes, spans, ["source_id"], ("quote_start", "quote_end"), ("char_start", "char_end"), "left")
     item = F.when(F.col("char_start").isNotNull(), F.struct("char_start", "target_type", "target_id", "start_ms", "end_ms", "asset_id", "flags", "reviewed"))
     g = met.groupBy("quote_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.collect_set("target_type").alias("kinds"), F.array_sort(F.collect_list(item)).alias("items"))
     return g.select("quote_id", "start_ms", "end_ms", F.when(F.size("kinds") == 0, "none").when(F.size("kinds") == 1, F.col("kinds")[0]).otherwise("mixed").alias("precision"), "items")
@@ -94,7 +97,7 @@ def locate(quotes: DataFrame, spans: DataFrame) -> DataFrame:
 
 def node_time_range(nodes: DataFrame, spans: DataFrame) -> DataFrame:
     """``node_id, modality, start_ms, end_ms`` of nodes over the spans that they meet; the modality only if there is one."""
-    met = nodes.select("node_id", "source_id", F.col("char_start").alias("a"), F.col("char_end").alias("b")).join(spans, "source_id").where("char_start < b and char_end > a")
+    met = overlapping(nodes.select("node_id", "source_id", F.col("char_start").alias("a"), F.col("char_end").alias("b")), spans, ["source_id"], ("a", "b"), ("char_start", "char_end"))
     return met.groupBy("node_id").agg(F.when(F.count_distinct("modality") == 1, F.min("modality")).alias("modality"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
 
 
@@ -106,8 +109,8 @@ def asset_at(instants: DataFrame, chunks: DataFrame, key: str = "source_id") ->
 
 def cue_offsets(cues: DataFrame, segments: DataFrame, key: str = "source_id") -> DataFrame:
     """``key, cue_id, offset_ms``: how far the earliest overlapping segment begins from each cue; null if there is none."""
-    met = cues.join(segments, key, "left").withColumn("over", (F.col("seg_start") < F.col("cue_end")) & (F.col("seg_end") > F.col("cue_start")))
-    g = met.groupBy(key, "cue_id", "cue_start").agg(F.min(F.when(F.col("over"), F.col("seg_start"))).alias("first"))
+    met = overlapping(cues, segments, [key], ("cue_start", "cue_end"), ("seg_start", "seg_end"), "left", STRETCH_MS)
+    g = met.groupBy(key, "cue_id", "cue_start").agg(F.min("seg_start").alias("first"))
     return g.select(key, "cue_id", F.abs(F.col("first") - F.col("cue_start")).alias("offset_ms"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .hierarchy import overlapping
+
 
 def coverage(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Length of the union of a key's intervals: each adds what reaches past all before it."""
@@ -31,9 +33,9 @@ def islands(rows: DataFrame, key: str, start: str, end: str, gap: int) -> DataFr
     return cut.groupBy(key, "island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n"))
 
 
-def alignment_edges(segments: DataFrame, regions: DataFrame, key: str) -> DataFrame:
-    """Shared time of segments and regions over the segment's length, for those that overlap."""
-    j = segments.join(regions, key).where("seg_start < reg_end and seg_end > reg_start")
+def alignment_edges(segments: DataFrame, regions: DataFrame, key: str, width: int = 60_000) -> DataFrame:
+    """Shared time of segments and regions over the segment's length, for those that overlap; they meet by stretches of ``width``."""
+    j = overlapping(segments, regions, [key], ("seg_start", "seg_end"), ("reg_start", "reg_end"), width=width)
     shared = F.least("seg_end", "reg_end") - F.greatest("seg_start", "reg_start")
     return j.select(key, "seg_id", "reg_id", F.round(shared / F.greatest(F.lit(1), F.col("seg_end") - F.col("seg_start")), 4).alias("share"))
 
