@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -160,8 +164,8 @@ def sign_flip(diffs: DataFrame, exact_clusters: int = 16) -> DataFrame:
 def cluster_sign_flip(diffs: DataFrame, null: float = 0.0, alternative: str = "two-sided", iterations: int = 20_000, seed: int = 42, exact_clusters: int = 16) -> DataFrame:
     """``p_value`` of the paired sign-flip test over clusters' sums: all patterns of up to ``exact_clusters`` clusters, else ``iterations`` of hashed signs and the observed one.
 
-    ``diffs``: cluster, diff. A pattern's bits, or a hash of iteration and cluster, are the signs; sums of a cluster go to all
-    patterns, and patterns are combined before they move.
+    ``diffs``: cluster, diff. A pattern's bits, or a hash of iteration and cluster, are the signs; tasks hand on
+    sums by pattern.
     """
     sums = diffs.groupBy("cluster").agg(F.sum(F.col("diff") - null).alias("v"), F.count("*").alias("n"))
     total = sums.agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.sum("v").alias("v")).first()
@@ -175,20 +179,55 @@ def cluster_sign_flip(diffs: DataFrame, null: float = 0.0, alternative: str = "t
         patterns = F.sequence(F.lit(0), F.lit((1 << total["m"]) - 1))
         flipped = sums.withColumn("bit", bit).select("v", "bit", F.explode(patterns).alias("pattern")).withColumn("s", F.expr("if((shiftright(pattern, bit) & 1) = 1, -v, v)"))
     else:
-        patterns = F.sequence(F.lit(1), F.lit(iterations))
-        flipped = sums.select("v", "cluster", F.explode(patterns).alias("pattern")).withColumn("s", F.when(F.pmod(F.xxhash64(F.lit(seed), "pattern", "cluster"), F.lit(2)) == 0, F.col("v")).otherwise(-F.col("v")))
+        flipped = sign_sums(sums, "cluster", "v", iterations, seed)
     x = flipped.groupBy("pattern").agg((F.sum("s") / F.lit(float(total["n"]))).alias("x"))
     far = F.col("x") >= observed - 1e-12 if alternative == "greater" else F.abs("x") >= abs(observed) - 1e-12
     more = 0 if exact else 1
     return x.agg(((F.count_if(far) + more) / (F.count("*") + more)).alias("p_value"))
 
 
+# Odd multipliers under 2**63 of the counter hash, so that SQL can take the same products in 128 bits.
+KEY_STEP, ROUND_STEP, MIX = 0x1E3779B97F4A7C15, 0x3F58476D1CE4E5B9, 0x14D049BB133111EB
+
+
+def counter_hash(keys: np.ndarray, rounds: np.ndarray, seed: int) -> np.ndarray:
+    """64 mixed bits for each round and key: a product, a fold and a product, modulo 2**64."""
+    z = keys.astype(np.int64).view(np.uint64)[None, :] * np.uint64(KEY_STEP) + (rounds.astype(np.uint64) * np.uint64(ROUND_STEP) + np.uint64(seed))[:, None]
+    z ^= z >> np.uint64(30)
+    z *= np.uint64(MIX)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(MIX)
+    return z
+
+
+def sign_sums(rows: DataFrame, key: str, value: str, iterations: int, seed: int) -> DataFrame:
+    """``pattern, s``: parts of the sum of ``value`` under each iteration's signs; a sign is the top bit of a hash of iteration and ``key`` (of its own hash, unless it is an integer).
+
+    A task makes the signs of its rows for all iterations as matrices and hands on one row with its sums, so that no row is ever repeated; parts
+    of one pattern are to be added.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rounds = np.zeros(iterations), np.arange(1, iterations + 1)
+        for batch in batches:
+            keys, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            for at in range(0, len(keys), 128):
+                up = counter_hash(keys[at:at + 128], rounds, seed) >> np.uint64(63)
+                total += (1.0 - 2.0 * up) @ values[at:at + 128]
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["sums"])
+
+    number = F.col(key).cast("long") if rows.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64(key)
+    known = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(number, F.col(value).cast("double"))
+    return known.mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("pattern", "s"))
+
+
 def paired_permutation(diffs: DataFrame, iterations: int = 10_000, seed: int = 42) -> DataFrame:
-    """``p_value`` of the row form: hashed signs for every row in every iteration, the observed one included. ``diffs``: row_key, diff."""
-    observed = diffs.agg(F.abs(F.avg("diff")).alias("o")).first()["o"] or 0.0
-    signs = F.when(F.pmod(F.xxhash64(F.lit(seed), "pattern", "row_key"), F.lit(2)) == 0, F.col("diff")).otherwise(-F.col("diff"))
-    x = diffs.select("row_key", "diff", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("pattern")).groupBy("pattern").agg(F.avg(signs).alias("x"))
-    return x.agg(((F.count_if(F.abs("x") >= observed - 1e-12) + 1) / (F.count("*") + 1)).alias("p_value"))
+    """``p_value`` of the row form: hashed signs for every row in every iteration, the observed one included. ``diffs``: row_key, diff; 1 without rows."""
+    seen = diffs.agg(F.count("diff").alias("n"), F.sum("diff").alias("v")).first()
+    if not seen["n"]:
+        return diffs.sparkSession.createDataFrame([(1.0,)], "p_value double")
+    x = sign_sums(diffs, "row_key", "diff", iterations, seed).groupBy("pattern").agg((F.sum("s") / seen["n"]).alias("x"))
+    return x.agg(((F.count_if(F.abs("x") >= abs(seen["v"] / seen["n"]) - 1e-12) + 1) / (F.count("*") + 1)).alias("p_value"))
 
 
 def cluster_bootstrap(diffs: DataFrame, iterations: int = 2000, seed: int = 42, alpha: float = 0.05) -> DataFrame:

@@ -15,7 +15,7 @@ def manifest_completeness(t):
     return M.missing_parts(t("lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("c14_cue_offsets", "WITH f AS (SELECT o_orderpriority, o_orderkey, min(epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000 AS days FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) SELECT o_orderpriority, round(quantile_cont(abs(days), 0.5), 6) AS p50, round(max(abs(days)), 6) AS max, count(*) AS covered FROM f GROUP BY ALL")
+@query("c14_order_offsets", "WITH f AS (SELECT o_orderpriority, o_orderkey, min(epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000 AS days FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) SELECT o_orderpriority, round(quantile_cont(abs(days), 0.5), 6) AS p50, round(max(abs(days)), 6) AS max, count(*) AS covered FROM f GROUP BY ALL")
 def cue_offsets(t):
     """How far the earliest line of each order lies from the order."""
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
@@ -66,7 +66,7 @@ def media_quota(t):
     return j.where("o_orderstatus in ('F', 'O')").groupBy("c_nationkey").agg(F.sum(F.round(used * 100).cast("long")).alias("used"))
 
 
-@query("i08_job_attempts", "WITH a AS (SELECT user_id, event_type, count(*) AS attempts, max(ts) AS last FROM events GROUP BY ALL) SELECT user_id, event_type, attempts, attempts >= 12 AS exhausted, CAST(least(300, 5 * pow(2, attempts)) AS DOUBLE) AS retry_seconds FROM a")
+@query("i08_user_attempts", "WITH a AS (SELECT user_id, event_type, count(*) AS attempts, max(ts) AS last FROM events GROUP BY ALL) SELECT user_id, event_type, attempts, attempts >= 12 AS exhausted, CAST(least(300, 5 * pow(2, attempts)) AS DOUBLE) AS retry_seconds FROM a")
 def job_attempts(t):
     a = t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("attempts"))
     return a.withColumn("exhausted", F.col("attempts") >= 12).withColumn("retry_seconds", F.least(F.lit(300.0), 5 * F.pow(F.lit(2.0), F.col("attempts"))))

@@ -132,7 +132,7 @@ def macro_average(t):
     return six(E.macro_average(rows, ["l_returnflag"]), "l_returnflag")
 
 
-@query("g12_benchmark_rows", f"""WITH {RUNS}, q AS (SELECT query_id, list(vec_id ORDER BY vec_id) FILTER (label = query_label) AS kept, list(vec_id ORDER BY vec_id) FILTER (label <> query_label) AS drift FROM run GROUP BY ALL)
+@query("g12_question_rows", f"""WITH {RUNS}, q AS (SELECT query_id, list(vec_id ORDER BY vec_id) FILTER (label = query_label) AS kept, list(vec_id ORDER BY vec_id) FILTER (label <> query_label) AS drift FROM run GROUP BY ALL)
 SELECT query_id, coalesce(array_to_string(kept, ','), '') AS kept, coalesce(array_to_string(drift, ','), '') AS drift, coalesce(length(kept), 0) > 0 AS correct FROM q""")
 def benchmark_rows(t):
     sets = runs(t).join(gold(t), ["query_id", "item"], "left").groupBy("query_id").agg(F.sort_array(F.collect_set("item")).alias("all"), F.sort_array(F.collect_set(F.when(F.col("relevance").isNotNull(), F.col("item")))).alias("gold"))

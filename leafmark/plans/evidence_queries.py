@@ -236,11 +236,26 @@ def cluster_sums(t):
     return V.cluster_sign_flip(diffs(t))
 
 
-@query("g09_sampled_sign_flip")
+def flipped(rows: str, iterations: int) -> str:
+    """Sums of ``key, v`` of ``rows`` under hashed signs in SQL: products modulo 2**64 in 128 bits."""
+    mod = "18446744073709551616::HUGEINT"
+    fold = lambda z, by: f"(xor({z}, {z} >> {by}) * {V.MIX}::HUGEINT) % {mod}"
+    return f"""r AS ({rows}), z0 AS (SELECT i, v, (((key::HUGEINT * {V.KEY_STEP}::HUGEINT) % {mod} + (i::HUGEINT * {V.ROUND_STEP}::HUGEINT) % {mod} + 42) % {mod} + {mod}) % {mod} AS z FROM r, (SELECT unnest(generate_series(1, {iterations})) AS i)),
+z1 AS (SELECT i, v, {fold("z", 30)} AS z FROM z0), z2 AS (SELECT i, v, {fold("z", 27)} AS z FROM z1), x AS (SELECT i, sum(CASE WHEN z >= 9223372036854775808::HUGEINT THEN -v ELSE v END) / (SELECT sum(n) FROM r) AS x FROM z2 GROUP BY i), o AS (SELECT sum(v) / sum(n) AS o FROM r)
+SELECT (count(*) FILTER (abs(x) >= abs(o) - 1e-12) + 1) / (count(*) + 1) AS p_value FROM x, o"""
+
+
+@query("g09_sampled_sign_flip", "WITH " + flipped("SELECT conv_id AS key, sum(length(text) % 7 - 3)::DOUBLE AS v, count(*) AS n FROM conversations GROUP BY conv_id", 20_000))
 def sampled_sign_flip(t):
     """Every conversation a cluster."""
     rows = t("conversations").select(F.col("conv_id").alias("cluster"), (F.length("text") % 7 - 3).cast("double").alias("diff"))
-    return V.cluster_sign_flip(rows, iterations=2000)
+    return V.cluster_sign_flip(rows)
+
+
+@query("g09_paired_permutation", "WITH " + flipped("SELECT conv_id * 1000 + turn AS key, (length(text) % 7 - 3)::DOUBLE AS v, 1 AS n FROM conversations", 10_000))
+def paired_permutation(t):
+    """Every turn a row of its own."""
+    return V.paired_permutation(t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_key"), (F.length("text") % 7 - 3).cast("double").alias("diff")))
 
 
 @query("g10_non_inferiority", FLIPS.replace("{null}", "0.1") + " SELECT 0.1 AS margin, count(*) FILTER (x >= o - 1e-12) / count(*) AS p_value, count(*) FILTER (x >= o - 1e-12) / count(*) < 0.05 AS non_inferior FROM x, t")

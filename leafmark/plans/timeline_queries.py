@@ -76,7 +76,7 @@ def sequence_events(t):
     return L.sequence(t("events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "seq")
 
 
-@query("i06_replay_run", "WITH s AS (SELECT user_id, event_type, props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) SELECT user_id, event_type, min(seq) AS first_seq, arg_max(props, seq) AS payload FROM s WHERE seq > 5 GROUP BY ALL")
+@query("i06_event_log", "WITH s AS (SELECT user_id, event_type, props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) SELECT user_id, event_type, min(seq) AS first_seq, arg_max(props, seq) AS payload FROM s WHERE seq > 5 GROUP BY ALL")
 def replay_run(t):
     s = L.sequence(t("events"), "user_id", ["ts", "event_id"]).select("user_id", "event_type", F.col("props").alias("payload"), "seq")
     return L.replay(s, "user_id", "event_type", 5)

@@ -17,6 +17,8 @@ def query(name: str, oracle: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = run
         if oracle:
             ORACLE_SQL[name] = oracle
