@@ -259,6 +259,20 @@ def _numbered(sums: DataFrame) -> DataFrame:
     return rows.select((offset + F.expr("__id & 8589934591")).alias("i"), "v", "n")
 
 
+def split_by_group(df: DataFrame, key: str, ratios: tuple[float, float, float] = (0.7, 0.1, 0.2), seed: int = 42) -> DataFrame:
+    """Adds ``split``: train, calibration or test, so that no group straddles two; groups lie in the order of a hash of seed and name.
+
+    Numbers of groups are the ratios' shares of all, rounded half to even, the rest is test. Groups are numbered by partitions of a
+    sorted table, in no single task. Rows without a group have no split.
+    """
+    groups = df.select(F.col(key).alias("cluster_name")).where("cluster_name is not null").distinct()
+    numbered = _numbered(groups.select(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cluster_name").cast("string"))).alias("cluster"), F.col("cluster_name").alias("v"), F.lit(1).alias("n")))
+    total = groups.count()
+    train = round(total * ratios[0])
+    split = F.when(F.col("i") < train, "train").when(F.col("i") < train + round(total * ratios[1]), "calibration").otherwise("test")
+    return df.join(numbered.select(F.col("v").alias(key), split.alias("split")), key, "left")
+
+
 def non_inferiority(diffs: DataFrame, margin: float, alpha: float = 0.05, iterations: int = 2000, seed: int = 42) -> DataFrame:
     """``margin, p_value, one_sided_lower, non_inferior``: the sign-flip test against a loss of ``margin``, and the lower end of the interval."""
     p = cluster_sign_flip(diffs, null=-margin, alternative="greater", seed=seed)

@@ -119,6 +119,28 @@ def effect_size(t):
     return six(E.effect_size(two_systems(t)))
 
 
+@query("g10_compare", f"WITH {PAIRS}, {TWO}, m AS (SELECT avg(diff) AS mean FROM two GROUP BY cluster) SELECT count(*) AS questions, count(DISTINCT cluster) AS clusters, round(avg(diff), 6) AS mean_diff, (SELECT round(coalesce(avg(mean) / nullif(stddev_samp(mean), 0), 0), 6) FROM m) AS d_z, true AS inside FROM two")
+def compare(t):
+    """Everything on two systems in a row; the interval holds the mean, which is all that SQL can say of hashed draws."""
+    p = tables.claim_pairs(t("conversations"))
+    a = p.select("conv_id", "turn", F.pmod("conv_id", F.lit(12)).alias("cluster"), (F.length("claim") / (1 + F.length("evidence"))).alias("m"))
+    b = p.select("conv_id", "turn", (F.length("evidence") / (1 + F.length("claim"))).alias("m"))
+    one = E.compare(a, b, ["conv_id", "turn"], "m", margin=0.1)
+    return one.select("questions", "clusters", F.round("mean_diff", 6).alias("mean_diff"), F.round("d_z", 6).alias("d_z"), F.col("mean_diff").between(F.col("low"), F.col("high")).alias("inside"))
+
+
+@query("g07_adaptive_utility", "SELECT user_id, round(avg(value / 100 - 0.00002 * event_id - 0.00001 * value), 6) AS utility FROM events GROUP BY user_id")
+def adaptive_utility(t):
+    """Values as scores and latencies, numbers of events as tokens."""
+    return t("events").groupBy("user_id").agg(F.round(F.avg(E.adaptive_utility(F.col("value") / 100, F.col("event_id"), F.col("value"))), 6).alias("utility"))
+
+
+@query("a19_seeded_split", "WITH g AS (SELECT source, row_number() OVER (ORDER BY md5('7:' || source)) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)), s AS (SELECT source, CASE WHEN i < round_even(n * 0.7, 0) THEN 'train' WHEN i < round_even(n * 0.7, 0) + round_even(n * 0.1, 0) THEN 'calibration' ELSE 'test' END AS split FROM g) SELECT doc_id, source, split FROM documents JOIN s USING (source)")
+def seeded_split(t):
+    """Documents by their sources in three parts."""
+    return E.split_by_group(t("documents").select("doc_id", "source"), "source", seed=7)
+
+
 @query("g10_holm", """WITH p AS (SELECT event_type AS test, least(1.0, avg(value) / 1000) AS p FROM events GROUP BY event_type), s AS (SELECT *, row_number() OVER (ORDER BY p, test) AS i, count(*) OVER () AS n FROM p)
 SELECT test, round(p, 6) AS p, round(max(least(1.0, p * (n - i + 1))) OVER (ORDER BY p, test ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM s""")
 def holm(t):

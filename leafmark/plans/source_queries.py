@@ -167,3 +167,47 @@ def speech_manifest(t):
     parts.select(F.concat_ws("\t", key, F.concat(key, F.lit(".wav")), "p_name", F.lower("p_name"), F.lit("-"), (F.col("p_size") * 4000).cast("string"), "p_brand").alias("value")).write.text(path)
     return files.read_speech_manifest(parts.sparkSession, path).select("id", "reference", "seconds", "gender")
 
+
+
+EXPORTED = """WITH c AS (SELECT l_orderkey AS r, l_linenumber AS i, max(l_partkey) AS part, max(l_suppkey) AS supp, max(l_returnflag) AS flag, max(l_linestatus) AS status FROM lineitem GROUP BY ALL),
+l AS (SELECT *, 'S' || supp || CASE WHEN i % 2 = 0 THEN ', ' || lpad(CAST(part // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(part % 60 AS VARCHAR), 2, '0') ELSE ', p. ' || i END AS cited FROM c),
+m AS (SELECT r, '- part ' || part || ' [' || cited || ']' AS line, i, flag, status, '- **S' || supp || '**' || substr(cited, length('S' || supp) + 1) || ' (' || CASE status WHEN 'O' THEN 'automatic transcript' ELSE 'direct_support' END || ', revision r1): ' || CASE flag WHEN 'R' THEN '_[source deleted, content hidden]_' ELSE '"part ' || part || '"' END AS proof FROM l),
+a AS (SELECT r, string_agg(line || ' — ' || status, chr(10) ORDER BY i) AS listed, string_agg(proof, chr(10) ORDER BY i) AS proofs, string_agg(line, chr(10) ORDER BY i DESC) FILTER (i <= 2) AS few FROM m GROUP BY r)"""
+
+
+def exported(t):
+    """Orders as runs, their lines as claims with one piece of evidence each."""
+    lines = t("lineitem").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("claim_idx")).agg(*[F.max(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")])
+    text, even = F.concat(F.lit("part "), "l_partkey"), F.col("claim_idx") % 2 == 0
+    claims = lines.select("run_id", "claim_idx", text.alias("text"), F.col("l_linestatus").alias("status"))
+    evidence = lines.select("run_id", "claim_idx", F.lit(0).alias("ordinal"), F.concat(F.lit("S"), "l_suppkey").alias("source_alias"), F.when(~even, F.col("claim_idx")).alias("page_start"), F.when(even, F.col("l_partkey") * 1000).alias("start_ms"), F.lit("direct_support").alias("role"), F.when(F.col("l_linestatus") == "O", "automatic").alias("transcription_state"), (F.col("l_returnflag") == "R").alias("source_deleted"), text.alias("snapshot"), F.lit("r1").alias("revision"))
+    runs = t("orders").select(F.col("o_orderkey").alias("run_id"), F.concat(F.lit("order "), "o_orderkey").alias("query"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("answer_status"), F.lit("p").alias("profile"))
+    return runs, claims, evidence
+
+
+@query("a17_export_runs", EXPORTED + " SELECT o_orderkey AS run_id, '# order ' || o_orderkey || chr(10) || chr(10) || '> Run ' || o_orderkey || ' · ' || o_orderstatus || ' · — · profile p' || chr(10) || chr(10) || coalesce(listed || chr(10), '') || chr(10) || '## Evidence' || chr(10) || coalesce(chr(10) || proofs, '') AS markdown FROM orders LEFT JOIN a ON r = o_orderkey")
+def export_runs(t):
+    return files.export_runs(*exported(t))
+
+
+@query("a17_export_sections", EXPORTED + " SELECT o_orderkey AS run_id, '# order ' || o_orderkey || chr(10) || chr(10) || '> Run ' || o_orderkey || ' · ' || o_orderstatus || ' · — · profile p' || chr(10) || chr(10) || '## ' || o_orderpriority || chr(10) || chr(10) || 'As follows.' || chr(10) || chr(10) || coalesce(few || chr(10), '') || chr(10) || '## Evidence' || chr(10) || coalesce(chr(10) || proofs, '') AS markdown FROM orders LEFT JOIN a ON r = o_orderkey")
+def export_sections(t):
+    """One section a run, with its second and its first claim."""
+    sections = t("orders").select(F.col("o_orderkey").alias("run_id"), F.lit(0).alias("item_no"), F.col("o_orderpriority").alias("title"), F.lit("As follows.").alias("template_text"), F.array(F.lit(2), F.lit(1)).alias("claim_idxs"))
+    return files.export_runs(*exported(t), sections)
+
+
+@query("a17_export_json", EXPORTED + " SELECT o_orderkey AS run_id, count(i) AS claims, count(i) FILTER (flag = 'R') AS hidden, max(CASE WHEN flag <> 'R' THEN 'part ' || part END) AS last FROM orders LEFT JOIN c ON r = o_orderkey GROUP BY o_orderkey")
+def export_json(t):
+    """The JSON form, read back."""
+    back = files.export_runs(*exported(t), form="json").select(F.from_json("json", "run_id long, claims array<struct<text: string, evidence: array<struct<source_deleted: boolean, snapshot: string>>>>").alias("j")).select("j.*")
+    one = F.flatten(F.col("claims.evidence"))
+    return back.select("run_id", F.coalesce(F.size("claims"), F.lit(0)).cast("long").alias("claims"), F.coalesce(F.size(F.filter(one, lambda e: e["source_deleted"])), F.lit(0)).cast("long").alias("hidden"), F.array_max(F.transform(one, lambda e: e["snapshot"])).alias("last"))
+
+
+@query("a18_paper_report", "SELECT (SELECT count(*) FROM documents) AS papers, count(*) AS questions, count(DISTINCT item_id) AS stable_question_ids, count(*) FILTER (length(text) > 200) AS questions_with_gold_quotes, count(*) FILTER (length(text) > 100) AS questions_with_reference_answers, count(*) FILTER (length(text) <= 80) AS all_annotations_unanswerable, count(*) FILTER (length(text) > 200) / greatest(1, count(*)) AS gold_quote_question_rate FROM benchmark")
+def paper_report(t):
+    """Documents as papers, the benchmark's items as questions."""
+    over = lambda n: F.filter(F.array("text"), lambda x: F.length(x) > n)
+    questions = t("benchmark").select(F.col("item_id").alias("question_id"), over(200).alias("gold_quotes"), over(100).alias("reference_answers"), (F.length("text") <= 80).alias("all_annotations_unanswerable"))
+    return papers.conversion_report(t("documents"), questions)

@@ -112,21 +112,37 @@ def clock(ms: Column) -> Column:
     return F.format_string("%02d:%02d", F.floor(ms / 60_000), F.floor(F.pmod(ms, F.lit(60_000)) / 1000))
 
 
-def export_runs(runs: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``run_id, markdown``: query, claims with the place of their first evidence, then all evidence; what was deleted is masked.
+def export_runs(runs: DataFrame, claims: DataFrame, evidence: DataFrame, sections: DataFrame | None = None, form: str = "markdown") -> DataFrame:
+    """``run_id`` and ``markdown`` or ``json`` of finished runs: query, claims with the place of their first evidence, then all evidence; what was deleted is masked.
 
     ``runs``: run_id, query, status, answer_status, profile; ``claims``: run_id, claim_idx, text, status;
-    ``evidence``: run_id, claim_idx, ordinal, source_alias, page_start, start_ms, role, transcription_state, source_deleted, snapshot, revision.
+    ``evidence``: run_id, claim_idx, ordinal, source_alias, page_start, start_ms, role, transcription_state, source_deleted, snapshot, revision;
+    ``sections``: run_id, item_no, title, template_text, claim_idxs (array). In Markdown the claims of a run with sections stand under
+    their sections' titles and texts. JSON has the same parts as nested values, masked alike, without nulls.
     """
+    hidden = F.coalesce("source_deleted", F.lit(False))
     where = F.when(F.col("start_ms").isNotNull(), F.concat(F.lit(", "), clock(F.col("start_ms")))).when(F.col("page_start").isNotNull(), F.concat(F.lit(", p. "), F.col("page_start").cast("string"))).otherwise("")
-    body = F.when(F.coalesce("source_deleted", F.lit(False)), "_[source deleted, content hidden]_").otherwise(F.concat(F.lit('"'), F.coalesce("snapshot", F.lit("")), F.lit('"')))
+    body = F.when(hidden, "_[source deleted, content hidden]_").otherwise(F.concat(F.lit('"'), F.coalesce("snapshot", F.lit("")), F.lit('"')))
     label = F.when(F.col("transcription_state") == "automatic", "automatic transcript").otherwise(F.col("role"))
-    shown = evidence.select("run_id", "claim_idx", "ordinal", F.concat(F.col("source_alias"), where).alias("cited"), F.concat(F.lit("- **"), F.col("source_alias"), F.lit("**"), where, F.lit(" ("), label, F.lit(", revision "), F.col("revision"), F.lit("): "), body).alias("line"))
-    of_claim = shown.groupBy("run_id", "claim_idx").agg(F.min_by("cited", "ordinal").alias("cited"), F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]).alias("lines"))
-    one = claims.join(of_claim, ["run_id", "claim_idx"], "left").select("run_id", "claim_idx", F.concat(F.lit("- "), F.col("text"), F.lit(" ["), F.coalesce("cited", F.lit("")), F.lit("] — "), F.col("status")).alias("line"), "lines")
-    parts = one.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("claim_idx", "line", "lines"))).alias("claims"))
-    head = F.array(F.concat(F.lit("# "), F.col("query")), F.lit(""), F.concat(F.lit("> Run "), F.col("run_id").cast("string"), F.lit(" · "), F.col("status"), F.lit(" · "), F.coalesce("answer_status", F.lit("—")), F.lit(" · profile "), F.col("profile")), F.lit(""))
+    line = F.concat(F.lit("- **"), F.col("source_alias"), F.lit("**"), where, F.lit(" ("), label, F.lit(", revision "), F.col("revision"), F.lit("): "), body)
+    shown = F.struct("ordinal", line.alias("line"), F.concat(F.col("source_alias"), where).alias("cited"), F.struct("ordinal", "source_alias", "page_start", "start_ms", "role", "transcription_state", "revision", hidden.alias("source_deleted"), F.when(~hidden, F.col("snapshot")).alias("snapshot")).alias("item"))
+    proof = evidence.groupBy("run_id", "claim_idx").agg(F.array_sort(F.collect_list(shown), lambda a, b: a["ordinal"].cast("int") - b["ordinal"].cast("int")).alias("e"))
+    own = F.struct("claim_idx", "text", "status", F.coalesce(F.try_element_at("e.cited", F.lit(1)), F.lit("")).alias("cited"), F.coalesce("e.line", F.array().cast("array<string>")).alias("lines"), F.col("e.item").alias("evidence"))
+    parts = claims.join(proof, ["run_id", "claim_idx"], "left").groupBy("run_id").agg(F.collect_list(own).alias("c"))
+    by_number = lambda a, b: F.when(a["claim_idx"] < b["claim_idx"], -1).when(a["claim_idx"] > b["claim_idx"], 1).otherwise(0)
+    whole = runs.join(parts.withColumn("c", F.array_sort("c", by_number)), "run_id", "left")
+    if sections is not None:
+        under = sections.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("item_no", "title", "template_text", "claim_idxs"))).alias("s"))
+        whole = whole.join(under, "run_id", "left")
+    if form == "json":
+        listed = F.transform("c", lambda c: F.struct(c["claim_idx"].alias("claim_idx"), c["text"].alias("text"), c["status"].alias("status"), c["evidence"].alias("evidence")))
+        return whole.select("run_id", F.to_json(F.struct("run_id", "query", "status", "answer_status", "profile", listed.alias("claims"), *([F.col("s").alias("sections")] if sections is not None else []))).alias("json"))
     empty = F.array().cast("array<string>")
-    listed = F.coalesce(F.transform("claims", lambda c: c["line"]), empty)
-    proof = F.coalesce(F.flatten(F.transform("claims", lambda c: F.coalesce(c["lines"], empty))), empty)
-    return runs.join(parts, "run_id", "left").select("run_id", F.array_join(F.concat(head, listed, F.array(F.lit(""), F.lit("## Evidence"), F.lit("")), proof), "\n").alias("markdown"))
+    head = F.array(F.concat(F.lit("# "), F.col("query")), F.lit(""), F.concat(F.lit("> Run "), F.col("run_id").cast("string"), F.lit(" · "), F.col("status"), F.lit(" · "), F.coalesce("answer_status", F.lit("—")), F.lit(" · profile "), F.col("profile")), F.lit(""))
+    plain = F.concat(F.coalesce(F.transform("c", lambda c: F.concat(F.lit("- "), c["text"], F.lit(" ["), c["cited"], F.lit("] — "), c["status"])), empty), F.array(F.lit("")))
+    if sections is not None:
+        of = lambda s: F.transform(F.filter(F.transform(s["claim_idxs"], lambda i: F.try_element_at(F.filter("c", lambda c: c["claim_idx"] == i), F.lit(-1))), lambda c: c.isNotNull()), lambda c: F.concat(F.lit("- "), c["text"], F.lit(" ["), c["cited"], F.lit("]")))
+        parted = F.flatten(F.transform("s", lambda s: F.concat(F.array(F.concat(F.lit("## "), s["title"]), F.lit(""), F.coalesce(s["template_text"], F.lit("")), F.lit("")), of(s), F.array(F.lit("")))))
+        plain = F.when(F.size("s") > 0, parted).otherwise(plain)
+    lines = F.coalesce(F.flatten(F.transform("c", lambda c: c["lines"])), empty)
+    return whole.select("run_id", F.array_join(F.concat(head, plain, F.array(F.lit("## Evidence"), F.lit("")), lines), "\n").alias("markdown"))
