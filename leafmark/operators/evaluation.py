@@ -42,8 +42,12 @@ def citation_prf(predicted: DataFrame, supported: DataFrame, key: str = "query_i
 
 def paragraph_evidence_f1(predicted: Column, reference: Column) -> Column:
     """Overlap of two lists as sets, divided by the lists' lengths; 1 if both are empty."""
-    both = F.size(F.array_intersect(predicted, reference))
-    return F.when((F.size(predicted) == 0) & (F.size(reference) == 0), 1.0).when(both == 0, 0.0).otherwise(2.0 * (both / F.size(predicted)) * (both / F.size(reference)) / (both / F.size(predicted) + both / F.size(reference)))
+    return f1_of_counts(F.size(F.array_intersect(predicted, reference)), F.size(predicted), F.size(reference))
+
+
+def f1_of_counts(both: Column, predicted: Column, reference: Column) -> Column:
+    """The same from the numbers of shared, predicted and reference items: nothing of a large reference has to be gathered."""
+    return F.when((predicted == 0) & (reference == 0), 1.0).when(both == 0, 0.0).otherwise(2.0 * (both / predicted) * (both / reference) / (both / predicted + both / reference))
 
 
 def answer_scores(pairs: DataFrame, key: list[str], prediction: str, reference: str) -> DataFrame:

@@ -60,10 +60,13 @@ def answer_em_f1(t):
 @query("g05_paragraph_evidence_f1", f"""WITH {RUNS}, p AS (SELECT query_id, list(vec_id) AS p FROM run GROUP BY ALL), s AS (SELECT q.vec_id AS query_id, list(v.vec_id) AS r FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 100 = 0 GROUP BY ALL),
 n AS (SELECT query_id, length(list_intersect(p, r)) AS k, length(p) AS a, length(r) AS b FROM p JOIN s USING (query_id)) SELECT query_id, round(CASE WHEN k = 0 THEN 0 ELSE 2.0 * (k / a) * (k / b) / (k / a + k / b) END, 6) AS f1 FROM n""")
 def paragraph_evidence_f1(t):
-    p = runs(t).groupBy("query_id").agg(F.collect_list("item").alias("p"))
-    q = hundredth(t).select(F.col("vec_id").alias("query_id"), "label")
-    r = t("embeddings").select(F.col("vec_id").alias("item"), "label").join(q, "label").groupBy("query_id").agg(F.collect_list("item").alias("r"))
-    return p.join(r, "query_id").select("query_id", F.round(E.paragraph_evidence_f1(F.col("p"), F.col("r")), 6).alias("f1"))
+    """All vectors of a question's label are its gold: counted once a label; only what was retrieved is looked up."""
+    v = t("embeddings")
+    gold = v.groupBy("label").agg(F.count("*").alias("b"))
+    q = hundredth(t).select(F.col("vec_id").alias("query_id"), F.col("label").alias("of")).join(gold.withColumnRenamed("label", "of"), "of")
+    met = runs(t).select("query_id", "item").join(v.select(F.col("vec_id").alias("item"), "label"), "item").join(q, "query_id")
+    counts = met.groupBy("query_id", "b").agg(F.count_if(F.col("label") == F.col("of")).alias("k"), F.count("*").alias("a"))
+    return counts.select("query_id", F.round(E.f1_of_counts(F.col("k"), F.col("a"), F.col("b")), 6).alias("f1"))
 
 
 #: A document's confidence from a feature of its text, and whether its label says that it is good.

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SUPPRESS_SECONDS = 60
@@ -26,14 +26,23 @@ def kept_events(times: list[float], last: float | None, seconds: int = SUPPRESS_
 
 
 def suppress_batch(events: DataFrame, keys: list[str], ts: str, ident: str, seconds: int = SUPPRESS_SECONDS) -> DataFrame:
-    """Stored events of a table: the fold restarts at each stored event of its key."""
+    """Stored events of a table: the fold restarts at each stored event of its key.
+
+    An event ``seconds`` or more after the one before is stored whatever came earlier, so a key is cut there and each run is folded by itself;
+    only a key without any such gap is one run.
+    """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["second", ident])
-        return pdf[kept_events(pdf["second"].tolist(), None, seconds)[0]]
+        return pdf[kept_events(pdf["second"].tolist(), None, seconds)[0]].drop(columns="__run")
 
     rows = events.select(*keys, ident, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("second"))
-    return rows.groupBy(*keys).applyInPandas(fold, rows.schema)
+    order = Window.partitionBy(*keys).orderBy("second", ident)
+    gap = F.coalesce(F.col("second") - F.lag("second").over(order) >= seconds, F.lit(True))
+    runs = rows.withColumn("__gap", gap.cast("int")).withColumn("__run", F.sum("__gap").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap")
+    alone = F.count("*").over(Window.partitionBy(*keys, "__run")) == 1
+    sized = runs.withColumn("__alone", alone)
+    return sized.where("__alone").drop("__alone", "__run").unionByName(sized.where(~F.col("__alone")).drop("__alone").groupBy(*keys, "__run").applyInPandas(fold, rows.schema))
 
 
 def suppress_stream(events: DataFrame, keys: list[str], ts: str, ident: str, seconds: int = SUPPRESS_SECONDS) -> DataFrame:
