@@ -36,40 +36,45 @@ def _phrase(words: list[str]) -> int:
     return len(words) if words[0] != HALF else 0
 
 
+# One letter a word, so that a phrase is read by a pattern: digit, ten, tens, hundred, scale, filler, half, point.
+_KIND = dict.fromkeys(UNITS, "d") | dict.fromkeys(SCALES, "s") | dict.fromkeys(FILLERS, "f") | {TEN: "t", TENS: "T", HUNDRED: "h", HALF: "r", POINT: "p"}
+_WEIGHT = {"h": 100, "T": 10, "": 1}
+_GROUP = re.compile(r"(?P<below>[^s]*)(?P<scale>s?)(?P<half>r?)")
+_PLACE = re.compile(r"(?P<said>[dft]*)(?P<place>[hT]?)(?P<half>r?)")
+
+
 def _whole(words: list[str]) -> int | None:
-    """The value of a phrase without decimals."""
-    done, group, unit, any_unit, scale = 0, 0, 0, False, None
-    for word in words:
-        if word in UNITS:
-            unit, any_unit = UNITS[word], True
-        elif word == TEN:
-            group += 10
-        elif word == TENS:
-            group, unit = group + 10 * (unit or 1), 0
-        elif word == HUNDRED:
-            group, unit, scale = group + 100 * (unit if any_unit else 1), 0, 100
-        elif word in SCALES:
-            done, group, unit, scale = done + SCALES[word] * (group + unit or 1), 0, 0, SCALES[word]
-        elif word == HALF:
-            if scale is None or unit:
-                return None
-            done, group = (done, group + 50) if scale == 100 else (done + scale // 2, group)
-        elif word not in FILLERS:
-            return None
-    return done + group + unit
+    """The value of a phrase without decimals: groups parted by scales, in each the hundreds, tens and ones; None where it begins with a half.
+
+    A place takes the last digit said since the place before. Without one a ten or a scale stands for itself, a hundred only where no digit came earlier.
+    """
+    kinds = "".join(_KIND[w] for w in words)
+
+    def counted(at: re.Match) -> int:
+        digit = next((UNITS[w] for w in reversed(words[slice(*at.span("said"))]) if w in UNITS), None)
+        alone = {"h": "d" not in kinds[:at.start()], "T": 1, "": 0}[at["place"]]
+        times = alone if digit is None or (at["place"] == "T" and not digit) else digit
+        return _WEIGHT[at["place"]] * times + 10 * at["said"].count("t") + 50 * len(at["half"])
+
+    def grouped(at: re.Match) -> int:
+        below = sum(counted(place) for place in _PLACE.finditer(kinds, *at.span("below")))
+        if not at["scale"]:
+            return below
+        scale = SCALES[words[at.start("scale")]]
+        return (below or 1) * scale + (scale // 2) * len(at["half"])
+
+    return None if kinds.startswith("r") else sum(map(grouped, _GROUP.finditer(kinds)))
 
 
 def _value(words: list[str]) -> str | None:
     """A phrase in digits; None for a lone unit word and for what is no number."""
-    if len(words) < 2 and words[0] not in LARGE:
+    if len(words) == 1 and words[0] not in LARGE:
         return None
-    if POINT in words:
-        at = words.index(POINT)
-        whole = _whole(words[:at]) if at else 0
-        digits = words[at + 1:]
-        return f"{whole}.{''.join(str(UNITS[w]) for w in digits)}" if whole is not None and digits and all(w in UNITS for w in digits) else None
-    value = _whole(words)
-    return None if value is None else str(value)
+    head, point, digits = "".join(_KIND[w] for w in words).partition("p")
+    value = _whole(words[:len(head)])
+    if value is None or not point:
+        return None if value is None else str(value)
+    return f"{value}.{''.join(str(UNITS[w]) for w in words[len(head) + 1:])}" if digits and set(digits) == {"d"} else None
 
 
 def _in_digits(run: re.Match) -> str:

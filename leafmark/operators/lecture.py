@@ -136,32 +136,31 @@ def select_changed_frames(frames: DataFrame, threshold: float, most: int, pixel_
     """``(selected, stopped)``: frames that differ from the last selected one in a share of ``threshold`` of their signature or more.
 
     ``frames``: video_id, ts_ms, signature array<double>, duration_ms. A selected frame is visible until the next one, the last until the
-    end or, where ``most`` were taken, until the first one left unread, which ``stopped`` names. A video's signatures are compared by a fold over its frames.
+    end or, where ``most`` were taken, until the first one left unread, which ``stopped`` names. The signatures of a video form a matrix,
+    in which each selected frame is compared with stretches of those after it until one differs enough; the rest is windows.
     """
     kind = frames.schema["video_id"].dataType.simpleString()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def changed(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        out, last, stop = [], None, None
-        for video, ts, sig, end in pdf.sort_values("ts_ms")[["video_id", "ts_ms", "signature", "duration_ms"]].itertuples(index=False):
-            sig = np.asarray(sig, float)
-            change = 1.0 if last is None else float((np.abs(sig - last) > pixel_delta).mean())
-            if last is not None and change < threshold:
-                continue
-            if len(out) >= most:
-                stop = ts
-                break
-            out.append([video, ts, end, change])
-            last = sig
-        for a, b in zip(out, out[1:]):
-            a[2] = b[1]
-        if stop is not None and out:
-            out[-1][2] = stop
-        return pd.DataFrame([(*r, stop) for r in out], columns=["video_id", "ts_ms", "visible_to_ms", "change", "unread_from_ms"]).astype({"unread_from_ms": "Int64"})
-
-    found = frames.groupBy("video_id").applyInPandas(fold, f"video_id {kind}, ts_ms long, visible_to_ms long, change double, unread_from_ms long")
-    return found.drop("unread_from_ms"), found.groupBy("video_id").agg(F.max("unread_from_ms").alias("unread_from_ms"))
+        pdf = pdf.sort_values("ts_ms", kind="stable")
+        seen = np.stack(pdf["signature"].to_numpy()).astype(float)
+        taken, change, start, stretch = [0], [1.0], 1, 16
+        while start < len(seen) and len(taken) <= most:
+            moved = (np.abs(seen[start:start + stretch] - seen[taken[-1]]) > pixel_delta).mean(axis=1)
+            far = np.flatnonzero(moved >= threshold)
+            if far.size:
+                taken.append(start + int(far[0]))
+                change.append(float(moved[far[0]]))
+            start, stretch = (taken[-1] + 1, 16) if far.size else (start + stretch, 2 * stretch)
+        return pdf[["video_id", "ts_ms", "duration_ms"]].iloc[taken].assign(change=change)
+
+    found = frames.groupBy("video_id").applyInPandas(changed, f"video_id {kind}, ts_ms long, duration_ms long, change double")
+    order = Window.partitionBy("video_id").orderBy("ts_ms")
+    ranked = found.select("video_id", "ts_ms", F.coalesce(F.lead("ts_ms").over(order), "duration_ms").alias("visible_to_ms"), "change", F.row_number().over(order).alias("place"))
+    unread = F.max(F.when(F.col("place") > most, F.col("ts_ms")))
+    return ranked.where(F.col("place") <= most).drop("place"), ranked.groupBy("video_id").agg(unread.alias("unread_from_ms"))
 
 
 def merge_repeat_frames(frames: DataFrame, least: float = SAME_BOARD) -> DataFrame:
