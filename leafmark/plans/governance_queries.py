@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import governance as G, merging as M, retrieval as R
 from ..registry import query
-from ..sources.files import Kept
+from ..sources.files import Kept, scratch
+from ..streaming import ingest as I
 from .retrieval_queries import DENSE, SPARSE, asked, bm25_list, bm25_sql, hundredth, leaves, sparse_list
 
 
@@ -128,6 +129,23 @@ def published_generations(t):
     return G.publish_generation(o.where("generation_id % 2 = 1").withColumn("state", F.lit("active")), built, vectors, live, 10**12).drop("profile")
 
 
+UPLOAD = "CASE WHEN bad THEN 'checksum_mismatch' WHEN regexp_matches(text, '[^\\s]') THEN 'active' ELSE 'empty' END"
+
+
+@query("i09_ingest_increment", f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, text IS NULL OR doc_id % 5 = 0 AS bad, text IS NULL AS never, lang = 'en' AS early FROM documents WHERE source IS DISTINCT FROM 'src1'),
+one AS (SELECT doc_id, {UPLOAD} AS state FROM d WHERE early) SELECT CAST(0 AS BIGINT) AS batch, doc_id, state FROM one
+UNION ALL SELECT 1, doc_id, {UPLOAD.replace("bad", "never")} FROM d WHERE doc_id NOT IN (SELECT doc_id FROM one WHERE state = 'active')""")
+def ingest_increment(t):
+    """English documents come first, some with a wrong checksum; then all come with the right one, twice over. A source is deleted."""
+    d = t("documents")
+    uploads = d.select("doc_id", "source", "text", F.sha2("text", 256).alias("sha256"))
+    broken = uploads.join(d.where("lang = 'en'").select("doc_id"), "doc_id", "left_semi").withColumn("sha256", F.when(F.col("doc_id") % 5 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    path, gone = scratch(d.sparkSession, "ingested"), lambda: d.where("source = 'src1'").select("doc_id")
+    for number, batch in ((0, broken), (1, uploads), (1, uploads)):
+        I.ingest_batch(batch, number, path, gone, F.length)
+    return I.published(d.sparkSession, path, "uploads", I.UPLOADS).select("batch", "doc_id", "state")
+
+
 @query("i11_translation_progress", "SELECT lang AS translation_id, count(*) AS total, count(*) FILTER (doc_id % 3 = 0) AS done, count(*) FILTER (doc_id % 6 = 0) AS flagged FROM documents GROUP BY lang")
 def translation_progress(t):
     d = t("documents").select(F.col("lang").alias("translation_id"), F.col("doc_id").alias("node_id"), "text")
