@@ -182,7 +182,7 @@ def merge_repeat_frames(frames: DataFrame, least: float = SAME_BOARD) -> DataFra
                 before = own
         return pd.DataFrame(kept, columns=["video_id", "ts_ms", "visible_to_ms", "text"])
 
-    rows = frames.select("video_id", "ts_ms", "visible_to_ms", T.normalize_ws("text").alias("text"), T.token_set("text").alias("words"))
+    rows = frames.withColumn("said", F.coalesce("text", F.lit(""))).select("video_id", "ts_ms", "visible_to_ms", T.normalize_ws("said").alias("text"), T.token_set("said").alias("words"))
     return rows.groupBy("video_id").applyInPandas(fold, f"video_id {kind}, ts_ms long, visible_to_ms long, text string")
 
 

@@ -442,15 +442,3 @@ def soft_clusters(vectors: DataFrame, dims: int = 10, counts: tuple[int, ...] =
             best = (bic, model)
     found = best[1].transform(small).select("node_id", "prediction", F.posexplode(vector_to_array("probability")).alias("cluster", "probability"))
     return found.where((F.col("probability") > least) | (F.col("cluster") == F.col("prediction"))).select("node_id", "cluster", F.round("probability", 6).alias("probability"))
-
-
-def collapsed_search(scores: DataFrame, nodes: DataFrame, k: int, budget: int = 3500, most: int = 10) -> DataFrame:
-    """``query_id, leaf_id, score``: of a tree's nodes by score the first that fit the budget together, ten at most, opened to their leaves; each leaf once, by its best node.
-
-    ``scores``: query_id, node_id, score; ``nodes``: node_id, tokens, members.
-    """
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "node_id")
-    top = scores.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max(4 * k, 20)).join(nodes, "node_id")
-    used = F.sum("tokens").over(Window.partitionBy("query_id").orderBy("__r"))
-    kept = top.withColumn("__used", used).where((F.col("__used") <= budget) & (F.col("__r") <= most))
-    return kept.select("query_id", F.explode("members").alias("leaf_id"), "score").groupBy("query_id", "leaf_id").agg(F.max("score").alias("score"))
