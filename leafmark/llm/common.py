@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 from functools import reduce
 
@@ -10,8 +11,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Folders written by :func:`stored` in this process and not yet removed.
-_WRITTEN: list[str] = []
+
+
+class _Written(threading.local):
+    """Folders written by :func:`stored` and not yet removed, in each thread by itself: a run removes none that another query beside it still reads."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_WRITTEN = _Written()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,20 +45,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written() -> list[str]:
     """The stored tables so far, for :func:`release`."""
-    return list(_WRITTEN)
+    return list(_WRITTEN.paths)
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Remove stored tables that nothing will read again."""
     for path in paths:
-        if path in _WRITTEN:
-            _WRITTEN.remove(path)
+        if path in _WRITTEN.paths:
+            _WRITTEN.paths.remove(path)
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
