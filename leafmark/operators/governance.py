@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 RETRY_CAP, RETRY_BASE = 300, 5
 
@@ -179,17 +179,58 @@ def media_quota(assets: DataFrame, sessions: DataFrame, now: Column, quota: int)
     return both.groupBy("workspace_id").agg(F.sum("bytes").alias("used")).withColumn("over", F.col("used") > quota)
 
 
+# The named limits, hits within a window of so many seconds.
+RATE_RULES = {
+    "auth_session": (20, 60),
+    "qa": (20, 60),
+    "qa_daily": (300, 86_400),
+    "synthesis": (5, 60),
+    "synthesis_daily": (50, 86_400),
+    "upload": (60, 3600),
+    "media_session": (30, 3600),
+    "media_url": (600, 60),
+    "transcript_edit": (60, 3600),
+    "workspace_create": (30, 3600),
+    "source_delete": (120, 3600),
+    "settings_write": (60, 3600),
+    "export": (60, 3600),
+    "translate": (20, 3600),
+}
+
+
+def rule_table(spark: SparkSession, rules: dict[str, tuple[int, int]] = RATE_RULES) -> DataFrame:
+    """``rule, window_seconds, rule_limit`` of named limits: one row a rule."""
+    return spark.createDataFrame([(name, window, most) for name, (most, window) in rules.items()], "rule string, window_seconds int, rule_limit int")
+
+
+def micros_left(us: Column, window: Column) -> Column:
+    """Microseconds until the window that ``us`` lies in ends, from 1 to the whole window."""
+    return window.cast("long") * 1_000_000 - F.pmod(us, window.cast("long") * 1_000_000)
+
+
+def rate_verdict(counted: DataFrame, scale: float = 1.0) -> DataFrame:
+    """``event_id, rule, effective, passes, retry_seconds`` from counts of the current window and the one before; works on a stream too.
+
+    ``counted``: event_id, rule, us, window_seconds, rule_limit, here, before. A scaled limit is a whole number, 1 at least. Who is over the limit may
+    come back when the current window ends: whole seconds, 1 at least.
+    """
+    share = micros_left(F.col("us"), F.col("window_seconds")) / (F.col("window_seconds") * 1e6)
+    effective = F.round(F.col("here") + F.col("before") * share, 6)
+    passes = F.col("effective") <= F.greatest(F.lit(1), F.floor(F.col("rule_limit") * F.lit(scale)))
+    wait = F.greatest(F.lit(1), F.floor(micros_left(F.col("us"), F.col("window_seconds")) / 1_000_000)).cast("long")
+    return counted.withColumn("effective", effective).withColumn("passes", passes).select("event_id", "rule", "effective", "passes", F.when(~F.col("passes"), wait).alias("retry_seconds"))
+
+
 def rate_rules(events: DataFrame, rules: DataFrame, ts: str = "ts", scale: float = 1.0) -> DataFrame:
     """``event_id, rule, effective, passes, retry_seconds`` of events under several rules at once.
 
     ``events``: event_id, rule, subject, ts; ``rules`` (some rows): rule, window_seconds, rule_limit. The window before counts by the share of it that a
-    sliding window would still see; who is over the limit may come back when the current window ends.
+    sliding window would still see. The stream form is ``streaming.events.rate_stream``.
     """
-    j = events.select("event_id", "rule", "subject", F.unix_micros(F.col(ts).cast("timestamp")).alias("__us")).join(F.broadcast(rules.select("rule", "window_seconds", "rule_limit")), "rule")
-    j = j.withColumn("__bucket", F.floor(F.col("__us") / (F.col("window_seconds") * 1e6))).withColumn("__elapsed", F.col("__us") / (F.col("window_seconds") * 1e6) - F.col("__bucket"))
-    before = j.groupBy("rule", "subject", "__bucket").agg(F.count("*").alias("__before")).withColumn("__bucket", F.col("__bucket") + 1)
-    here = F.row_number().over(Window.partitionBy("rule", "subject", "__bucket").orderBy("__us", "event_id"))
-    k = j.withColumn("__here", here).join(before, ["rule", "subject", "__bucket"], "left")
-    effective = F.round(F.col("__here") + F.coalesce("__before", F.lit(0)) * (1 - F.col("__elapsed")), 6)
-    k = k.withColumn("effective", effective).withColumn("passes", F.col("effective") <= F.col("rule_limit") * scale)
-    return k.select("event_id", "rule", "effective", "passes", F.when(~F.col("passes"), F.ceil(F.col("window_seconds") * (1 - F.col("__elapsed")))).alias("retry_seconds"))
+    j = events.select("event_id", "rule", "subject", F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).join(F.broadcast(rules.select("rule", "window_seconds", "rule_limit")), "rule")
+    width = F.col("window_seconds").cast("long") * 1_000_000
+    j = j.withColumn("bucket", F.round((F.col("us") - F.pmod(F.col("us"), width)) / width).cast("long"))
+    before = j.groupBy("rule", "subject", "bucket").agg(F.count("*").alias("before")).withColumn("bucket", F.col("bucket") + 1)
+    here = F.row_number().over(Window.partitionBy("rule", "subject", "bucket").orderBy("us", "event_id"))
+    counted = j.withColumn("here", here).join(before, ["rule", "subject", "bucket"], "left").withColumn("before", F.coalesce("before", F.lit(0)))
+    return rate_verdict(counted, scale)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import governance as G, merging as M, retrieval as R
 from ..registry import query
 from ..sources.files import Kept, scratch
-from ..streaming import ingest as I
+from ..streaming import events as E, ingest as I
 from .retrieval_queries import DENSE, SPARSE, asked, bm25_list, bm25_sql, hundredth, leaves, sparse_list
 
 
@@ -79,11 +79,40 @@ def run_summaries(t):
     return G.run_summaries(runs, claims)
 
 
-@query("i01_rate_rules", "WITH r AS (SELECT * FROM (VALUES ('click', 60, 2), ('view', 3600, 5)) x(rule, w, lim)), e AS (SELECT event_id, event_type AS rule, user_id, w, lim, epoch_us(ts) / (w * 1e6) AS x FROM events JOIN r ON rule = event_type), b AS (SELECT *, floor(x) AS bucket FROM e), h AS (SELECT *, row_number() OVER (PARTITION BY rule, user_id, bucket ORDER BY x, event_id) AS here FROM b), c AS (SELECT rule, user_id, bucket + 1 AS bucket, count(*) AS n FROM b GROUP BY ALL), f AS (SELECT h.*, round(here + coalesce(n, 0) * (1 - (x - bucket)), 6) AS effective FROM h LEFT JOIN c USING (rule, user_id, bucket)) SELECT event_id, rule, effective, effective <= lim AS passes, CASE WHEN effective > lim THEN CAST(ceil(w * (1 - (x - bucket))) AS BIGINT) END AS retry_seconds FROM f")
+def rate_sql(rules: dict[str, tuple[int, int]], rule: str) -> str:
+    """Hits of a rule's window and of the one before, in whole microseconds."""
+    values = ", ".join(f"('{name}', {window}, {most})" for name, (most, window) in rules.items())
+    return f"""WITH r AS (SELECT rule, w::BIGINT AS w, lim FROM (VALUES {values}) x(rule, w, lim)), e AS (SELECT event_id, {rule} AS rule, user_id, epoch_us(ts) AS us FROM events), j AS (SELECT e.*, w, lim, us // (w * 1000000) AS bucket FROM e JOIN r USING (rule)), h AS (SELECT *, row_number() OVER (PARTITION BY rule, user_id, bucket ORDER BY us, event_id) AS here, w * 1000000 - us % (w * 1000000) AS rest FROM j),
+c AS (SELECT rule, user_id, bucket + 1 AS bucket, count(*) AS n FROM j GROUP BY ALL), f AS (SELECT h.*, round(here + coalesce(n, 0) * (rest / (w * 1e6)), 6) AS effective FROM h LEFT JOIN c USING (rule, user_id, bucket))
+SELECT event_id, rule, effective, effective <= lim AS passes, CASE WHEN effective > lim THEN CAST(greatest(1, rest // 1000000) AS BIGINT) END AS retry_seconds FROM f"""
+
+
+FEW_RULES = {"click": (2, 60), "view": (5, 3600)}
+#: Events as hits of all named rules, users in ten groups as subjects, and the clock ten thousand times as slow, so that windows fill.
+NAMED = "list_extract([" + ", ".join(f"'{r}'" for r in G.RATE_RULES) + f"], CAST(event_id % {len(G.RATE_RULES)} AS INTEGER) + 1)"
+NAMED_SQL = rate_sql(G.RATE_RULES, NAMED).replace("user_id, epoch_us(ts) AS us", "user_id % 10 AS user_id, epoch_us(ts) // 10000 AS us")
+
+
+def named_hits(e):
+    rule = F.element_at(F.array(*map(F.lit, G.RATE_RULES)), (F.col("event_id") % len(G.RATE_RULES) + 1).cast("int"))
+    return e.select("event_id", rule.alias("rule"), (F.col("user_id") % 10).alias("subject"), F.timestamp_micros(F.expr("unix_micros(cast(ts as timestamp)) div 10000")).alias("ts"))
+
+
+@query("i01_rate_rules", rate_sql(FEW_RULES, "event_type"))
 def rate_rules(t):
     e = t("events")
-    rules = e.sparkSession.createDataFrame([("click", 60, 2), ("view", 3600, 5)], "rule string, window_seconds int, rule_limit int")
-    return G.rate_rules(e.select("event_id", F.col("event_type").alias("rule"), F.col("user_id").alias("subject"), "ts"), rules)
+    return G.rate_rules(e.select("event_id", F.col("event_type").alias("rule"), F.col("user_id").alias("subject"), "ts"), G.rule_table(e.sparkSession, FEW_RULES))
+
+
+@query("i01_named_rules", NAMED_SQL)
+def named_rules(t):
+    e = t("events")
+    return G.rate_rules(named_hits(e), G.rule_table(e.sparkSession))
+
+
+@query("i05_sequence_runs", "WITH g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events), r AS (SELECT *, count(*) FILTER (gap IS NULL OR gap > 86400000000) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS seq FROM r")
+def sequence_runs(t):
+    return E.sequence_batch(t("events"), "user_id", "event_id").select("event_id", "user_id", "seq")
 
 
 @query("i04_retention_tables", "SELECT 'events' AS \"table\", count(*) FILTER (value < 20) AS due FROM events UNION ALL SELECT 'orders', count(*) FILTER (o_orderstatus = 'F') FROM orders UNION ALL SELECT 'lineitem', count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') FROM lineitem")
