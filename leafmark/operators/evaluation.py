@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..sources.files import Kept
 
 
 def retrieval_metrics(runs: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
@@ -56,35 +57,58 @@ def answer_scores(pairs: DataFrame, key: list[str], prediction: str, reference:
     return pairs.groupBy(*key).agg(F.max((p == r).cast("double")).alias("em"), F.max(T.token_f1(T.spaced_tokens(p), T.spaced_tokens(r))).alias("f1"))
 
 
-def _ranked(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    """Adds ``i`` from 1 and ``n`` within the group."""
-    w = Window.partitionBy(*group)
-    return df.withColumn("i", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count("*").over(w))
+def running_sums(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds for each name the running sum within the group, the own row included, and ``<name>_all``, the group's total.
+
+    Rows are dealt by ranges of group and order and written down, so a group of any size lies over many tasks: each range sums
+    by itself and starts from what the ranges before it hold. ``order`` should leave no ties. Null groups are groups.
+    """
+    spark, names = df.sparkSession, list(sums)
+    rows = df.select("*", *[c.alias(f"__own_{n}") for n, c in sums.items()])
+    spread = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *group, *order).withColumn("__range", F.spark_partition_id())
+    kept = Kept().keep(spread, "ranges")
+    per = kept.groupBy(*group, "__range").agg(*[F.sum(f"__own_{n}").alias(n) for n in names])
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select(*[F.col(g).alias(f"__of_{g}") for g in group], F.col("__range").alias("__at"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__start_{n}") for n in names], *[F.sum(n).over(whole).alias(f"{n}_all") for n in names])
+    here = Window.partitionBy(*group, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = kept.select("*", *[F.sum(f"__own_{n}").over(here).alias(f"__here_{n}") for n in names])
+    same = F.col("__range") == F.col("__at")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
+    return own.join(starts, same).select(*df.columns, *[(F.col(f"__start_{n}") + F.col(f"__here_{n}")).alias(n) for n in names], *[f"{n}_all" for n in names])
+
+
+def _curve(df: DataFrame, group: list[str], correct: str, order: list[Column]) -> DataFrame:
+    """The rows with ``i`` from 1, ``i_all`` and ``risk`` = 1 - running mean of ``correct``."""
+    hits = {"i": F.lit(1), "__hits": F.coalesce(F.col(correct), F.lit(0)), "__known": F.col(correct).isNotNull().cast("int")}
+    return running_sums(df, group, order, hits).withColumn("risk", 1 - F.try_divide(F.col("__hits"), F.col("__known")))
 
 
 def risk_coverage(df: DataFrame, group: list[str], correct: str, confidence: str, tie: str) -> DataFrame:
     """Points of the risk-coverage curve: rows by falling confidence, risk = 1 - running mean of ``correct``."""
-    order = [F.col(confidence).desc(), F.col(tie)]
-    r = _ranked(df, group, order)
-    running = F.avg(correct).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return r.select(*group, "i", (F.col("i") / F.col("n")).alias("coverage"), (1 - running).alias("risk"))
+    rows = df.select(*dict.fromkeys([*group, correct, confidence, tie]))
+    return _curve(rows, group, correct, [F.col(confidence).desc(), F.col(tie)]).select(*group, "i", (F.col("i") / F.col("i_all")).alias("coverage"), "risk")
 
 
 def selective(df: DataFrame, group: list[str], correct: str, confidence: str, tie: str, target: float = 0.5) -> DataFrame:
     """Area under the risk-coverage curve, its excess over the best order, and accuracy at the target coverage."""
-    own = risk_coverage(df, group, correct, confidence, tie).groupBy(*group).agg(F.avg("risk").alias("aurc"))
-    best = risk_coverage(df, group, correct, correct, tie).groupBy(*group).agg(F.avg("risk").alias("best"))
-    r = _ranked(df, group, [F.col(confidence).desc(), F.col(tie)])
-    kept = r.where(F.col("i") <= F.greatest(F.lit(1), F.bround(F.lit(min(1.0, max(0.01, target))) * F.col("n")))).groupBy(*group).agg(F.avg(correct).alias("selective_accuracy"))
-    return own.join(best, group).join(kept, group).select(*group, "aurc", (F.col("aurc") - F.col("best")).alias("e_aurc"), "selective_accuracy")
+    rows = df.select(*dict.fromkeys([*group, correct, confidence, tie]))
+    taken = F.col("i") <= F.greatest(F.lit(1), F.bround(F.lit(min(1.0, max(0.01, target))) * F.col("i_all")))
+    own = _curve(rows, group, correct, [F.col(confidence).desc(), F.col(tie)]).groupBy(*group).agg(F.avg("risk").alias("aurc"), F.avg(F.when(taken, F.col(correct))).alias("selective_accuracy"))
+    best = _curve(rows.drop(confidence) if confidence not in (correct, tie, *group) else rows, group, correct, [F.col(correct).desc(), F.col(tie)]).groupBy(*group).agg(F.avg("risk").alias("best"))
+    return own.join(best, group).select(*group, "aurc", (F.col("aurc") - F.col("best")).alias("e_aurc"), "selective_accuracy")
 
 
 def latency_stats(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Mean, upper median, 95th percentile by nearest rank, and maximum."""
-    r = _ranked(df, group, [F.col(value)])
+    """Mean, upper median, 95th percentile by nearest rank, and maximum. Null values rank first and count as rows."""
+    counts = df.groupBy(*group, value).agg(F.count("*").alias("__m"))
+    r = running_sums(counts, group, [F.col(value)], {"__upto": F.col("__m")})
+    at = lambda k: F.max(F.when((F.col("__upto") >= k) & (F.col("__upto") - F.col("__m") < k), F.col(value)))
+    n = F.col("__upto_all")
     return r.groupBy(*group).agg(
-        F.avg(value).alias("mean_ms"), F.max(F.when(F.col("i") == F.floor(F.col("n") / 2) + 1, F.col(value))).alias("p50_ms"),
-        F.max(F.when(F.col("i") == F.greatest(F.lit(1), F.ceil(0.95 * F.col("n"))), F.col(value))).alias("p95_ms"), F.max(value).alias("max_ms"),
+        (F.sum(F.col(value) * F.col("__m")) / F.sum(F.when(F.col(value).isNotNull(), F.col("__m")))).alias("mean_ms"), at(F.floor(n / 2) + 1).alias("p50_ms"),
+        at(F.greatest(F.lit(1), F.ceil(0.95 * n))).alias("p95_ms"), F.max(value).alias("max_ms"),
     )
 
 
@@ -108,8 +132,8 @@ def calibration(df: DataFrame, group: list[str], p: str, y: str, bins: int = 10)
     scores = per.groupBy(*group).agg((F.sum("sq") / F.first("n")).alias("brier"), F.sum(F.col("m") / F.col("n") * F.abs(F.col("acc") - F.col("conf"))).alias("ece"))
     # average ranks from counts by value: rows with one value never meet in one place
     values = df.groupBy(*group, p).agg(F.count("*").alias("m"), F.sum(F.col(y).cast("long")).alias("pos"))
-    below = F.sum("m").over(Window.partitionBy(*group).orderBy(p)) - F.col("m")
-    ranks = values.withColumn("rank", below + (F.col("m") + 1) / 2).groupBy(*group).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("n1"), (F.sum("m") - F.sum("pos")).alias("n0"))
+    upto = running_sums(values, group, [F.col(p)], {"__upto": F.col("m")})
+    ranks = upto.withColumn("rank", F.col("__upto") - F.col("m") + (F.col("m") + 1) / 2).groupBy(*group).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("n1"), (F.sum("m") - F.sum("pos")).alias("n0"))
     auc = ranks.select(*group, F.try_divide(F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0")).alias("auc"))
     return scores.join(auc, group)
 
