@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -63,6 +65,64 @@ def replay(trace: DataFrame, policies: DataFrame) -> DataFrame:
     return j.select("policy", "claim_id", "cited", (F.col("cited").isNotNull() & F.col("was").isNotNull() & (F.col("cited") != F.col("was"))).alias("drift"), (F.col("cited").isNotNull() & F.col("was").isNull()).alias("rescued"))
 
 
+@dataclass(frozen=True)
+class Policy:
+    """How stored scores are decided again. ``outside``: the least score of a leaf that was not retrieved; infinite: none of them; absent: ``support`` and ``sibling``."""
+
+    name: str
+    guard: str = "fixed"
+    support: float = 0.5
+    contradiction: float = 0.5
+    coverage: float = 0.0
+    outside: float | None = None
+    sibling: float = 0.1
+    margin: float = 0.05
+    most: int = 0
+
+
+#: Claims that no policy can save.
+LOST = ("invalid_or_missing_context_citation", "below_claim_confidence_threshold")
+
+
+def replay_runs(candidates: DataFrame, claims: DataFrame, runs: DataFrame, retrieved: DataFrame, gold: DataFrame, policies: list[Policy]) -> DataFrame:
+    """``policy, run_id, claims, cited, drift, rescued``: accepted claims and cited leaves of whole runs under each policy, none scored again.
+
+    ``candidates``: run_id, claim_id, child_id, ordinal, support, contradiction, coverage, blocked (by contradiction or wording), retrieved; ``claims``: run_id,
+    claim_id, status; ``runs``: run_id, retrieval_free; ``retrieved``, ``gold``: run_id, child_id. Under the legacy guard a conflict of wording costs
+    a leaf its score; under the fixed one only what coverage would have added. Runs without retrieval ask no more of any leaf. Cited leaves that were
+    not retrieved are rescued if they are gold, else drift. Every run has a row for each policy.
+    """
+    fields = ("name", "guard", "support", "contradiction", "coverage", "outside", "sibling", "margin", "most")
+    kinds = {"name": "string", "guard": "string", "most": "int"}
+    listed = F.array(*[F.struct(*[F.lit(getattr(p, f)).cast(kinds.get(f, "double")).alias(f) for f in fields]) for p in policies])
+    has = retrieved.select("run_id").distinct().withColumn("__some", F.lit(True))
+    free = runs.join(has, "run_id", "left").select("run_id", (F.col("retrieval_free") | F.col("__some").isNull()).alias("free"))
+    met = candidates.join(claims.where(~F.col("status").isin(*LOST)).select("run_id", "claim_id"), ["run_id", "claim_id"], "left_semi").join(free, "run_id").withColumn("p", F.explode(listed))
+    p, support, coverage = F.col("p"), F.col("support"), F.col("coverage")
+    against = F.col("contradiction") >= p["contradiction"]
+    wording = F.col("blocked") & ~against
+    lifts = (support < p["support"]) & (p["coverage"] > 0) & (coverage >= p["coverage"])
+    legacy = F.when(against | wording, 0.0).when(lifts, F.greatest(support, coverage)).otherwise(support)
+    fixed = F.when(against, 0.0).when(lifts & ~wording, F.greatest(support, coverage)).otherwise(support)
+    bar = F.when(F.col("free"), None).when(p["outside"].isNotNull(), p["outside"]).when(p["sibling"] > 0, p["support"] + p["sibling"])
+    scored = met.withColumn("score", F.when(p["guard"] == "legacy", legacy).otherwise(fixed)).where(F.col("score") >= p["support"]).where(F.col("retrieved") | bar.isNull() | (F.col("score") >= bar))
+    claim = Window.partitionBy("p.name", "run_id", "claim_id")
+    order = claim.orderBy(F.col("score").desc(), "ordinal")
+    close = (F.col("score") - F.lead("score").over(order)) < p["margin"]
+    placed = scored.withColumn("place", F.row_number().over(order)).withColumn("close", close)
+    one = F.max(F.when(F.col("place") == 1, F.coalesce("close", F.lit(False)))).over(claim)
+    taken = placed.withColumn("one", one).where((F.col("place") == 1) | (~F.col("one") & ((p["most"] <= 0) | (F.col("place") <= p["most"])))).select(F.col("p.name").alias("policy"), "run_id", "claim_id", "child_id")
+    mark = lambda df, name: df.select("run_id", "child_id").distinct().withColumn(name, F.lit(True))
+    marked = taken.join(mark(retrieved, "__was"), ["run_id", "child_id"], "left").join(mark(gold, "__gold"), ["run_id", "child_id"], "left")
+    sets = lambda when: F.sort_array(F.collect_set(F.when(when, F.col("child_id"))))
+    new, right = F.col("__was").isNull(), F.col("__gold").isNotNull()
+    found = marked.groupBy("policy", "run_id").agg(F.count_distinct("claim_id").alias("claims"), sets(F.lit(True)).alias("cited"), sets(new & ~right).alias("drift"), sets(new & right).alias("rescued"))
+    every = runs.select("run_id", F.explode(F.array(*[F.lit(p.name) for p in policies])).alias("policy"))
+    none = F.array().cast(found.schema["cited"].dataType)
+    whole = every.join(found, ["policy", "run_id"], "left")
+    return whole.select("policy", "run_id", F.coalesce("claims", F.lit(0)).alias("claims"), *[F.coalesce(c, none).alias(c) for c in ("cited", "drift", "rescued")])
+
+
 def answer_status(down: Column, insufficient: Column, errors: Column, accepted: Column) -> Column:
     return F.when(down, "verification_unavailable").when(insufficient, "insufficient_evidence").when(errors, "model_output_invalid").when(accepted > 0, "answered").otherwise("insufficient_evidence")
 

@@ -50,6 +50,32 @@ def replay_policies(t):
     return C.replay(trace, policies)
 
 
+#: Policies of the replay: name, guard, support, contradiction, coverage, outside, sibling, margin, most.
+POLICIES = [C.Policy("legacy", "legacy", 0.2, 0.8, 0.5, None, 0.1, 0.02, 2), C.Policy("fixed", "fixed", 0.2, 0.8, 0.5, None, 0.1, 0.02, 2), C.Policy("retrieved_only", "fixed", 0.2, 0.8, 0.0, float("inf"), 0.1, 0.0, 0), C.Policy("calibrated", "fixed", 0.3, 0.9, 0.4, 0.35, 0.0, 0.05, 1)]
+POLICY_ROWS = ", ".join(f"('{p.name}', '{p.guard}', {p.support}::DOUBLE, {p.contradiction}::DOUBLE, {p.coverage}::DOUBLE, {'NULL' if p.outside is None else repr(str(p.outside))}::DOUBLE, {p.sibling}::DOUBLE, {p.margin}::DOUBLE, {p.most})" for p in POLICIES)
+
+
+@query("f03_replay_runs", f"""WITH {CANDIDATES}, policy_list AS (SELECT * FROM (VALUES {POLICY_ROWS}) x(policy, rule, sup, con, cov, outside, sibling, margin, most)),
+stored_c AS (SELECT split_part(claim_id, ':', 1) AS run_id, *, (ordinal * 37 % 100) / 100.0::DOUBLE AS contradiction, round(1 - score, 9) AS coverage FROM tr JOIN (SELECT claim_id, status FROM oc) USING (claim_id)),
+run_list AS (SELECT run_id, CAST(regexp_replace(run_id, '[^0-9]', '', 'g') AS BIGINT) % 5 = 0 OR NOT bool_or(retrieved) AS free FROM stored_c GROUP BY run_id),
+met_s AS (SELECT c.*, po.*, free, contradiction >= con AS against, ordinal % 3 = 0 AND contradiction < con AS wording, score < sup AND cov > 0 AND coverage >= cov AS lifts FROM stored_c c JOIN run_list USING (run_id) CROSS JOIN policy_list po WHERE status NOT IN ('invalid_or_missing_context_citation', 'below_claim_confidence_threshold')),
+valued AS (SELECT *, CASE WHEN against OR (wording AND rule = 'legacy') THEN 0 WHEN lifts AND NOT wording THEN greatest(score, coverage) ELSE score END AS value, CASE WHEN free THEN NULL WHEN outside IS NOT NULL THEN outside WHEN sibling > 0 THEN sup + sibling END AS bar FROM met_s),
+placed AS (SELECT *, row_number() OVER w AS nth, value - lead(value) OVER w < margin AS near FROM valued WHERE value >= sup AND (retrieved OR bar IS NULL OR value >= bar) WINDOW w AS (PARTITION BY policy, run_id, claim_id ORDER BY value DESC, ordinal)),
+top_t AS (SELECT *, bool_or(coalesce(near, false) AND nth = 1) OVER (PARTITION BY policy, run_id, claim_id) AS one FROM placed), was_in AS (SELECT DISTINCT run_id, child_id, true AS was FROM stored_c WHERE retrieved), gold_in AS (SELECT DISTINCT run_id, child_id, true AS gold FROM stored_c WHERE ordinal % 4 = 0),
+marked AS (SELECT * FROM top_t LEFT JOIN was_in USING (run_id, child_id) LEFT JOIN gold_in USING (run_id, child_id) WHERE nth = 1 OR (NOT one AND (most <= 0 OR nth <= most)))
+SELECT po.policy, r.run_id, count(DISTINCT claim_id) AS claims, coalesce(string_agg(DISTINCT child_id::VARCHAR, ' ' ORDER BY child_id::VARCHAR), '') AS cited, coalesce(string_agg(DISTINCT child_id::VARCHAR, ' ' ORDER BY child_id::VARCHAR) FILTER (was IS NULL AND gold IS NULL), '') AS drift, coalesce(string_agg(DISTINCT child_id::VARCHAR, ' ' ORDER BY child_id::VARCHAR) FILTER (was IS NULL AND gold), '') AS rescued
+FROM run_list r CROSS JOIN policy_list po LEFT JOIN marked m ON m.policy = po.policy AND m.run_id = r.run_id GROUP BY ALL""")
+def replay_runs(t):
+    """Contradictions and conflicts of wording follow the candidates' places, coverage the scores; runs whose number five divides had no retrieval."""
+    trace, outcomes = decided(t)
+    of = F.split_part("claim_id", F.lit(":"), F.lit(1))
+    rows = trace.select(of.alias("run_id"), "claim_id", F.col("child_id").cast("string").alias("child_id"), "ordinal", "retrieved", F.round("score", 9).alias("support"), (F.col("ordinal") * 37 % 100 / 100.0).alias("contradiction"), F.round(1 - F.round("score", 9), 9).alias("coverage"), (F.col("ordinal") % 3 == 0).alias("blocked"))
+    runs = rows.select("run_id").distinct().withColumn("retrieval_free", F.regexp_replace("run_id", "[^0-9]", "").cast("long") % 5 == 0)
+    claims = outcomes.select(of.alias("run_id"), "claim_id", "status")
+    found = C.replay_runs(rows, claims, runs, rows.where("retrieved"), rows.where("ordinal % 4 = 0"), POLICIES)
+    return found.select("policy", "run_id", "claims", *[F.array_join(c, " ").alias(c) for c in ("cited", "drift", "rescued")])
+
+
 @query("f05_answer_status", f"WITH {CANDIDATES}, r AS (SELECT split_part(claim_id, ':', 1) AS run, count(*) FILTER (status = 'accepted') AS accepted, bool_or(status = 'invalid_or_missing_context_citation') AS errors FROM oc GROUP BY ALL) SELECT run, CASE WHEN errors THEN 'model_output_invalid' WHEN accepted > 0 THEN 'answered' ELSE 'insufficient_evidence' END AS status FROM r")
 def answer_status(t):
     runs = decided(t)[1].groupBy(F.split_part("claim_id", F.lit(":"), F.lit(1)).alias("run")).agg(F.count_if(F.col("status") == "accepted").alias("accepted"), F.bool_or(F.col("status") == "invalid_or_missing_context_citation").alias("errors"))
