@@ -170,7 +170,7 @@ def speech_manifest(t):
 
 
 EXPORTED = """WITH c AS (SELECT l_orderkey AS r, l_linenumber AS i, max(l_partkey) AS part, max(l_suppkey) AS supp, max(l_returnflag) AS flag, max(l_linestatus) AS status FROM lineitem GROUP BY ALL),
-l AS (SELECT *, 'S' || supp || CASE WHEN i % 2 = 0 THEN ', ' || lpad(CAST(part // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(part % 60 AS VARCHAR), 2, '0') ELSE ', p. ' || i END AS cited FROM c),
+l AS (SELECT *, 'S' || supp || CASE WHEN i % 2 = 0 THEN ', ' || printf('%02d:%02d', part // 60, part % 60) ELSE ', p. ' || i END AS cited FROM c),
 m AS (SELECT r, '- part ' || part || ' [' || cited || ']' AS line, i, flag, status, '- **S' || supp || '**' || substr(cited, length('S' || supp) + 1) || ' (' || CASE status WHEN 'O' THEN 'automatic transcript' ELSE 'direct_support' END || ', revision r1): ' || CASE flag WHEN 'R' THEN '_[source deleted, content hidden]_' ELSE '"part ' || part || '"' END AS proof FROM l),
 a AS (SELECT r, string_agg(line || ' — ' || status, chr(10) ORDER BY i) AS listed, string_agg(proof, chr(10) ORDER BY i) AS proofs, string_agg(line, chr(10) ORDER BY i DESC) FILTER (i <= 2) AS few FROM m GROUP BY r)"""
 
