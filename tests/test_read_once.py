@@ -2,7 +2,7 @@
 
 import pandas as pd
 
-from leafmark.operators import retrieval as R
+from leafmark.operators import duplicates as D, retrieval as R
 
 
 def counted(spark, rows, schema):
@@ -23,3 +23,13 @@ def test_summary_tree_makes_its_leaves_once(spark):
     tree = R.summary_tree_light(leaves, size=4, depth=2, most=8, features=64).collect()
     assert sum(len(r["members"]) for r in tree if r["depth"] == 0) == 24
     assert made.value == 24
+
+
+def test_origin_groups_make_their_texts_once_for_pairs_and_once_for_classes(spark):
+    words = [f"word{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i * 2 : i * 2 + 120])) for i in range(20)] + [(100, " ".join(words[:120])), (101, "")]
+    docs, made = counted(spark, rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["group_id"], r["first_match"]) for r in D.origin_groups(docs).collect()}
+    assert made.value == 2 * len(rows)
+    # a chain: each text is similar to the few before it, all the way to the first
+    assert {got[i][0] for i in range(20)} == {0} and got[100] == (0, 0) and got[101] == (101, None) and got[1] == (0, 0)
