@@ -94,8 +94,8 @@ def _folded(target: int, overlap: int):
 
 def folded_spans(rows: DataFrame, keys: list[str], text: str = "text", target: int = LEAF_TOKENS, overlap: int = OVERLAP_SENTENCES) -> DataFrame:
     """Adds the normalized text ``value``, the ``sizes`` of its sentences and the ``spans`` of sentences that are leaves; only the fold over word counts runs in Python."""
-    value = rows.select(*keys, T.normalize_ws(text).alias("value"), T.sentences(text).alias("parts"))
-    counted = value.select(*keys, "value", F.transform("parts", lambda s: F.regexp_count(s, F.lit(T.WORD))).alias("words"), F.transform("parts", F.length).alias("sizes"))
+    value = rows.select(*keys, T.normalize_ws(text).alias("value"))
+    counted = value.withColumn("parts", T.sentences_of("value")).select(*keys, "value", F.transform("parts", lambda s: F.regexp_count(s, F.lit(T.WORD))).alias("words"), F.transform("parts", F.length).alias("sizes"))
     schema = S.StructType([*counted.schema.fields, S.StructField("spans", S.ArrayType(S.StructType([S.StructField("first", S.IntegerType()), S.StructField("last", S.IntegerType())])))])
     return counted.mapInArrow(_folded(target, overlap), schema).drop("words")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..sources.files import Kept
 from .hierarchy import GROUP, GROUP_OVERLAP, LEAF_TOKENS, OVERLAP_SENTENCES, folded_spans
 
 LEVELS = ["child", "parent", "section", "document"]
@@ -71,16 +72,19 @@ def build_hierarchy(sections: DataFrame, target: int = LEAF_TOKENS, overlap: int
 
     made = texts.withColumn("children", F.transform("leaves", leaf))
 
-    def parent(g: Column) -> Column:
+    def window(g: Column) -> Column:
         members = F.slice("children", g * stride + 1, max(2, size))
-        text = T.normalize_ws(F.array_join(F.transform(members, lambda c: c["text"]), " "))
+        return F.struct(g.alias("g"), members.alias("members"), T.normalize_ws(F.array_join(F.transform(members, lambda c: c["text"]), " ")).alias("text"))
+
+    def parent(w: Column) -> Column:
+        g, members, text = w["g"], w["members"], w["text"]
         of = lambda f, c: f(F.transform(members, lambda m: m[c]))
         return F.struct(
             parent_id(g).alias("node_id"), F.lit("parent").alias("level"), F.col("section_id"), F.col("section_id").alias("parent_id"), g.alias("position"), text.alias("text"), F.concat(F.lit("Section: "), "title", F.lit("\n"), text).alias("embedding_text"), T.token_estimate(text).alias("token_count"), of(F.array_min, "char_start").alias("char_start"),
             of(F.array_max, "char_end").alias("char_end"), of(F.array_min, "page_start").alias("page_start"), of(F.array_max, "page_end").alias("page_end"), F.col("confidence"), F.array().cast(none).alias("paragraph_ids"), F.transform(members, lambda c: c["node_id"]).alias("child_ids"),
         ).cast(NODE)
 
-    grouped = made.withColumn("parents", F.when(F.size("children") > 0, F.transform(F.sequence(F.lit(0), last), parent)).otherwise(F.array().cast(f"array<{NODE}>")))
+    grouped = made.withColumn("parents", F.when(F.size("children") > 0, F.transform(F.transform(F.sequence(F.lit(0), last), window), parent)).otherwise(F.array().cast(f"array<{NODE}>")))
     section = F.struct(
         F.col("section_id").alias("node_id"), F.lit("section").alias("level"), F.col("section_id"), F.col("document_id").alias("parent_id"), F.col("section_pos").alias("position"), F.col("value").alias("text"), F.concat("head", "value").alias("embedding_text"), T.token_estimate("value").alias("token_count"), F.lit(0).alias("char_start"),
         F.length("value").alias("char_end"), F.col("page_start"), F.col("page_end"), F.col("confidence"), F.array().cast(none).alias("paragraph_ids"), F.transform("parents", lambda p: p["node_id"]).alias("child_ids"),
@@ -104,9 +108,11 @@ def edges(nodes: DataFrame) -> DataFrame:
 
 def write_tree(nodes: DataFrame, path: str, revision: str) -> str:
     """An immutable revision of a tree under ``path``: nodes with hashes of their texts and edges, in a partition of their own; an existing one is an error."""
-    kept = nodes.drop("child_ids", "embedding_text").withColumn("text_sha256", F.sha2("text", 256))
-    kept.write.mode("errorifexists").parquet(f"{path}/nodes/parse_revision_id={revision}")
-    edges(nodes).write.mode("errorifexists").parquet(f"{path}/edges/parse_revision_id={revision}")
+    held = Kept()
+    made = held.keep(nodes.drop("embedding_text"), "tree")  # made once for nodes and edges
+    made.drop("child_ids").withColumn("text_sha256", F.sha2("text", 256)).write.mode("errorifexists").parquet(f"{path}/nodes/parse_revision_id={revision}")
+    edges(made).write.mode("errorifexists").parquet(f"{path}/edges/parse_revision_id={revision}")
+    held.drop_all_but()
     return path
 
 

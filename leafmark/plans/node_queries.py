@@ -37,6 +37,11 @@ def nodes(t) -> DataFrame:
     return tree.build_hierarchy(sections(t))
 
 
+def kept_nodes(t) -> DataFrame:
+    """The nodes without their texts, made once and written down: walks and checks read them several times."""
+    return files.Kept().keep(nodes(t).select("document_id", "node_id", "level", "section_id", "parent_id", "position", "token_count", "char_start", "char_end", "page_start", "page_end", "child_ids"), "nodes")
+
+
 @query("c01_hierarchy_nodes", R + LEAVES + f""" SELECT node_id, 'child' AS level, parent_id, position, {put(TOKENS_OF, 'text')} AS token_count, a AS char_start, b AS char_end FROM leaf
 UNION ALL SELECT parent, 'parent', section_id, g, {put(TOKENS_OF, 'text')}, a, b FROM par UNION ALL SELECT section_id, 'section', CAST(doc_id AS VARCHAR), CAST(sp AS INTEGER), {put(TOKENS_OF, 'value')}, 0, CAST(length(value) AS INTEGER) FROM sec
 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'document', NULL, 0, {put(TOKENS_OF, 'text')}, 0, CAST(length(text) AS INTEGER) FROM (SELECT doc_id, {put(WS, "string_agg(value, chr(10) || chr(10) ORDER BY sp)")} AS text FROM sec GROUP BY doc_id)""")
@@ -55,7 +60,7 @@ def write_tree(t):
 @query("c07_validate_hierarchy", R + LEAVES + """, k AS (SELECT *, doc_id % 13 = 0 AND position = 0 AS gone FROM leaf) SELECT violation, count(*) AS n FROM (SELECT 'unknown section' AS violation FROM k WHERE doc_id % 11 = 0 AND NOT gone UNION ALL SELECT 'characters out of the parent' FROM k WHERE doc_id % 7 = 0 AND NOT gone UNION ALL SELECT 'missing leaf' FROM mem WHERE doc_id % 13 = 0 AND position = 0) GROUP BY violation""")
 def validate_hierarchy(t):
     """A tree with leaves moved, without their sections, and missing."""
-    n = nodes(t)
+    n = kept_nodes(t)
     i, leaf = F.col("document_id").cast("long"), F.col("level") == "child"
     damaged = n.withColumn("char_end", F.when(leaf & (i % 7 == 0), F.col("char_end") + 10**6).otherwise(F.col("char_end"))).withColumn("section_id", F.when(leaf & (i % 11 == 0), F.lit("none")).otherwise(F.col("section_id")))
     damaged = damaged.where(~(leaf & (i % 13 == 0) & (F.col("position") == 0)))
@@ -69,13 +74,13 @@ def tree_descendants(t):
 
 @query("c08_members_at_level", R + LEAVES + " SELECT section_id AS candidate_id, node_id AS member_id FROM leaf UNION ALL SELECT parent, child FROM mem")
 def members_at_level(t):
-    n = nodes(t)
+    n = kept_nodes(t)
     return tree.members_at_level(n, "section", "child").unionByName(tree.members_at_level(n, "parent", "child"))
 
 
 def selection(t) -> tuple[DataFrame, DataFrame]:
     """Every second leaf and every third parent, scored by their lengths, as the selection of one question a language."""
-    n = nodes(t)
+    n = kept_nodes(t)
     picked = n.where("(level = 'child' and position % 2 = 0) or (level = 'parent' and position % 3 = 0)")
     return picked.select(F.lit(1).alias("query_id"), "node_id", (F.col("token_count") / 1000.0).alias("score")), n
 
