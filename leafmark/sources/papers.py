@@ -34,19 +34,21 @@ def reference_answer(answer: Column) -> Column:
 
 def placed(texts: Column, name) -> Column:
     """Texts with ids and their places in the texts joined by line feeds; ``name(i)`` is the i-th one's id."""
-    ends = F.transform(texts, lambda _, i: F.aggregate(F.slice(texts, 1, i + 1), F.lit(-1), lambda a, t: a + F.length(t) + 1))
+    ends = F.aggregate(texts, F.array().cast("array<int>"), lambda done, t: F.array_append(done, F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(-1)) + F.length(t) + 1))
     return F.zip_with(F.transform(texts, lambda t, i: F.struct(name(i).alias("paragraph_id"), t.alias("text"))), ends, lambda p, e: F.struct(p["paragraph_id"].alias("paragraph_id"), p["text"].alias("text"), (e - F.length(p["text"])).alias("char_start"), e.alias("char_end")))
 
 
 def _sections(paper: Column, paper_id: Column) -> Column:
     """Sections with text, with placed paragraphs; the abstract first unless a section has that title."""
     kept = lambda s: F.filter(F.transform(F.coalesce(s["paragraphs"], F.array().cast("array<string>")), lambda p: T.normalize_ws(F.coalesce(p, F.lit("")))), lambda p: p != "")
+    # the paragraphs of a section are made once, then named and placed
+    made = lambda s, i: F.struct(F.coalesce(F.nullif(s["section_name"], F.lit("")), F.concat(F.lit("Section "), (i + 1).cast("string"))).alias("title"), kept(s).alias("kept"))
     one = lambda s, i: F.struct(
-        F.coalesce(F.nullif(s["section_name"], F.lit("")), F.concat(F.lit("Section "), (i + 1).cast("string"))).alias("title"),
-        F.array_join(kept(s), "\n").alias("text"), F.lit("document").alias("section_type"), i.alias("position"),
-        placed(kept(s), lambda k: F.concat(paper_id, F.lit(":section:"), i.cast("string"), F.lit(":paragraph:"), k.cast("string"))).alias("paragraphs"),
+        s["title"].alias("title"), F.array_join(s["kept"], "\n").alias("text"), F.lit("document").alias("section_type"), i.alias("position"),
+        placed(s["kept"], lambda k: F.concat(paper_id, F.lit(":section:"), i.cast("string"), F.lit(":paragraph:"), k.cast("string"))).alias("paragraphs"),
     )
-    full = F.filter(F.transform(F.coalesce(paper["full_text"], F.array().cast("array<struct<section_name: string, paragraphs: array<string>>>")), one), lambda s: s["text"] != "")
+    parts = F.transform(F.coalesce(paper["full_text"], F.array().cast("array<struct<section_name: string, paragraphs: array<string>>>")), made)
+    full = F.filter(F.transform(parts, one), lambda s: s["text"] != "")
     abstract = T.strip(F.coalesce(paper["abstract"], F.lit("")))
     first = F.array(F.struct(F.lit("Abstract").alias("title"), abstract.alias("text"), F.lit("abstract").alias("section_type"), F.lit(-1).alias("position"), F.array(F.struct(F.concat(paper_id, F.lit(":abstract:paragraph:0")).alias("paragraph_id"), abstract.alias("text"), F.lit(0).alias("char_start"), F.length(abstract).alias("char_end"))).alias("paragraphs")))
     return F.when((abstract != "") & ~F.exists(full, lambda s: F.lower(s["title"]) == "abstract"), F.concat(first.cast(SECTIONS), full.cast(SECTIONS))).otherwise(full.cast(SECTIONS))
