@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -45,21 +46,24 @@ def kept_events(times: list[float], last: float | None, seconds: int = SUPPRESS_
 def suppress_batch(events: DataFrame, keys: list[str], ts: str, ident: str, seconds: int = SUPPRESS_SECONDS) -> DataFrame:
     """Stored events of a table: the fold restarts at each stored event of its key.
 
-    An event ``seconds`` or more after the one before is stored whatever came earlier, so a key is cut there and each run is folded by itself;
-    only a key without any such gap is one run.
+    A key's events stand together and in order, and a flag marks where it begins; a task reads them once, with the time last stored as all
+    it keeps. A key's events lie in one task, but never in memory at once.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["second", ident])
-        return pdf[kept_events(pdf["second"].tolist(), None, seconds)[0]].drop(columns="__run")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            keep = []
+            for second, first in zip(batch.column("second").to_pylist(), batch.column("__first").to_pylist()):
+                stored = first or second is None or last is None or second - last >= seconds
+                last = second if stored else last
+                keep.append(stored)
+            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns("__first")
 
     rows = events.select(*keys, ident, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("second"))
-    order = Window.partitionBy(*keys).orderBy("second", ident)
-    gap = F.coalesce(F.col("second") - F.lag("second").over(order) >= seconds, F.lit(True))
-    runs = rows.withColumn("__gap", gap.cast("int")).withColumn("__run", F.sum("__gap").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap")
-    alone = F.count("*").over(Window.partitionBy(*keys, "__run")) == 1
-    sized = runs.withColumn("__alone", alone)
-    return sized.where("__alone").drop("__alone", "__run").unionByName(sized.where(~F.col("__alone")).drop("__alone").groupBy(*keys, "__run").applyInPandas(fold, rows.schema))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("second", ident)) == 1
+    order = [*[F.col(k) for k in keys], F.col("second"), F.col(ident)]
+    return rows.withColumn("__first", first).sortWithinPartitions(*order, F.col("__first").desc()).mapInArrow(fold, rows.schema)
 
 
 def suppress_stream(events: DataFrame, keys: list[str], ts: str, ident: str, seconds: int = SUPPRESS_SECONDS, delay: str = DELAY) -> DataFrame:
