@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -166,24 +170,43 @@ def select_changed_frames(frames: DataFrame, threshold: float, most: int, pixel_
 def merge_repeat_frames(frames: DataFrame, least: float = SAME_BOARD) -> DataFrame:
     """``video_id, ts_ms, visible_to_ms, text``: a frame whose words are those of the last kept one, to a Jaccard similarity of ``least``, only makes that one last longer.
 
-    ``frames``: video_id, ts_ms, visible_to_ms, text of all its regions; a frame without text is left out.
+    ``frames``: video_id, ts_ms, visible_to_ms, text of all its regions; a frame without text is left out. A video's frames come to one task in order, in batches:
+    what is compared is the words last kept, which are all that is held beside a batch.
     """
-    kind = frames.schema["video_id"].dataType.simpleString()
+    shown = ["video_id", "ts_ms", "visible_to_ms", "text"]
+    lasting = lambda rows, ends: rows.set_column(2, "visible_to_ms", pa.array(ends, pa.int64()))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: set = set()
-        for video, ts, to, text, words in pdf.sort_values("ts_ms")[["video_id", "ts_ms", "visible_to_ms", "text", "words"]].itertuples(index=False):
-            own = set(words)
-            if own and before and len(own & before) / len(own | before) >= least:
-                kept[-1][2] = to
-            elif text:
-                kept.append([video, ts, to, text])
-                before = own
-        return pd.DataFrame(kept, columns=["video_id", "ts_ms", "visible_to_ms", "text"])
-
-    rows = frames.withColumn("said", F.coalesce("text", F.lit(""))).select("video_id", "ts_ms", "visible_to_ms", T.normalize_ws("said").alias("text"), T.token_set("said").alias("words"))
-    return rows.groupBy("video_id").applyInPandas(fold, f"video_id {kind}, ts_ms long, visible_to_ms long, text string")
+        video = ()
+        held = to = None  # the frame last kept, and how long it lasts by now
+        for batch in batches:
+            at, ends = [], []
+            columns = [batch.column(c) for c in ("video_id", "visible_to_ms", "words")] + [pc.binary_length(batch.column("text"))]
+            for i, (of, end, words, size) in enumerate(zip(*columns)):
+                if of.as_py() != video:
+                    before, video = set(), of.as_py()
+                own = set(words.as_py())
+                if own and before and len(own & before) / len(own | before) >= least:
+                    if ends:
+                        ends[-1] = end.as_py()
+                    else:
+                        to = end.as_py()
+                elif size.as_py():
+                    at.append(i)
+                    ends.append(end.as_py())
+                    before = own
+            if at:
+                kept = lasting(batch.select(shown).take(pa.array(at)), ends)
+                if held is not None:
+                    yield lasting(held, [to])
+                yield kept.slice(0, len(at) - 1)
+                held, to = kept.take(pa.array([len(at) - 1])), ends[-1]  # a copy: it holds no batch
+        if held is not None:
+            yield lasting(held, [to])
+
+    rows = frames.withColumn("said", F.coalesce("text", F.lit(""))).select("video_id", F.col("ts_ms").cast("long").alias("ts_ms"), F.col("visible_to_ms").cast("long").alias("visible_to_ms"), T.normalize_ws("said").alias("text"), T.token_set("said").alias("words"))
+    return rows.repartition("video_id").sortWithinPartitions("video_id", "ts_ms").mapInArrow(fold, rows.drop("words").schema)
 
 
 def edited_revision(base: DataFrame, edits: DataFrame, revision: str, key: str = "item_id") -> DataFrame:
