@@ -96,25 +96,32 @@ def decide_merges(selected: DataFrame, nodes: DataFrame, queries: DataFrame, lev
     return decide(merge_features(full, scorer(pairs, nodes, queries), queries, budget), policy)
 
 
-def closure(selected: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What a question can reach from its selection: ``(play, pairs)``.
-
-    ``play``: query_id, node_id, rank, token_count, words, of what is selected and all that stands over it. ``pairs``: query_id,
-    candidate_id, candidate_rank, node_id, rank, slot (null unless the node is a slot of the candidate), linked (the candidate stands over it by parent links).
-    """
+def _reachable(nodes: DataFrame) -> DataFrame:
+    """``node_id, rank, token_count, words, over``: what deciding needs of a node, and all that stands over it."""
     ranked = nodes.withColumn("rank", rank_of(F.col("level")).cast("int"))
     over = F.array(*[F.struct(F.lit(i).alias("candidate_rank"), ancestor_at_level(name).alias("candidate_id")) for i, name in enumerate(LEVELS)])
     over = F.filter(over, lambda x: x["candidate_id"].isNotNull() & (x["candidate_rank"] > F.col("rank")))
-    slim = ranked.select("node_id", "rank", "token_count", over.alias("over"))
-    own = selected.select("query_id", "node_id")
-    above = own.join(slim, "node_id").select("query_id", F.explode("over.candidate_id").alias("node_id"))
-    play = own.unionByName(above).distinct().join(slim.join(nodes.select("node_id", T.token_set("text").alias("words")), "node_id"), "node_id")
-    linked = play.select("query_id", "node_id", "rank", F.explode("over").alias("c")).select("query_id", "c.candidate_id", "c.candidate_rank", "node_id", "rank", F.lit(None).cast("int").alias("slot"), F.lit(True).alias("linked"))
-    slots = nodes.select(F.col("node_id").alias("candidate_id"), (rank_of(F.col("level")).cast("int")).alias("candidate_rank"), F.posexplode("child_ids").alias("slot", "node_id"))
-    direct = play.select("query_id", "node_id", "rank").join(slots, "node_id").join(play.select("query_id", F.col("node_id").alias("candidate_id")), ["query_id", "candidate_id"], "left_semi")
+    return ranked.select("node_id", "rank", "token_count", T.token_set("text").alias("words"), over.alias("over"))
+
+
+def closure(own: DataFrame, nodes: DataFrame, reach: DataFrame, kept: Kept) -> tuple[DataFrame, DataFrame]:
+    """What a question can reach from its selection, as stored tables: ``(play, pairs)``.
+
+    ``own``: query_id and the columns of :func:`_reachable`, of what is selected; ``reach``: query_id, start, top, the ranks between which the question's
+    candidates lie. ``play``: query_id, node_id, rank, token_count, words, of what is selected and what stands over it up to the top. ``pairs``: query_id,
+    candidate_id, candidate_rank, node_id, rank, slot (null unless the node is a slot of the candidate), linked (the candidate stands over it by parent links).
+    """
+    within = (F.col("candidate_rank") > F.col("start")) & (F.col("candidate_rank") <= F.col("top"))
+    above = own.join(reach, "query_id").select("query_id", F.explode("over").alias("c"), "top").where(F.col("c.candidate_rank") <= F.col("top")).select("query_id", F.col("c.candidate_id").alias("node_id")).distinct()
+    added = above.join(own.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").join(_reachable(nodes.where(F.col("level") != LEVELS[0])), "node_id")
+    play = kept.keep(own.unionByName(added).join(reach, "query_id"), "play")
+    linked = play.select("query_id", "node_id", "rank", F.explode("over").alias("c"), "start", "top").select("query_id", "c.candidate_id", "c.candidate_rank", "node_id", "rank", "start", "top").where(within).select("query_id", "candidate_id", "candidate_rank", "node_id", "rank", F.lit(None).cast("int").alias("slot"), F.lit(True).alias("linked"))
+    candidates = play.where((F.col("rank") > F.col("start")) & (F.col("rank") <= F.col("top"))).select("query_id", F.col("node_id").alias("candidate_id"), F.col("rank").alias("candidate_rank"))
+    slots = candidates.join(nodes.where(F.size("child_ids") > 0).select(F.col("node_id").alias("candidate_id"), "child_ids"), "candidate_id").select("query_id", "candidate_id", "candidate_rank", F.posexplode("child_ids").alias("slot", "node_id"))
+    direct = play.select("query_id", "node_id", "rank").join(slots, ["query_id", "node_id"]).select("query_id", "candidate_id", "candidate_rank", "node_id", "rank", "slot")
     both = linked.unionByName(direct.withColumn("linked", F.lit(False)))
     pairs = both.groupBy("query_id", "candidate_id", "candidate_rank", "node_id", "rank").agg(F.max("slot").alias("slot"), F.max("linked").alias("linked"))
-    return play.select("query_id", "node_id", "rank", "token_count", "words"), pairs
+    return play.select("query_id", "node_id", "rank", "token_count", "words"), kept.keep(pairs, "pairs")
 
 
 def expand_selection(selected: DataFrame, nodes: DataFrame, queries: DataFrame, policy: str = "adaptive", budget: int = BUDGET, scorer=lexical_candidate_scores, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
@@ -126,13 +133,13 @@ def expand_selection(selected: DataFrame, nodes: DataFrame, queries: DataFrame,
     """
     kept = Kept()
     selection = selected = kept.keep(selected.select("query_id", "node_id", "score"), "selected")
-    play, pairs = closure(selected, nodes)
-    play, pairs = kept.keep(play, "play"), kept.keep(pairs, "pairs")
-    scores = kept.keep(scorer(pairs.select("query_id", "candidate_id").distinct(), nodes, queries).select("query_id", "candidate_id", "token_count", "slots", "candidate_score"), "scores")
+    own = kept.keep(selected.select("query_id", "node_id").distinct().join(_reachable(nodes), "node_id"), "own")
     rank = lambda level: F.array_position(F.array(*map(F.lit, LEVELS)), level).cast("int") - 1
     ceiling = rank(F.element_at(F.create_map(*[F.lit(x) for kv in CEILING.items() for x in kv]), F.col("query_type")))
-    begin = selected.join(play, ["query_id", "node_id"]).groupBy("query_id").agg(F.min("rank").alias("lowest")).join(queries.select("query_id", ceiling.alias("ceiling")), "query_id")
-    state = begin.select("query_id", F.greatest(F.lit(0), F.least("lowest", F.col("ceiling") - 1)).alias("start"), "ceiling")
+    begin = own.groupBy("query_id").agg(F.min("rank").alias("lowest")).join(queries.select("query_id", ceiling.alias("ceiling")), "query_id")
+    state = kept.keep(begin.select("query_id", F.greatest(F.lit(0), F.least("lowest", F.col("ceiling") - 1)).alias("start"), "ceiling"), "state")
+    play, pairs = closure(own, nodes, state.select("query_id", "start", F.least("ceiling", F.col("start") + depth).alias("top")).distinct(), kept)
+    scores = kept.keep(scorer(pairs.select("query_id", "candidate_id").distinct(), nodes, queries).select("query_id", "candidate_id", "token_count", "slots", "candidate_score"), "scores")
     rounds, decisions = [], []
     for round_ in range(depth):
         live = state.where(F.col("start") + round_ < F.col("ceiling")).select("query_id", (F.col("start") + round_ + 1).alias("candidate_rank"))

@@ -60,3 +60,18 @@ def test_reasons_to_stop(spark):
     assert M.expand_selection(near, tree(spark), queries, scorer=worth)[1].collect()[0]["stopped"] == "members favoured"
     static = M.expand_selection(near.withColumn("score", F.lit(1.0)), tree(spark), queries, policy="static", scorer=worth)[1].collect()
     assert [(r["merged"], r["stopped"]) for r in static] == [(1, "gain below epsilon")]
+
+
+def test_pairs_end_where_the_rounds_do(spark):
+    """One round needs the candidates one level up only, so no pair with what stands further up is made."""
+    seen = []
+
+    def scorer(pairs, nodes, queries):
+        seen.extend(r["candidate_id"] for r in pairs.collect())
+        return worth(pairs, nodes, queries)
+
+    nodes = tree(spark)
+    leaves = nodes.where("level = 'child'").select(F.lit("q").alias("query_id"), "node_id", F.lit(0.5).alias("score"))
+    queries = spark.createDataFrame([("q", "anything", "global_synthesis", 1.0)], "query_id string, query string, query_type string, scale double")
+    M.expand_selection(leaves, nodes, queries, scorer=scorer, depth=1)
+    assert seen and set(seen) <= {r["node_id"] for r in nodes.where("level = 'parent'").collect()}
