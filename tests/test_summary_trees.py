@@ -1,6 +1,7 @@
 """Trees of summaries keep their rules; searches against plain loops."""
 
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -18,6 +19,38 @@ def test_groups_part_what_lies_apart_and_keep_the_limit():
     assert [g.tolist() for g in S.soft_groups(x[:1], np.array([9999]))] == [[0]]
 
 
+def test_a_vector_takes_its_tokens_once(spark):
+    """256 numbers of a text cost about what one does: its words are found once, not once a number."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["River", "water", "the", "bank", "gene7", "is"], k=1500)) for _ in range(60)]
+    df = spark.createDataFrame([(x,) for x in texts], "text string").repartition(1).cache()
+    df.count()
+
+    def seconds(dims):
+        began = time.perf_counter()
+        df.select(S.hashed_vector("text", dims)).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(1)
+    assert min(seconds(256) for _ in range(2)) < 6 * min(seconds(1) for _ in range(2))
+    tokens = ["river", "water", "bank", "gene7"]
+    at = {w: r["at"] for w in tokens for r in spark.sql(f"select pmod(xxhash64('{w}'), 64) as at").collect()}
+    for text, row in zip(texts, df.select(S.hashed_vector("text").alias("v")).collect()):
+        want = [0.0] * 64
+        for w in text.lower().split():
+            if w in at:
+                want[at[w]] += 1
+        assert row["v"] == want
+    df.unpersist()
+
+
+def test_few_bytes_are_spread_over_tasks(spark):
+    """Vectors of a layer are few bytes and much work: papers are not put into one task for their size."""
+    df = spark.createDataFrame([(p, i) for p in range(40) for i in range(14)], "paper_id long, n int")
+    spread = S.spread_by(df, "paper_id").groupBy("paper_id").count()
+    assert spread.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_trees_keep_their_rules(spark):
     topics = [["river", "water", "bank"], ["market", "price", "trade"], ["cell", "gene", "protein"]]
     rng = random.Random(5)
