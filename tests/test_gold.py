@@ -35,3 +35,19 @@ def test_every_match_is_met(spark):
     met = E._pairs(low, frame.selectExpr("node_id", "source", "text as t", "split(text, ' ') as b"), 0.5).count()
     E.HOT = 1000
     assert met < 0.5 * sum(len([1 for _, s, _ in leaves if not scope or s in scope]) for _, scope, _ in quotes)
+
+
+def test_pairs_meet_texts_by_numbers(spark):
+    """What is shuffled to meet a leaf's text is a pair's numbers, not the quote and its words again for each pair."""
+    records = spark.createDataFrame([("q", ["s"], [], [], ["one two three four"])], "query_id string, sources array<string>, gold_child_ids array<string>, gold_paragraph_ids array<string>, gold_quotes array<string>")
+    leaves = spark.createDataFrame([("n", "s", "one two three five", [])], "node_id string, source string, text string, paragraph_ids array<string>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        gold = E.label_gold(records, leaves)[0]
+        assert [tuple(r) for r in gold.collect()] == [("q", "n")]
+        plan = spark._jvm.PythonSQLUtils.explainString(gold._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [part.split("Input")[1].split("\n")[0] for part in plan.split("\n\n") if ") Exchange" in part and "hashpartitioning(node_id" in part]
+    assert moved and not any(c in m for m in moved for c in (" a#", " b#", " q#", "quote#"))
