@@ -90,9 +90,11 @@ def lexical_candidate_scores(pairs: DataFrame, nodes: DataFrame, queries: DataFr
 
 def decide_merges(selected: DataFrame, nodes: DataFrame, queries: DataFrame, level: str = "parent", policy: str = "adaptive", budget: int = BUDGET, scorer=lexical_candidate_scores) -> DataFrame:
     """Decisions on all nodes of ``level`` with two selected members or more; ``selected``: query_id, node_id, score."""
-    members = effective_members(selected, nodes, level)
+    kept = Kept()
+    # written down first, so that their sizes tell how they meet the nodes' texts: where they are few, no text moves
+    members = kept.keep(effective_members(kept.keep(selected.select("query_id", "node_id", "score"), "selected"), nodes, level), "members")
     full = members.join(nodes.select("node_id", "text", "token_count"), "node_id")
-    pairs = members.groupBy("query_id", "candidate_id").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_HITS).select("query_id", "candidate_id")
+    pairs = kept.keep(members.groupBy("query_id", "candidate_id").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_HITS).select("query_id", "candidate_id"), "pairs")
     return decide(merge_features(full, scorer(pairs, nodes, queries), queries, budget), policy)
 
 
