@@ -99,11 +99,11 @@ def decide_merges(selected: DataFrame, nodes: DataFrame, queries: DataFrame, lev
 
 
 def _reachable(nodes: DataFrame) -> DataFrame:
-    """``node_id, rank, token_count, words, over``: what deciding needs of a node, and all that stands over it."""
+    """``query_id, node_id, rank, token_count, words, over``: what deciding needs of a question's nodes, and all that stands over them."""
     ranked = nodes.withColumn("rank", rank_of(F.col("level")).cast("int"))
     over = F.array(*[F.struct(F.lit(i).alias("candidate_rank"), ancestor_at_level(name).alias("candidate_id")) for i, name in enumerate(LEVELS)])
     over = F.filter(over, lambda x: x["candidate_id"].isNotNull() & (x["candidate_rank"] > F.col("rank")))
-    return ranked.select("node_id", "rank", "token_count", T.token_set("text").alias("words"), over.alias("over"))
+    return ranked.select("query_id", "node_id", "rank", "token_count", T.token_set("text").alias("words"), over.alias("over"))
 
 
 def closure(own: DataFrame, nodes: DataFrame, reach: DataFrame, kept: Kept) -> tuple[DataFrame, DataFrame]:
@@ -115,7 +115,8 @@ def closure(own: DataFrame, nodes: DataFrame, reach: DataFrame, kept: Kept) -> t
     """
     within = (F.col("candidate_rank") > F.col("start")) & (F.col("candidate_rank") <= F.col("top"))
     above = own.join(reach, "query_id").select("query_id", F.explode("over").alias("c"), "top").where(F.col("c.candidate_rank") <= F.col("top")).select("query_id", F.col("c.candidate_id").alias("node_id")).distinct()
-    added = above.join(own.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").join(_reachable(nodes.where(F.col("level") != LEVELS[0])), "node_id")
+    missing = kept.keep(above.join(own.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti"), "missing")  # its size tells how it meets the nodes
+    added = _reachable(nodes.where(F.col("level") != LEVELS[0]).join(missing, "node_id"))
     play = kept.keep(own.unionByName(added).join(reach, "query_id"), "play")
     linked = play.select("query_id", "node_id", "rank", F.explode("over").alias("c"), "start", "top").select("query_id", "c.candidate_id", "c.candidate_rank", "node_id", "rank", "start", "top").where(within).select("query_id", "candidate_id", "candidate_rank", "node_id", "rank", F.lit(None).cast("int").alias("slot"), F.lit(True).alias("linked"))
     candidates = play.where((F.col("rank") > F.col("start")) & (F.col("rank") <= F.col("top"))).select("query_id", F.col("node_id").alias("candidate_id"), F.col("rank").alias("candidate_rank"))
@@ -135,7 +136,7 @@ def expand_selection(selected: DataFrame, nodes: DataFrame, queries: DataFrame,
     """
     kept = Kept()
     selection = selected = kept.keep(selected.select("query_id", "node_id", "score"), "selected")
-    own = kept.keep(selected.select("query_id", "node_id").distinct().join(_reachable(nodes), "node_id"), "own")
+    own = kept.keep(_reachable(nodes.join(selected.select("query_id", "node_id").distinct(), "node_id")), "own")
     rank = lambda level: F.array_position(F.array(*map(F.lit, LEVELS)), level).cast("int") - 1
     ceiling = rank(F.element_at(F.create_map(*[F.lit(x) for kv in CEILING.items() for x in kv]), F.col("query_type")))
     begin = own.groupBy("query_id").agg(F.min("rank").alias("lowest")).join(queries.select("query_id", ceiling.alias("ceiling")), "query_id")

@@ -30,5 +30,10 @@ def test_texts_stay_where_they_are(spark):
         found = M.decide_merges(selected, nodes, queries)
         assert not [m for m in moved(spark, found) if "text#" in m or "words#" in m]
         assert {r["candidate_id"] for r in found.collect()} == {"p0", "p2"}
+        kept = Kept()
+        own = kept.keep(M._reachable(nodes.join(selected.select("query_id", "node_id"), "node_id")), "own")
+        reach = kept.keep(spark.createDataFrame([(1, 0, 3)], "query_id long, start int, top int"), "reach")
+        play, pairs = M.closure(own, nodes, reach, kept)
+        assert {r["node_id"] for r in play.collect()} == {"c0", "c1", "c2", "c9", "c10", "p0", "p2", "s", "d"}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
